@@ -184,9 +184,7 @@ def strip_punctuation_text(text: Column) -> Column:
     out = text
     for mark in PUNCTUATION:
         touching = F.contains(text, F.lit(mark + " ")) | F.contains(text, F.lit(" " + mark))
-        out = F.when(touching | grouped, F.replace(out, F.lit(mark), F.lit(""))).otherwise(
-            F.replace(out, F.lit(mark), F.lit(" "))
-        )
+        out = F.replace(out, F.lit(mark), F.when(touching | grouped, F.lit("")).otherwise(F.lit(" ")))
     return replace_first(out, r"\.(?!\d)", "", MAX_PERIODS)
 
 

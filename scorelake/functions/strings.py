@@ -108,19 +108,29 @@ def fixed_decimals(value: Column, digits: int) -> Column:
     below) into 0.552. The product with a power of ten is taken in two parts so that no bit is lost.
     """
     scale = float(10**digits)
-    size = F.abs(value.cast("double"))
-    high = size * 134217729.0 - (size * 134217729.0 - size)
-    product = size * scale
-    rest = (high * scale - product) + (size - high) * scale
-    whole = F.floor(product)
-    beyond = (product - whole - 0.5) + rest
-    units = whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    if digits == 0:
-        return F.concat(sign, units.cast("string"))
     step = F.lit(10**digits).cast("bigint")
-    fraction = F.lpad((units % step).cast("string"), digits, "0")
-    return F.concat(sign, F.floor(units / step).cast("string"), F.lit("."), fraction)
+
+    def spelled(v: Column) -> Column:
+        size = F.abs(v)
+        high = size * 134217729.0 - (size * 134217729.0 - size)
+        product = size * scale
+        rest = (high * scale - product) + (size - high) * scale
+        whole = F.floor(product)
+        beyond = (product - whole - 0.5) + rest
+        units = whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)
+        return F.struct((v < 0).alias("minus"), units.alias("units"))
+
+    # Lambdas bind the value once, where nesting would repeat its expression dozens of times.
+    parts = F.get(F.transform(F.array(value.cast("double")), spelled), F.lit(0))
+
+    def shown(p: Column) -> Column:
+        sign = F.when(p["minus"], F.lit("-")).otherwise(F.lit(""))
+        whole = F.floor(p["units"] / step).cast("string")
+        if digits == 0:
+            return F.concat(sign, whole)
+        return F.concat(sign, whole, F.lit("."), F.lpad((p["units"] % step).cast("string"), digits, "0"))
+
+    return F.get(F.transform(F.array(parts), shown), F.lit(0))
 
 
 def fixed(value: Column, digits: int, width: int | None = None) -> Column:

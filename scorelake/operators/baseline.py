@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.boxes import ratio_bin
 from scorelake.functions.draws import SEED, uniform_int
 from scorelake.functions.scoring import METRICS, with_scores
-from scorelake.operators.summaries import detection_metrics, summarise
+from scorelake.operators.summaries import summarise_detection
 
 # Fixed value: random boxes drawn per row.
 SIMULATIONS = 100
@@ -65,4 +65,4 @@ def random_baseline(
     the error shares go by the prefix ``mre`` although they hold absolute errors."""
     binned = rows.withColumn("size_bin", ratio_bin(F.col("box_img_ratio"), "percent"))
     means = random_scores(binned, key, ["size_bin"], simulations, seed)
-    return summarise(means, ["size_bin"], detection_metrics(error_prefix="mre"))
+    return summarise_detection(means, ["size_bin"], error_prefix="mre")

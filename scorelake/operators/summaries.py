@@ -22,7 +22,7 @@ OVERLAP_STEPS = (50, 60, 70, 80, 90)
 
 def share(condition: Column) -> Column:
     """Share of all rows of the group, failed ones included."""
-    return F.count_if(condition) / F.count("*")
+    return F.count(F.when(condition, 1)) / F.count("*")
 
 
 def error_bin(value: Column, negative: str = "wrap") -> Column:
@@ -43,7 +43,7 @@ def error_bin(value: Column, negative: str = "wrap") -> Column:
     )
 
 
-def parse_stage_metrics(task_kind: str) -> list[Column]:
+def summarise_parse_stage(rows: DataFrame, by: Sequence[str], task_kind: str) -> DataFrame:
     """Averages over valid rows, success over all rows, and for relative errors the share below each
     tenth; an error of 1 or more is in none of them."""
     metrics = [F.avg("mae").alias("avg_mae")]
@@ -54,41 +54,35 @@ def parse_stage_metrics(task_kind: str) -> list[Column]:
         metrics += [share(F.col("mre") < k / 10).alias(f"mre_lt_{k * 10}") for k in TENTHS]
     metrics.append(F.avg(F.col("success").cast("double")).alias("success_rate"))
     metrics.append(F.count("*").alias("num_samples"))
-    return metrics
+    return rows.groupBy(*by).agg(*metrics)
 
 
-def relative_error_metrics(negative: str = "wrap") -> list[Column]:
+def summarise_relative(rows: DataFrame, by: Sequence[str], negative: str = "wrap") -> DataFrame:
     """Angle/distance and lesion summaries. Shares come from bins whose last one is open, so the share
     below 100 equals the share of valid rows."""
-    tenth = error_bin(F.col("mre"), negative)
-    return [
+    return rows.withColumn("_tenth", error_bin(F.col("mre"), negative)).groupBy(*by).agg(
         F.avg("mae").alias("avg_mae"),
         F.avg("mre").alias("avg_mre"),
         F.avg(F.col("success").cast("double")).alias("success_rate"),
         F.count("*").alias("num_samples"),
-        *[share(tenth < k).alias(f"mre_lt_{k * 10}") for k in TENTHS],
-    ]
+        *[share(F.col("_tenth") < k).alias(f"mre_lt_{k * 10}") for k in TENTHS],
+    )
 
 
-def detection_metrics(error_prefix: str = "mae") -> list[Column]:
+def summarise_detection(rows: DataFrame, by: Sequence[str], error_prefix: str = "mae") -> DataFrame:
     """Detection summaries. ``iou_ge_50`` is the share at or above 0.5. The random baseline reports the
-    same error shares under another prefix."""
-    tenth = error_bin(F.col("mae"))
-    return [
+    same error shares under another prefix. The bin is a column of its own so that it is found once."""
+    return rows.withColumn("_tenth", error_bin(F.col("mae"))).groupBy(*by).agg(
         F.avg("mae").alias("avg_mae"),
         *[F.avg(m).alias(m) for m in ("iou", "f1", "precision", "recall")],
         F.avg(F.col("success").cast("double")).alias("success_rate"),
         F.count("*").alias("num_samples"),
-        *[share(tenth < k).alias(f"{error_prefix}_lt_{k * 10}") for k in TENTHS],
+        *[share(F.col("_tenth") < k).alias(f"{error_prefix}_lt_{k * 10}") for k in TENTHS],
         *[
             share(F.col(m) >= step / 100).alias(f"{m}_ge_{step}")
             for m in ("iou", "f1", "precision", "recall") for step in OVERLAP_STEPS
         ],
-    ]
-
-
-def summarise(rows: DataFrame, by: Sequence[str], metrics: Sequence[Column]) -> DataFrame:
-    return rows.groupBy(*by).agg(*metrics)
+    )
 
 
 def finite(value: Column) -> Column:

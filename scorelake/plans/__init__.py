@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("detection",)
+MODULES = ("detection", "relative", "texts")
 
 
 def all_queries():

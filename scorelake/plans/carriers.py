@@ -87,7 +87,7 @@ SELECT event_id AS doc_id, concat('model_', CAST(user_id % 4 AS STRING)) AS mode
        CAST(event_id % 3 AS INT) AS slice_dim,
        printf('[%.2f, %.3f]', value + 2, value * 0.5e0 + 1) AS target,
        CASE WHEN event_id % 10 = 0 THEN 'no lesion' WHEN event_id % 7 = 0 THEN printf('%.2f', value)
-            ELSE printf('major %.3f, minor %.3f', (value + 2) * (1 + CAST(event_id % 31 - 15 AS DOUBLE) / 20),
+            ELSE printf('major %.4f, minor %.4f', (value + 2) * (1 + CAST(event_id % 31 - 15 AS DOUBLE) / 20),
                         (value * 0.5e0 + 1) * (1 + CAST(event_id % 17 - 8 AS DOUBLE) / 10)) END AS response
 FROM {events}
 """

@@ -37,7 +37,7 @@ def labelled(answers: DataFrame, plan_label: DataFrame, plan_task: DataFrame) ->
 
 def summary_by_anatomy(answers, plan_label, plan_task, by=()) -> DataFrame:
     rows = labelled(scored(answers), plan_label, plan_task)
-    return summaries.summarise(rows, [*by, "group_name"], summaries.detection_metrics())
+    return summaries.summarise_detection(rows, [*by, "group_name"])
 
 
 def with_ratio(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def detection_summary_by_label(spark, sf_dir):
     rows = labelled(*_inputs(spark, sf_dir)).withColumn(
         "group_name", lookups.group_key(F.col("reported"), F.col("modality"), F.col("slice_dim"))
     )
-    return rounded(summaries.summarise(scored(rows), ["model", "group_name"], summaries.detection_metrics()))
+    return rounded(summaries.summarise_detection(scored(rows), ["model", "group_name"]))
 
 
 @query("detection_summary_by_size_bin", f"""
@@ -238,7 +238,7 @@ def detection_summary_by_size_bin(spark, sf_dir):
     rows = with_ratio(scored(derived(spark, sf_dir, BOXES))).withColumn(
         "size_bin", ratio_bin(F.col("box_img_ratio"), "percent")
     )
-    return rounded(summaries.summarise(rows, ["size_bin"], summaries.detection_metrics()))
+    return rounded(summaries.summarise_detection(rows, ["size_bin"]))
 
 
 @query("overlap_by_size_bin_and_label", f"""
@@ -306,7 +306,7 @@ SELECT model, file_name, round(avg(mae), 6) AS avg_mae, round(avg(iou), 6) AS av
 FROM plain_scores GROUP BY 1, 2""")
 def parse_stage_detection(spark, sf_dir):
     rows = scored(derived(spark, sf_dir, BOXES), on_failure="null")
-    return rounded(summaries.summarise(rows, ["model", "file_name"], summaries.parse_stage_metrics("Detection")))
+    return rounded(summaries.summarise_parse_stage(rows, ["model", "file_name"], "Detection"))
 
 
 @query("online_box_scores", f"""

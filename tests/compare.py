@@ -76,7 +76,7 @@ def main(sf_dir, *only):
         try:
             problem = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as e:  # report and go on
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:500]}"
         mark = "ok " if problem is None else "BAD"
         bad += problem is not None
         note = "" if name in oracles else " (rows only)"
