@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.binding import bound
 from scorelake.functions.numbers import strip
 from scorelake.functions.strings import replace_first
 
@@ -172,30 +173,35 @@ CONTRACTIONS = {
 MAX_PERIODS = 32
 
 
-def _word_table(table: dict[str, str]) -> Column:
-    cells = [F.lit(x) for pair in table.items() for x in pair]
-    return F.create_map(*cells)
+def _looked_up(word: Column, table: dict[str, str]) -> Column:
+    """The table's entry for a word, else the word. Membership is a hash test; only hits search the map."""
+    cells = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.when(word.isin(*table), F.element_at(cells, word)).otherwise(word)
 
 
 def strip_punctuation_text(text: Column) -> Column:
     """Punctuation goes away where any of it touches a blank (or the text holds a digit,digit comma);
     elsewhere it turns into a blank. Then periods not followed by a digit go."""
-    grouped = text.rlike(r"\d,+\d")
-    out = text
-    for mark in PUNCTUATION:
-        touching = F.contains(text, F.lit(mark + " ")) | F.contains(text, F.lit(" " + mark))
-        out = F.replace(out, F.lit(mark), F.when(touching | grouped, F.lit("")).otherwise(F.lit(" ")))
-    return replace_first(out, r"\.(?!\d)", "", MAX_PERIODS)
+    def marked(t: Column) -> Column:
+        return F.struct(t.alias("text"), t.rlike(r"\d,+\d").alias("grouped"))
+
+    def cleaned(m: Column) -> Column:
+        out = m["text"]
+        for mark in PUNCTUATION:
+            touching = F.contains(m["text"], F.lit(mark + " ")) | F.contains(m["text"], F.lit(" " + mark))
+            put = F.when(touching | m["grouped"], F.lit("")).otherwise(F.lit(" "))
+            out = F.replace(out, F.lit(mark), put)
+        return out
+
+    return replace_first(bound(bound(text, marked), cleaned), r"\.(?!\d)", "", MAX_PERIODS)
 
 
 def plain_words_text(text: Column) -> Column:
     """Number words to digits, articles dropped, contractions restored, single blanks."""
-    numbers, contractions = _word_table(NUMBER_WORDS), _word_table(CONTRACTIONS)
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), w))
+    words = F.transform(words, lambda w: _looked_up(w, NUMBER_WORDS))
     words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(contractions, w), w))
-    return F.array_join(words, " ")
+    return F.array_join(F.transform(words, lambda w: _looked_up(w, CONTRACTIONS)), " ")
 
 
 def vqa_answer_text(text: Column) -> Column:

@@ -25,24 +25,31 @@ def _mix(x: Column) -> Column:
     return F.shiftright(x, 16).bitwiseXOR(x)
 
 
-def draw(key: Column, stream: Column | int = 0, seed: int = SEED) -> Column:
-    """A whole number in [0, 2^32) for a whole-number key; ``stream`` tells draws of one key apart."""
+def key_state(key: Column, seed: int = SEED) -> Column:
+    """What all draws of a whole-number key start from. Worth keeping as a column when a row draws often."""
     key = key.cast("bigint")
-    folded = key.bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(_MASK).bitwiseXOR(F.lit(seed).cast("bigint"))
+    folded = key.bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(_MASK)
+    return _mix(folded.bitwiseXOR(F.lit(seed).cast("bigint")))
+
+
+def draw_from(state: Column, stream: Column | int = 0) -> Column:
+    """A whole number in [0, 2^32); ``stream`` tells draws of one key apart."""
     stream = F.lit(stream).cast("bigint") if isinstance(stream, int) else stream.cast("bigint")
-    return _mix((_mix(folded) + stream * _STREAM_STEP).bitwiseAND(_MASK))
+    return _mix((state + stream * _STREAM_STEP).bitwiseAND(_MASK))
+
+
+def draw(key: Column, stream: Column | int = 0, seed: int = SEED) -> Column:
+    return draw_from(key_state(key, seed), stream)
 
 
-def uniform(key: Column, stream: Column | int = 0, seed: int = SEED) -> Column:
+def uniform_from(state: Column, stream: Column | int = 0) -> Column:
     """A number in [0, 1)."""
-    return draw(key, stream, seed) / float(SPAN)
+    return draw_from(state, stream) / float(SPAN)
 
 
-def uniform_int(key: Column, low: Column | int, high: Column | int, stream: Column | int, seed: int = SEED) -> Column:
+def uniform_int(state: Column, low: int, high: Column, stream: Column | int) -> Column:
     """A whole number from low to high, both included."""
-    low = F.lit(low) if isinstance(low, int) else low
-    high = F.lit(high) if isinstance(high, int) else high
-    return low + F.floor(uniform(key, stream, seed) * (high - low + 1))
+    return low + F.floor(uniform_from(state, stream) * (high - low + 1))
 
 
 def poisson_one(u: Column, longest: int = 12) -> Column:

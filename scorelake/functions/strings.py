@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.binding import bound
 from scorelake.functions.numbers import strip
 
 # Characters a model name may not keep, and the words read as booleans.
@@ -18,7 +19,12 @@ def sha256_text(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+    """Whether the whole text is one JSON value. The parser itself stops after the first value, so the
+    text has to hold up both as the only array element and as the only field."""
+    def holds(before: str, after: str) -> Column:
+        return F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+
+    return F.coalesce(holds("[", "]") & holds('{"v":', "}"), F.lit(False))
 
 
 def sanitize_model_name(name: Column, full_path: bool = False) -> Column:
@@ -120,8 +126,7 @@ def fixed_decimals(value: Column, digits: int) -> Column:
         units = whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)
         return F.struct((v < 0).alias("minus"), units.alias("units"))
 
-    # Lambdas bind the value once, where nesting would repeat its expression dozens of times.
-    parts = F.get(F.transform(F.array(value.cast("double")), spelled), F.lit(0))
+    parts = bound(value.cast("double"), spelled)
 
     def shown(p: Column) -> Column:
         sign = F.when(p["minus"], F.lit("-")).otherwise(F.lit(""))
@@ -130,7 +135,7 @@ def fixed_decimals(value: Column, digits: int) -> Column:
             return F.concat(sign, whole)
         return F.concat(sign, whole, F.lit("."), F.lpad((p["units"] % step).cast("string"), digits, "0"))
 
-    return F.get(F.transform(F.array(parts), shown), F.lit(0))
+    return bound(parts, shown)
 
 
 def fixed(value: Column, digits: int, width: int | None = None) -> Column:

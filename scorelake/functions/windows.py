@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.binding import bound
+
 
 def rolling_windows(tokens: Column, prefix: Column, longest: int, context: int = 1) -> Column:
     """Windows of (input, predicted) tokens that predict every token once.
@@ -14,7 +16,10 @@ def rolling_windows(tokens: Column, prefix: Column, longest: int, context: int =
     """
     if not 1 <= context <= longest:
         raise ValueError("context must be between 1 and the longest window")
-    stride = longest - context + 1
+    return bound(tokens, lambda t: _windows(t, prefix, longest, longest - context + 1))
+
+
+def _windows(tokens: Column, prefix: Column, longest: int, stride: int) -> Column:
     n = F.size(tokens)
     head = F.least(n, F.lit(longest))
     first = F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import ratio_bin
-from scorelake.functions.draws import SEED, uniform_int
+from scorelake.functions.draws import SEED, key_state, uniform_int
 from scorelake.functions.scoring import METRICS, with_scores
 from scorelake.operators.summaries import summarise_detection
 
@@ -16,20 +16,21 @@ from scorelake.operators.summaries import summarise_detection
 SIMULATIONS = 100
 
 
-def with_random_box(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
+def with_random_box(df: DataFrame) -> DataFrame:
     """Add ``_box``: whole pixels, size and place uniform, in relative coordinates at single precision.
-    Expects the image height and width as ``_ih`` and ``_iw`` and the number of the draw as ``_repeat``."""
-    stream = F.col("_repeat").cast("bigint") * 4
+    Expects the image height and width as ``_ih`` and ``_iw``, the key's ``_state`` and the number of the
+    draw as ``_repeat``."""
+    state, stream = F.col("_state"), F.col("_repeat").cast("bigint") * 4
     sized = df.withColumns(
         {
-            "_bw": uniform_int(F.col(key), 1, F.col("_iw"), stream, seed),
-            "_bh": uniform_int(F.col(key), 1, F.col("_ih"), stream + 1, seed),
+            "_bw": uniform_int(state, 1, F.col("_iw"), stream),
+            "_bh": uniform_int(state, 1, F.col("_ih"), stream + 1),
         }
     )
     placed = sized.withColumns(
         {
-            "_bx": uniform_int(F.col(key), 0, F.col("_iw") - F.col("_bw"), stream + 2, seed),
-            "_by": uniform_int(F.col(key), 0, F.col("_ih") - F.col("_bh"), stream + 3, seed),
+            "_bx": uniform_int(state, 0, F.col("_iw") - F.col("_bw"), stream + 2),
+            "_by": uniform_int(state, 0, F.col("_ih") - F.col("_bh"), stream + 3),
         }
     )
     x, y, w, h = (F.col(c) for c in ("_bx", "_by", "_bw", "_bh"))
@@ -48,10 +49,11 @@ def random_scores(
     """
     height, width = F.get("image_size_2d", F.lit(0)), F.get("image_size_2d", F.lit(1))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.select(key, *keep, "target", height.alias("_ih"), width.alias("_iw")).repartition(
-        tasks, key
-    ).withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    placed = with_random_box(drawn, key, seed)
+    spread = rows.select(key, *keep, "target", height.alias("_ih"), width.alias("_iw")).repartition(tasks, key)
+    drawn = spread.withColumn("_state", key_state(F.col(key), seed)).withColumn(
+        "_repeat", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))
+    )
+    placed = with_random_box(drawn)
     scored = with_scores(placed, F.col("_box"), F.col("target"), "Detection")
     return scored.groupBy(key, *keep).agg(
         *[F.avg(m).alias(m) for m in METRICS["Detection"]]

@@ -144,6 +144,17 @@ def label_rows() -> list[tuple[str, str, str]]:
     return [(label, cls, RENAMED.get(label, label)) for cls, labels in CLASSES.items() for label in labels]
 
 
+def inline_sql() -> str:
+    """The label table as an inline SQL table: idx, label_name, anatomy, reported."""
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    rows = ", ".join(
+        f"({i}, {text(label)}, {text(cls)}, {text(name)})" for i, (label, cls, name) in enumerate(label_rows())
+    )
+    return f"SELECT * FROM (VALUES {rows}) AS t(idx, label_name, anatomy, reported)"
+
+
 def label_table(spark: SparkSession) -> DataFrame:
     """The two label maps as one table. Its size is fixed, so it may be broadcast."""
-    return spark.createDataFrame(label_rows(), "label string, anatomy string, reported string")
+    return spark.sql(inline_sql()).drop("idx")

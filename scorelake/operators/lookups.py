@@ -69,7 +69,7 @@ def with_anatomy(rows: DataFrame, on_missing: str = "error") -> DataFrame:
     ``on_missing="None"`` gets the text ``None``."""
     if on_missing not in ("error", "None"):
         raise ValueError("on_missing must be 'error' or 'None'")
-    table = F.broadcast(label_table(rows.sparkSession).withColumnRenamed("label", "label_name"))
+    table = F.broadcast(label_table(rows.sparkSession))
     joined = rows.join(table, "label_name", "left")
     if on_missing == "None":
         missing = F.lit("None")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.draws import SEED, poisson_one, uniform
+from scorelake.functions.draws import SEED, key_state, poisson_one, uniform_from
 from scorelake.operators.ranking import with_row_index
 
 # ---- aggregates of one column ----
@@ -107,11 +107,11 @@ def bootstrap_totals(
     Every row gets a Poisson(1) weight per iteration, which in place of drawing n of n rows needs no
     global view: rows never move, and what is shuffled is one partial sum per task, group and iteration.
     """
-    spread = df.select(*by, key, *[c.alias(n) for n, c in totals.items()]).withColumn(
-        "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-    )
-    weight = poisson_one(uniform(F.col(key), F.col("iteration"), seed))
-    weighted = spread.withColumn("_w", weight.cast("double")).filter("_w > 0")
+    spread = df.select(
+        *by, key_state(F.col(key), seed).alias("_state"), *[c.alias(n) for n, c in totals.items()]
+    ).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    drawn = spread.withColumn("_u", uniform_from(F.col("_state"), F.col("iteration")))
+    weighted = drawn.withColumn("_w", poisson_one(F.col("_u")).cast("double")).filter("_w > 0")
     return weighted.groupBy(*by, "iteration").agg(
         F.sum("_w").alias("resampled"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in totals]
     )
@@ -177,7 +177,7 @@ def group_scores(
 def combined_stderr(results: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Standard error by merging subtasks pairwise in order. The first subtask's size stands for the
     merged size at every step. One row per configured task goes in."""
-    step = F.struct(F.col(order), *[F.col(c).cast("double") for c in ("stderr", "samples", "value")])
+    step = F.struct(F.col(order), *[F.col(c).cast("double").alias(c) for c in ("stderr", "samples", "value")])
     ordered = results.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     first = F.col("_steps")[0]
     base = first["samples"]

@@ -7,17 +7,11 @@ Numbers are whole-number arithmetic on unique keys, so every row is repeatable a
 
 from __future__ import annotations
 
-from scorelake.operators.labels import label_rows
-
-
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+from scorelake.operators.labels import inline_sql
 
 
 # label index -> label, class, reported name
-LABELS = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for i, (a, b, c) in enumerate(label_rows())
-) + ") AS t(idx, label_name, anatomy, reported)"
+LABELS = inline_sql()
 
 PLAN_LABEL = f"""
 SELECT concat('set', CAST(p_partkey % 3 AS STRING)) AS dataset, CAST(1 + p_partkey % 4 AS INT) AS task_id,
@@ -109,7 +103,7 @@ SELECT event_id AS id,
        CASE event_type WHEN 'view' THEN 'Concrete Recognition' WHEN 'click' THEN 'Analytical Questions'
          WHEN 'error' THEN 'Evaluative Questions' WHEN 'signup' THEN 'Further Insights' ELSE 'Real-world Assistance' END AS subtask,
        CAST(CASE WHEN event_id % 15 = 0 THEN -1 ELSE CAST(floor(value) AS INT) % 11 END AS DOUBLE) AS score,
-       concat('{''subject'': ''s', CAST(user_id % 9 AS STRING), ''', ''url'': ''u''}') AS website,
+       concat(chr(123), '''subject'': ''s', CAST(user_id % 9 AS STRING), ''', ''url'': ''u''', chr(125)) AS website,
        concat('model_', CAST(user_id % 3 AS STRING)) AS model
 FROM {events}
 """

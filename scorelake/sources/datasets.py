@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators.assembly import union_all, with_dataset_name
+from scorelake.sources.logs import logical_path
 
 # Fixed values.
 AUDIO_PREFIX = "<|audio_bos|><|AUDIO|><|audio_eos|>"
@@ -38,9 +39,12 @@ def question_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in ("Q", "A", "DimensionName", "VideoID")])
 
 
+CAPTION_SCHEMA = "video string, caption string, timestamp array<float>"
+
+
 def caption_rows(spark: SparkSession, path: str) -> DataFrame:
     """(video, caption, timestamp) of JSON records, times at single precision."""
-    return spark.read.schema("video string, caption string, timestamp array<float>").option(
+    return spark.read.schema(CAPTION_SCHEMA).option(
         "mode", "FAILFAST"
     ).option("multiLine", "true").json(path)
 
@@ -77,8 +81,9 @@ def image_questions(spark: SparkSession, splits: dict[str, tuple[str, str, str]]
 
 def described_videos(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text file: name up to the first dot, the fixed question, the first line as answer."""
-    files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
-    text = F.regexp_replace("value", "^﻿", "")
+    path = logical_path(F.col("_metadata.file_path"))
+    files = spark.read.text(folder, wholetext=True).select("value", F.element_at(F.split(path, "/"), -1).alias("file_name"))
+    text = F.regexp_replace("value", "^\ufeff", "")
     first = F.regexp_extract(text, r"^([^\n]*\n?)", 1)
     return files.select(
         F.substring_index("file_name", ".", 1).alias("video_name"),

@@ -36,23 +36,29 @@ def dataset_of(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"samples_([^_]+)_", 1)
 
 
+def logical_path(path: Column) -> Column:
+    """Path of the log a file belongs to. A log written by Spark is a folder of part files, and a
+    partition folder ``key=name`` counts as ``name``."""
+    whole = F.regexp_replace(F.url_decode(path), r"/part-[^/]+$", "")
+    return F.regexp_replace(whole, r"/\w+=([^/]+)", "/$1")
+
+
 def file_attributes(path: Column) -> dict[str, Column]:
-    name = F.element_at(F.split(path, "/"), -1)
+    """Model and file name of a logical path."""
     return {
-        "model": F.url_decode(F.regexp_extract(path, r"([^/]+)/(?:parsed/)?[^/]+$", 1)),
-        "file_name": F.url_decode(name),
+        "model": F.regexp_extract(path, r"([^/]+)/(?:parsed/)?[^/]+$", 1),
+        "file_name": F.element_at(F.split(path, "/"), -1),
     }
 
 
 def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """Lines with where they stand: file, split of the file, and order inside the split."""
+    """Lines with where they stand: log, piece of the log (part file and split), and order inside it."""
+    place = F.concat_ws(
+        "#", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    )
     return (
         spark.read.text(pattern)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
+        .select("value", logical_path(F.col("_metadata.file_path")).alias("file"), place.alias("block"))
         .withColumn("line", F.monotonically_increasing_id())
     )
 
@@ -69,7 +75,7 @@ def parse_lines(lines: DataFrame, extra: dict[str, str] | None = None) -> DataFr
         schema = schema.add(name, kind)
     records = lines.filter(is_record(F.col("value")))
     row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    attributes = {k: v for k, v in file_attributes(F.col("file")).items()}
+    attributes = file_attributes(F.col("file"))
     return (
         records.withColumn("_row", row).withColumns(attributes)
         .withColumn("dataset", dataset_of(F.col("file_name")))
@@ -97,7 +103,7 @@ def read_parsed_logs(spark: SparkSession, task_dir: str) -> DataFrame:
 def read_results(spark: SparkSession, task_dir: str) -> DataFrame:
     """Long results (model, prefix, task, metric, value) of ``<prefix>_results.json`` files."""
     raw = spark.read.text(f"{task_dir.rstrip('/')}/*/*_results.json", wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("file")
+        "value", logical_path(F.col("_metadata.file_path")).alias("file")
     )
     attributes = file_attributes(F.col("file"))
     body = F.from_json(

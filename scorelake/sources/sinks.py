@@ -74,6 +74,15 @@ def write_sample_log(samples: DataFrame, path: str) -> None:
     sample_lines(samples).write.mode("overwrite").text(path)
 
 
+def write_logs(lines: DataFrame, task_dir: str, order: Sequence[str] = ()) -> None:
+    """Lines (model, log, value) as one log per model and name below a task folder. With ``order`` the
+    lines of a log are in order over its part files; long logs spread over many tasks."""
+    if order:
+        keys = ["model", "log", *order]
+        lines = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    lines.select("model", "log", "value").write.mode("append").partitionBy("model", "log").text(task_dir)
+
+
 def write_results(results: DataFrame, hashes: DataFrame, path: str) -> None:
     """Long results with the content hash of each task beside its metrics."""
     results.join(hashes, "task", "left").write.mode("overwrite").partitionBy("task").parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorelake.sources.logs import logical_path
+
 
 def read_task_list(spark: SparkSession, path: str) -> DataFrame:
     """(task, n) of JSON objects that map a task name to its number of samples."""
@@ -38,14 +40,14 @@ def read_config_names(spark: SparkSession, path: str) -> DataFrame:
 ENTRY_SCHEMA = "path string, directory string, file_name string, item string, value string, include array<string>"
 
 
-def read_task_configs(spark: SparkSession, root: str) -> DataFrame:
+def read_task_configs(spark: SparkSession, root: str, files: str = "*.yaml") -> DataFrame:
     """Top-level entries of every YAML file below a folder: one row per (file, key), values as JSON text."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").text(root, wholetext=True)
-        .select("value", F.url_decode(F.col("_metadata.file_path")).alias("path"))
-        .filter(~F.col("path").rlike("/(__pycache__|\\.ipynb_checkpoints)/"))
+    texts = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(root, wholetext=True)
+        .select("value", logical_path(F.col("_metadata.file_path")).alias("path"))
+        .filter(F.col("path").endswith(".yaml") & ~F.col("path").rlike("/(__pycache__|\\.ipynb_checkpoints)/"))
     )
-    return files.mapInPandas(_decode_yaml, ENTRY_SCHEMA)
+    return texts.mapInPandas(_decode_yaml, ENTRY_SCHEMA)
 
 
 def _decode_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

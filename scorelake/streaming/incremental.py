@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from scorelake.functions.numbers import answer_length, last_numbers, parse_target
 from scorelake.functions.scoring import with_scores
 from scorelake.operators.ranking import latest
-from scorelake.sources.logs import parse_lines
+from scorelake.sources.logs import logical_path, parse_lines
 
 
 def stream_lines(spark: SparkSession, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "false")
+    reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(pattern).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("line"),
+        "value", logical_path(F.col("_metadata.file_path")).alias("file"),
+        F.lit("").alias("block"), F.lit(0).cast("bigint").alias("line"),
     )
 
 
