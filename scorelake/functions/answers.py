@@ -29,10 +29,16 @@ def _nth(found: Column, n: int) -> Column:
 
 
 def find_nth(text: Column, pattern: str, group_select: int = 0) -> Column:
-    """The n-th match: its only group, its first non-empty group, or all of it. Null without a match."""
+    """The n-th match: its only group, its first non-empty group, or all of it. Null without a match.
+    The first match is looked up without collecting the others."""
     groups = re.compile(pattern).groups
     if groups <= 1:
+        if group_select == 0:
+            return strip(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, groups)))
         return strip(_nth(F.regexp_extract_all(text, F.lit(pattern), groups), group_select))
+    if group_select == 0:
+        picks = [F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in range(1, groups + 1)]
+        return strip(F.coalesce(*picks))
     picks = [
         F.nullif(_nth(F.regexp_extract_all(text, F.lit(pattern), g), group_select), F.lit(""))
         for g in range(1, groups + 1)

@@ -26,16 +26,19 @@ def _mix(x: Column) -> Column:
 
 
 def key_state(key: Column, seed: int = SEED) -> Column:
-    """What all draws of a whole-number key start from. Worth keeping as a column when a row draws often."""
-    key = key.cast("bigint")
+    """What all draws of a whole-number key start from; a missing key counts as 0. Worth keeping as a
+    column when a row draws often."""
+    # Never null, so that a join or filter on a draw adds no test that would work it out once more.
+    key = F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint"))
     folded = key.bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(_MASK)
     return _mix(folded.bitwiseXOR(F.lit(seed).cast("bigint")))
 
 
 def draw_from(state: Column, stream: Column | int = 0) -> Column:
     """A whole number in [0, 2^32); ``stream`` tells draws of one key apart."""
-    stream = F.lit(stream).cast("bigint") if isinstance(stream, int) else stream.cast("bigint")
-    return _mix((state + stream * _STREAM_STEP).bitwiseAND(_MASK))
+    zero = F.lit(0).cast("bigint")
+    stream = F.lit(stream).cast("bigint") if isinstance(stream, int) else F.coalesce(stream.cast("bigint"), zero)
+    return _mix((F.coalesce(state, zero) + stream * _STREAM_STEP).bitwiseAND(_MASK))
 
 
 def draw(key: Column, stream: Column | int = 0, seed: int = SEED) -> Column:

@@ -23,7 +23,7 @@ def _windows(tokens: Column, prefix: Column, longest: int, stride: int) -> Colum
     n = F.size(tokens)
     head = F.least(n, F.lit(longest))
     first = F.struct(
-        F.concat(F.array(prefix), F.slice(tokens, F.lit(1), head - 1)).alias("input"),
+        F.concat(F.array(prefix), F.slice(tokens, F.lit(1), F.greatest(head - 1, F.lit(0)))).alias("input"),
         F.slice(tokens, F.lit(1), head).alias("predicted"),
     )
     more = F.ceil((n - longest) / F.lit(float(stride))).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.draws import SEED, draw
-from scorelake.operators.ranking import latest, mark_sample, sample_rows, with_row_index
+from scorelake.operators.ranking import latest, mark_sample, with_row_index
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:
@@ -44,14 +44,16 @@ def split_exact(df: DataFrame, validation: int, key: str, seed: int = SEED, name
 def limited_split(
     df: DataFrame, train: int, validation: int, key: str, seed: int = SEED
 ) -> DataFrame:
-    """Split, then keep at most ``train`` training rows (all when negative)."""
+    """Exactly ``validation`` rows for validation and at most ``train`` others (all when negative).
+
+    Both cut-offs lie in one random order, so the training rows are a random part of the rest.
+    """
     if validation <= 0 or train == 0:
         raise ValueError("validation must be positive and train must not be 0")
     parts = split_exact(df, validation, key, seed)
     if train < 0:
         return parts
-    limit = F.when(F.col("split") == "train", F.lit(train)).otherwise(F.lit(validation))
-    return sample_rows(parts, limit, key, seed + 1, by=["split"])
+    return mark_sample(parts, validation + train, key, seed, name="_in").filter("_in").drop("_in")
 
 
 def sample_limits(

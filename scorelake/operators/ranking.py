@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.functions.draws import SEED, SPAN, draw
+from scorelake.functions.draws import SEED, draw
 from scorelake.session import durable
 
 
@@ -105,12 +105,12 @@ def mark_sample(
     key: str,
     seed: int = SEED,
     by: Sequence[str] = (),
-    buckets: int = 4096,
+    bits: int = 12,
     name: str = "taken",
 ) -> DataFrame:
     """Mark exactly n rows per group, chosen by the draw of a unique whole-number key.
 
-    Groups are counted per bucket of the draw; only the keys of the one bucket in which the n-th row
+    Groups are counted per bucket of the draw, its leading ``bits``; only the keys of the one bucket in which the n-th row
     lies are ranked. Full rows are read once and never shuffled: each is compared with the cut-off of
     its group, a table of one row per group.
     """
@@ -118,7 +118,7 @@ def mark_sample(
     drawn = df.withColumn("_draw", draw(F.col(key), 0, seed))
     keys = drawn.select(
         *by, F.col(key).alias("_key"), "_draw",
-        F.floor(F.col("_draw") * buckets / SPAN).alias("_bucket"),
+        F.shiftright("_draw", 32 - bits).alias("_bucket"),
     )
     sizes = keys.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,13 +31,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` says that the query works long on every row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
-def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, text: str, heavy: bool = False) -> DataFrame:
     """A table derived by SQL whose ``{name}`` marks stand for the given tables."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    used = {t: table(spark, sf_dir, t, heavy) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
@@ -54,6 +58,9 @@ def r6(value: Column) -> Column:
 
 def rounded(df: DataFrame) -> DataFrame:
     """Floating columns at six decimals, as their last digits depend on the order of summation."""
-    return df.select(
-        *[r6(F.col(f"`{n}`").cast("double")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes]
+    return df.selectExpr(
+        *[
+            f"signum(`{n}`) * floor(abs(`{n}`) * 1e6D + 0.5D) / 1e6D AS `{n}`" if t in ("double", "float") else f"`{n}`"
+            for n, t in df.dtypes
+        ]
     )

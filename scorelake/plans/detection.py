@@ -12,7 +12,7 @@ from scorelake.functions.numbers import (
 from scorelake.functions.scoring import online_scores, with_scores
 from scorelake.operators import lookups, summaries
 from scorelake.plans.carriers import BOXES, LABELS, PLAN_LABEL, PLAN_TASK
-from scorelake.plans.catalogue import derived, plain, query, r6, rounded
+from scorelake.plans.catalogue import derived, plain, query, r6, rounded, table
 
 OVERLAPS = ("iou", "f1", "precision", "recall")
 
@@ -47,7 +47,7 @@ def with_ratio(rows: DataFrame) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, sf_dir: str):
-    return tuple(derived(spark, sf_dir, text) for text in (BOXES, PLAN_LABEL, PLAN_TASK))
+    return derived(spark, sf_dir, BOXES, heavy=True), derived(spark, sf_dir, PLAN_LABEL), derived(spark, sf_dir, PLAN_TASK)
 
 
 # ---- SQL shared by the checks ----
@@ -130,7 +130,7 @@ SELECT doc_id, CASE WHEN len({NUMBERS}) >= 4 THEN array_to_string({NUMBERS}[-4:]
        CASE WHEN len({NUMBERS}) >= 2 THEN array_to_string({NUMBERS}[-2:], ',') ELSE '' END AS last_two
 FROM boxes""")
 def last_numbers_of_answer(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     return rows.select(
         "doc_id", last_numbers_text(F.col("response"), 4).alias("answer"),
         last_numbers_text(F.col("response"), 2).alias("last_two"),
@@ -143,7 +143,7 @@ SELECT doc_id, len(regexp_extract_all(text, '-?\\d+\\.?\\d*')) AS n_numbers,
             THEN array_to_string(regexp_extract_all(text, '-?\\d+\\.?\\d*')[-2:], ',') ELSE '' END AS last_two
 FROM documents""")
 def last_numbers_of_document(spark, sf_dir):
-    docs = derived(spark, sf_dir, "SELECT doc_id, text FROM {documents}")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     from scorelake.functions.numbers import all_numbers
 
     return docs.select(
@@ -156,7 +156,7 @@ def last_numbers_of_document(spark, sf_dir):
 WITH {SCORED}
 SELECT doc_id, round(p[1], 6) AS p0, round(p[4], 6) AS p3, round(t[1], 6) AS t0, round(t[4], 6) AS t3, success FROM overlap""")
 def parsed_prediction_and_target(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     text = last_numbers_text(F.col("response"), 4)
     parsed = rows.select("doc_id", parse_prediction(text, 4).alias("p"), parse_target(F.col("target")).alias("t"))
     at = lambda c, i: r6(F.get(F.col(c), F.lit(i)))
@@ -171,7 +171,7 @@ WITH {SCORED}
 SELECT doc_id, round(mae, 6) AS mae, round(iou, 6) AS iou, round(f1, 6) AS f1, round("precision", 6) AS "precision",
        round(recall, 6) AS recall, success FROM plain_scores""")
 def box_overlap_per_row(spark, sf_dir):
-    rows = scored(derived(spark, sf_dir, BOXES), on_failure="null")
+    rows = scored(derived(spark, sf_dir, BOXES, heavy=True), on_failure="null")
     return rounded(rows.select("doc_id", "mae", *OVERLAPS, "success"))
 
 
@@ -181,7 +181,7 @@ SELECT a.model, round(avg(a.iou), 6) AS iou_without_failures, round(avg(b.iou),
        round(avg(a.f1), 6) AS f1_without_failures, round(avg(b.f1), 6) AS f1_with_failures
 FROM plain_scores a JOIN scored b USING (doc_id) GROUP BY a.model""")
 def failure_rules_side_by_side(spark, sf_dir):
-    rows = scored(derived(spark, sf_dir, BOXES), on_failure="null")
+    rows = scored(derived(spark, sf_dir, BOXES, heavy=True), on_failure="null")
     zero = lambda m: F.avg(F.coalesce(F.col(m), F.when(~F.col("success"), 0.0)))
     return rounded(rows.groupBy("model").agg(
         F.avg("iou").alias("iou_without_failures"), zero("iou").alias("iou_with_failures"),
@@ -194,7 +194,7 @@ WITH boxes AS ({plain(BOXES).replace('STRING', 'VARCHAR')})
 SELECT doc_id, round(CAST(1 AS DOUBLE) / image_w, 6) AS x0, round(CAST(image_h - (2 + box_h) AS DOUBLE) / image_h, 6) AS y0,
        round(CAST(1 + box_w AS DOUBLE) / image_w, 6) AS x1, round(CAST(image_h - 2 AS DOUBLE) / image_h, 6) AS y1 FROM boxes""")
 def box_targets_from_pixel_corners(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     low = F.array(F.lit(2.0), F.lit(1.0))
     high = F.array(F.col("box_h") + F.lit(2.0), F.col("box_w") + F.lit(1.0))
     box = box_target(low, high, F.array("image_h", "image_w"))
@@ -205,7 +205,7 @@ def box_targets_from_pixel_corners(spark, sf_dir):
 WITH {SCORED}, r AS (SELECT doc_id, {RATIO} FROM parsed)
 SELECT doc_id, box_img_ratio, {BIN_RANGE} AS size_bin, {BIN_PERCENT} AS size_bin_percent FROM r""")
 def box_share_of_image(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).withColumn("target_box", parse_fixed_target(F.col("target"), 4))
+    rows = derived(spark, sf_dir, BOXES, heavy=True).withColumn("target_box", parse_fixed_target(F.col("target"), 4))
     ratio = F.col("box_img_ratio")
     return with_ratio(rows).select(
         "doc_id", ratio.alias("box_img_ratio"), ratio_bin(ratio).alias("size_bin"),
@@ -235,7 +235,7 @@ def detection_summary_by_label(spark, sf_dir):
 WITH {SCORED}, r AS (SELECT *, {RATIO} FROM scored)
 SELECT {BIN_PERCENT} AS size_bin, {detection_sql()} FROM r GROUP BY 1""")
 def detection_summary_by_size_bin(spark, sf_dir):
-    rows = with_ratio(scored(derived(spark, sf_dir, BOXES))).withColumn(
+    rows = with_ratio(scored(derived(spark, sf_dir, BOXES, heavy=True))).withColumn(
         "size_bin", ratio_bin(F.col("box_img_ratio"), "percent")
     )
     return rounded(summaries.summarise_detection(rows, ["size_bin"]))
@@ -305,7 +305,7 @@ SELECT model, file_name, round(avg(mae), 6) AS avg_mae, round(avg(iou), 6) AS av
        round(avg(CAST(success AS INT)), 6) AS success_rate, count(*) AS num_samples
 FROM plain_scores GROUP BY 1, 2""")
 def parse_stage_detection(spark, sf_dir):
-    rows = scored(derived(spark, sf_dir, BOXES), on_failure="null")
+    rows = scored(derived(spark, sf_dir, BOXES, heavy=True), on_failure="null")
     return rounded(summaries.summarise_parse_stage(rows, ["model", "file_name"], "Detection"))
 
 
@@ -320,7 +320,7 @@ SELECT model, round(avg(mae), 6) AS avg_mae, round(avg(mre), 6) AS avg_finite_mr
        count(*) FILTER (WHERE success AND NOT finite_target) AS unbounded
 FROM rel GROUP BY 1""")
 def online_box_scores(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     pred, target = last_numbers(F.col("response"), 4), parse_fixed_target(F.col("target"), 4)
     s = rows.select("model", pred.alias("p"), target.alias("t")).select(
         "model", "t", online_scores(F.col("p"), F.col("t"), "box").alias("s")

@@ -22,7 +22,7 @@ LOG_NAME = "concat('r1_samples_', dataset, '_BoxCoordinate_Task01_Axial.jsonl')"
 def log_lines(spark, sf_dir) -> DataFrame:
     """(model, log, doc_id, value): log lines whose responses nest two or three deep, with blank lines and
     empty objects in between."""
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     doc = F.struct(
         F.col("task_id").cast("string").alias("taskID"), "label", "slice_dim", F.array("image_h", "image_w").alias("image_size_2d")
     )
@@ -41,7 +41,7 @@ def log_lines(spark, sf_dir) -> DataFrame:
 
 
 def results_lines(spark, sf_dir) -> DataFrame:
-    models = derived(spark, sf_dir, BOXES).select("model").distinct()
+    models = derived(spark, sf_dir, BOXES, heavy=True).select("model").distinct()
     return models.select(
         "model", F.lit("r1_results.json").alias("log"),
         F.concat(F.lit('{"results":{"task_of_'), "model", F.lit('":{"avgMAE,none":"0.5","avgMAE_stderr,none":"N/A"}}}')).alias("value"),
@@ -98,7 +98,7 @@ def parsed_table_round_trip(spark, sf_dir):
 WITH {SCORED} SELECT model, 'avg_mae' AS metric, round(avg(mae), 6) AS value, round(avg(mae), 6) AS csv_value FROM plain_scores GROUP BY 1
 UNION ALL SELECT model, 'never', NULL, NULL FROM plain_scores GROUP BY 1""")
 def summary_files_round_trip(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES)
+    rows = derived(spark, sf_dir, BOXES, heavy=True)
     scored = with_scores(rows, last_numbers(F.col("response"), 4), parse_target(F.col("target")), "Detection")
     summary = rounded(scored.groupBy("model").agg(F.avg("mae").alias("avg_mae"))).withColumn("never", F.lit(None).cast("double"))
     parquet, csv, text = (scratch_path(spark, n) for n in ("summary", "csv", "json"))

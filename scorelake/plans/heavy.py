@@ -16,7 +16,7 @@ SIMULATIONS = 100
 
 
 def guessed_rows(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).withColumn("target_box", parse_fixed_target(F.col("target"), 4))
+    rows = derived(spark, sf_dir, BOXES, heavy=True).withColumn("target_box", parse_fixed_target(F.col("target"), 4))
     return with_ratio(rows).select(
         "doc_id", F.col("target_box").alias("target"), F.array("image_h", "image_w").alias("image_size_2d"), "box_img_ratio"
     )

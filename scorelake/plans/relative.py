@@ -23,14 +23,14 @@ def scored(answers: DataFrame, task_kind: str) -> DataFrame:
 
 
 def labelled_measures(spark, sf_dir) -> DataFrame:
-    rows = scored(derived(spark, sf_dir, MEASURES), "AD")
+    rows = scored(derived(spark, sf_dir, MEASURES, heavy=True), "AD")
     return rows.withColumn(
         "label", summaries.measurement_label(F.col("dataset"), F.col("metric_type"), F.col("metric_key"))
     )
 
 
 def labelled_lesions(spark, sf_dir) -> DataFrame:
-    answers = derived(spark, sf_dir, LESIONS).withColumn("answer", F.col("response"))
+    answers = derived(spark, sf_dir, LESIONS, heavy=True).withColumn("answer", F.col("response"))
     named = lookups.with_target_label(
         answers, derived(spark, sf_dir, PLAN_LABEL), derived(spark, sf_dir, PLAN_TASK)
     )
@@ -93,7 +93,7 @@ scored AS (
 @query("measure_scores_per_row", f"""
 WITH {SCORED} SELECT doc_id, round(mae, 6) AS mae, round(mre, 6) AS mre, success FROM scored""")
 def measure_scores_per_row(spark, sf_dir):
-    return rounded(scored(derived(spark, sf_dir, MEASURES), "AD").select("doc_id", "mae", "mre", "success"))
+    return rounded(scored(derived(spark, sf_dir, MEASURES, heavy=True), "AD").select("doc_id", "mae", "mre", "success"))
 
 
 @query("parse_stage_angle_distance", f"""
@@ -103,7 +103,7 @@ SELECT model, dataset, round(avg(mae), 6) AS avg_mae, round(avg(mre), 6) AS avg_
   round(avg(CAST(success AS INT)), 6) AS success_rate, count(*) AS num_samples
 FROM scored GROUP BY 1, 2""")
 def parse_stage_angle_distance(spark, sf_dir):
-    rows = scored(derived(spark, sf_dir, MEASURES), "AD")
+    rows = scored(derived(spark, sf_dir, MEASURES, heavy=True), "AD")
     return rounded(summaries.summarise_parse_stage(rows, ["model", "dataset"], "AD"))
 
 
@@ -170,7 +170,7 @@ WITH {SCORED}, o AS (SELECT model, coalesce(p >= 0, false) AS ok, mae, mre FROM
 SELECT model, round(avg(mae) FILTER (WHERE ok), 6) AS mae, round(avg(mre) FILTER (WHERE ok), 6) AS mre,
        round(avg(CAST(ok AS INT)), 6) AS success_rate FROM o GROUP BY model""")
 def online_biometric_scores(spark, sf_dir):
-    rows = derived(spark, sf_dir, MEASURES).select(
+    rows = derived(spark, sf_dir, MEASURES, heavy=True).select(
         "model", last_numbers(F.col("response"), 1).alias("p"), parse_fixed_target(F.col("target"), 1).alias("t")
     )
     s = rows.select("model", online_scores(F.col("p"), F.col("t"), "biometric").alias("s")).select("model", "s.*")
@@ -189,7 +189,7 @@ SELECT model, round(count(*) FILTER (WHERE mre < 1.0) / count(*), 6) AS below_on
        round(count(*) FILTER (WHERE {TENTH} < 5) / count(*), 6) AS first_five_bins
 FROM scored GROUP BY model""")
 def two_kinds_of_error_shares(spark, sf_dir):
-    rows = scored(derived(spark, sf_dir, MEASURES), "AD").withColumn("tenth", summaries.error_bin(F.col("mre")))
+    rows = scored(derived(spark, sf_dir, MEASURES, heavy=True), "AD").withColumn("tenth", summaries.error_bin(F.col("mre")))
     return rounded(rows.groupBy("model").agg(
         summaries.share(F.col("mre") < 1.0).alias("below_one"), summaries.share(F.col("tenth") < 10).alias("open_last_bin"),
         summaries.share(F.col("mre") < 0.5).alias("below_half"), summaries.share(F.col("tenth") < 5).alias("first_five_bins"),

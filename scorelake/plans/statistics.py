@@ -239,13 +239,13 @@ SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM a"""
 
 @query("corpus_bleu", _bleu_sql())
 def corpus_bleu(spark, sf_dir):
-    rows = derived(spark, sf_dir, TURNS)
+    rows = derived(spark, sf_dir, TURNS, heavy=True)
     return rounded(translation.corpus_score(rows, "bleu", F.col("pred"), F.array("ref")))
 
 
 @query("corpus_chrf", _chrf_sql())
 def corpus_chrf(spark, sf_dir):
-    rows = derived(spark, sf_dir, TURNS)
+    rows = derived(spark, sf_dir, TURNS, heavy=True)
     return rounded(translation.corpus_score(rows, "chrf", F.col("pred"), F.array("ref")))
 
 

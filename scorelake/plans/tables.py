@@ -31,7 +31,7 @@ boxes AS ({plain(BOXES).replace('STRING', 'VARCHAR')})"""
 WITH {PLAN_SQL}
 SELECT b.doc_id, l.label_name, k.image_modality AS modality FROM boxes b JOIN plan_label l USING (dataset, task_id, label) JOIN plan_task k USING (dataset, task_id)""")
 def labels_from_plan(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).withColumn("answer", F.col("response"))
+    rows = derived(spark, sf_dir, BOXES, heavy=True).withColumn("answer", F.col("response"))
     return lookups.with_plan_label(rows, derived(spark, sf_dir, PLAN_LABEL), derived(spark, sf_dir, PLAN_TASK)).select(
         "doc_id", "label_name", "modality"
     )
@@ -42,7 +42,7 @@ WITH {PLAN_SQL}
 SELECT b.doc_id, k.target_label AS label, l.label_name, k.image_modality AS modality FROM boxes b JOIN plan_task k USING (dataset, task_id)
 JOIN plan_label l ON l.dataset = b.dataset AND l.task_id = b.task_id AND l.label = k.target_label""")
 def measured_label_of_task(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).withColumn("answer", F.col("response"))
+    rows = derived(spark, sf_dir, BOXES, heavy=True).withColumn("answer", F.col("response"))
     return lookups.with_target_label(rows, derived(spark, sf_dir, PLAN_LABEL), derived(spark, sf_dir, PLAN_TASK)).select(
         "doc_id", "label", "label_name", "modality"
     )
@@ -255,8 +255,8 @@ def exact_split(spark, sf_dir):
 
 
 @query("limited_split", f"""
-WITH s AS (SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {draw_sql('o_orderkey')}, o_orderkey) <= 50 THEN 'validation' ELSE 'train' END AS split FROM orders)
-SELECT o_orderkey, split FROM s QUALIFY row_number() OVER (PARTITION BY split ORDER BY {draw_sql('o_orderkey', seed=SEED + 1)}, o_orderkey) <= CASE split WHEN 'train' THEN 200 ELSE 50 END""")
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {draw_sql('o_orderkey')}, o_orderkey) <= 50 THEN 'validation' ELSE 'train' END AS split
+FROM orders QUALIFY row_number() OVER (ORDER BY {draw_sql('o_orderkey')}, o_orderkey) <= 250""")
 def limited_split(spark, sf_dir):
     return assembly.limited_split(table(spark, sf_dir, "orders").select("o_orderkey"), 200, 50, "o_orderkey")
 

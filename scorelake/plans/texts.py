@@ -21,7 +21,7 @@ SELECT doc_id, coalesce(trim(regexp_extract_all(text, '(\d+)', 1)[1], """ + WS +
 FROM documents""")
 def regex_answers(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", answers.regex_text(text, r"(\d+)").alias("first_number"),
         answers.regex_text(text, r"(\d+)", group_select=-1).alias("last_number"),
         answers.regex_text(text, r"([A-Z][a-z]+)!!|([a-z]+)###", fallback="[none]").alias("marked"),
@@ -152,7 +152,7 @@ def _vqa_oracle() -> str:
 
 @query("vqa_answers", _vqa_oracle())
 def vqa_answers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(answers.vqa_answer_text(F.col("text"))).alias("answer_md5"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(answers.vqa_answer_text(F.col("text"))).alias("answer_md5"))
 
 
 # ---- text scores ----
@@ -267,7 +267,7 @@ def likelihood_rows(spark, sf_dir):
 SELECT lang, round(sum(len(string_split(text, ' ')) * 1.5), 6) AS tokens, round(CASE WHEN sum(doc_id % 7) > 0 THEN sum(len(string_split(text, ' ')) * 1.5) / sum(doc_id % 7) ELSE 0 END, 6) AS throughput
 FROM documents GROUP BY lang""")
 def token_throughput(spark, sf_dir):
-    totals = table(spark, sf_dir, "documents").groupBy("lang").agg(
+    totals = table(spark, sf_dir, "documents", heavy=True).groupBy("lang").agg(
         F.sum(strings.estimated_tokens(F.col("text"))).alias("tokens"), F.sum(F.col("doc_id") % 7).alias("seconds")
     )
     return rounded(totals.select("lang", "tokens", strings.throughput(F.col("tokens"), F.col("seconds")).alias("throughput")))
@@ -285,7 +285,7 @@ SELECT doc_id, md5(prompt) AS prompt_md5, printf('%.3f, %.3f, %.3f, %.3f', t[1],
 def box_prompts_and_messages(spark, sf_dir):
     from scorelake.functions.numbers import parse_fixed_target
 
-    rows = derived(spark, sf_dir, BOXES).join(derived(spark, sf_dir, PLAN_LABEL), ["dataset", "task_id", "label"]).join(
+    rows = derived(spark, sf_dir, BOXES, heavy=True).join(derived(spark, sf_dir, PLAN_LABEL), ["dataset", "task_id", "label"]).join(
         derived(spark, sf_dir, PLAN_TASK), ["dataset", "task_id"]
     )
     prompt = prompts.box_prompt(F.col("image_description"), F.col("label_name"), prompts.ANSWER_BOX_TRAINING)
@@ -363,7 +363,7 @@ WITH t AS (SELECT doc_id, '( ' || replace(text, '.', ' .') || ' )' AS s FROM doc
 SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(replace(s, ' n''t', 'n''t'), ' )', ')'), '( ', '('), '" ', '"'), ' "', '"'), ' ([''.,])', '\\1', 'g')) AS text_md5 FROM t""")
 def detokenized_documents(spark, sf_dir):
     spaced = F.concat(F.lit("( "), F.replace("text", F.lit("."), F.lit(" .")), F.lit(" )"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strings.detokenize(spaced)).alias("text_md5"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.md5(strings.detokenize(spaced)).alias("text_md5"))
 
 
 @query("limited_replacement", """
@@ -372,7 +372,7 @@ SELECT doc_id, md5(array_to_string(p[:4], '_') || CASE WHEN len(p) > 4 THEN 'e'
   md5(array_to_string(p, '_')) AS all_md5 FROM t""")
 def limited_replacement(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.md5(strings.replace_first(text, "e", "_", 3)).alias("three_md5"),
         F.md5(strings.replace_first(text, "e", "_", 0)).alias("all_md5"),
     )
@@ -434,7 +434,7 @@ SELECT doc_id, win, len(inp) AS n_input, len(pred) AS n_predicted, md5(array_to_
   len(inp) - (len(pred) - 1) AS n_disjoint FROM s""")
 def rolling_token_windows(spark, sf_dir):
     found = windows.rolling_windows(F.split("text", " "), F.lit("<s>"), longest=64, context=8)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("win", "w"))
+    rows = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.posexplode(found).alias("win", "w"))
     return rows.select(
         "doc_id", "win", F.size("w.input").cast("bigint").alias("n_input"), F.size("w.predicted").cast("bigint").alias("n_predicted"),
         F.md5(F.array_join("w.input", " ")).alias("input_md5"), F.md5(F.array_join("w.predicted", " ")).alias("predicted_md5"),

@@ -49,6 +49,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scorelake/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores when it was read in fewer pieces than there are cores.
+
+    For work that costs far more per row than moving the row does. On an input of many splits, as on a
+    cluster, this changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so the loss of an executor never redoes earlier rounds."""
     shared_dir(df.sparkSession)

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorelake.functions.numbers import first_response
 
 DOC = (
-    "taskID STRING, label STRING, image_file STRING, mask_file STRING, slice_dim INT, slice_idx INT, "
-    "image_size_2d ARRAY<INT>, ROI_area DOUBLE, "
-    "bounding_boxes STRUCT<min_coords: ARRAY<ARRAY<DOUBLE>>, max_coords: ARRAY<ARRAY<DOUBLE>>, "
+    "STRUCT<taskID: STRING, label: STRING, image_file: STRING, mask_file: STRING, slice_dim: INT, slice_idx: INT, "
+    "image_size_2d: ARRAY<INT>, ROI_area: DOUBLE, "
+    "bounding_boxes: STRUCT<min_coords: ARRAY<ARRAY<DOUBLE>>, max_coords: ARRAY<ARRAY<DOUBLE>>, "
     "dimensions: ARRAY<ARRAY<DOUBLE>>>, "
-    "biometric_profile STRUCT<metric_type: STRING, metric_map_name: STRING, metric_key: STRING, "
+    "biometric_profile: STRUCT<metric_type: STRING, metric_map_name: STRING, metric_key: STRING, "
     "metric_unit: STRING, metric_value: DOUBLE, metric_value_major_axis: ARRAY<DOUBLE>, "
-    "metric_value_minor_axis: ARRAY<DOUBLE>>"
+    "metric_value_minor_axis: ARRAY<DOUBLE>>>"
 )
-# ``resps`` nests two or three deep and ``filtered_resps`` may be missing, so the first stays JSON text.
-LOG_SCHEMA = T.StructType.fromDDL(
+# ``resps`` nests two or three deep, so it stays JSON text.
+LOG_SCHEMA = (
     "doc_id BIGINT, target STRING, input STRING, resps STRING, filtered_resps ARRAY<STRING>, "
-    "doc_hash STRING, prompt_hash STRING, target_hash STRING"
-).add("doc", T.StructType.fromDDL(DOC))
+    f"doc_hash STRING, prompt_hash STRING, target_hash STRING, doc {DOC}"
+)
 
 
 def task_prefix(file_name: Column) -> Column:
@@ -70,9 +69,7 @@ def is_record(value: Column) -> Column:
 
 def parse_lines(lines: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """Typed log rows with their file attributes. A malformed line stops the job."""
-    schema = LOG_SCHEMA
-    for name, kind in (extra or {}).items():
-        schema = schema.add(name, kind)
+    schema = ", ".join([LOG_SCHEMA, *[f"{name} {kind}" for name, kind in (extra or {}).items()]])
     records = lines.filter(is_record(F.col("value")))
     row = F.from_json("value", schema, {"mode": "FAILFAST"})
     attributes = file_attributes(F.col("file"))
