@@ -144,6 +144,20 @@ def fixed(value: Column, digits: int, width: int | None = None) -> Column:
     return pad(shown, width) if width else shown
 
 
+def float_text(value: Column) -> Column:
+    """A number spelled as Python spells it: ``0.0005`` and ``12000000.0``, ``1e-05`` and ``1e+16``."""
+    text = value.cast("string")
+    size = F.abs(value)
+    plain = F.rtrim(text.cast("decimal(38,21)").cast("string"), F.lit("0"))
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, r"E-?(\d+)$", 1)
+    sign = F.when(F.contains(text, F.lit("E-")), F.lit("e-")).otherwise(F.lit("e+"))
+    scientific = F.concat(mantissa, sign, F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    spelled = F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
+    return F.when(F.contains(text, F.lit("E")), spelled).otherwise(text)
+
+
 def pad(text: Column, width: int) -> Column:
     """Pad on the right up to a width; longer text stays whole."""
     return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))

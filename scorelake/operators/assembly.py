@@ -167,6 +167,10 @@ def few_shot_examples(docs: DataFrame, pool: DataFrame, n: int, key: str, seed:
     return wanted.join(numbered.withColumnRenamed(key, "example"), "_at").select(key, "place", "example")
 
 
+# How examples are chosen, by name.
+SAMPLERS = {"default": few_shot_examples, "first_n": first_n}
+
+
 def few_shot_context(
     examples: DataFrame, pool: DataFrame, key: str, text: Column, target: Column,
     target_delimiter: str = " ", delimiter: str = "\n\n",

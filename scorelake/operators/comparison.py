@@ -76,3 +76,21 @@ def counted(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def mean_count(df: DataFrame, by: str) -> DataFrame:
     return counted(df, [by]).agg(F.avg("n").alias("mean_count"), F.count("*").alias("groups"))
+
+
+def renamed(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """A key column with some of its values renamed, such as a model published under another name."""
+    out = F.col(column)
+    for old, new in names.items():
+        out = F.when(F.col(column) == old, F.lit(new)).otherwise(out)
+    return df.withColumn(column, out)
+
+
+def without(df: DataFrame, columns: Sequence[str] = (), ids: Sequence = (), key: str = "id") -> DataFrame:
+    """A table less some columns, such as a stray index, and less some ids."""
+    kept = df.filter(~F.col(key).isin(*ids)) if ids else df
+    return kept.drop(*columns)
+
+
+def item(df: DataFrame, wanted, key: str = "id") -> DataFrame:
+    return df.filter(F.col(key) == F.lit(wanted))

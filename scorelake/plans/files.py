@@ -72,6 +72,22 @@ def logs_read_from_files(spark, sf_dir):
     )
 
 
+@query("targets_from_documents", """
+SELECT event_id AS doc_id, round(value / 100, 6) AS x0, round((50 - 40 * 0.5::DOUBLE) / 50, 6) AS y0, round(value + 2, 6) AS major, round(value / 2, 6) AS minor, round(value * 3, 6) AS area, round(value, 6) AS measure FROM events""")
+def targets_from_documents(spark, sf_dir):
+    v = F.col("value")
+    docs = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("doc_id"),
+        F.struct(
+            F.array(F.lit(50), F.lit(100)).alias("image_size_2d"), (v * 3).alias("ROI_area"),
+            F.struct(F.array(F.array(F.lit(10.0), v)).alias("min_coords"), F.array(F.array(F.lit(20.0), v + 1)).alias("max_coords")).alias("bounding_boxes"),
+            F.struct(v.alias("metric_value"), F.array(v + 2).alias("metric_value_major_axis"), F.array(v / 2).alias("metric_value_minor_axis")).alias("biometric_profile"),
+        ).alias("doc"),
+    )
+    cells = {"x0": ("box", 0), "y0": ("box", 1), "major": ("lesion", 0), "minor": ("lesion", 1), "area": ("mask", 0), "measure": ("biometric", 0)}
+    return rounded(docs.select("doc_id", *[F.get(logs.target_of(k), F.lit(i)).alias(n) for n, (k, i) in cells.items()]))
+
+
 @query("first_rows_of_each_log", f"""
 WITH {BOXES_SQL} SELECT doc_id, model, dataset FROM boxes QUALIFY row_number() OVER (PARTITION BY model, dataset ORDER BY doc_id) <= 100""")
 def first_rows_of_each_log(spark, sf_dir):

@@ -132,15 +132,15 @@ def measurement_group_averages(spark, sf_dir):
 
 
 @query("angle_distance_report", f"""
-WITH {LABEL_TABLE}
-SELECT label, num_samples, rpad(label, 50, ' ') || ' | ' ||
+WITH {LABEL_TABLE}, n AS (SELECT *, model || ' ' || label AS name FROM labels_of)
+SELECT name, num_samples, rpad(name, 50, ' ') || ' | ' ||
   {" || ' | ' || ".join(f"rpad(printf('%.4f', round({c}, 6)), 8, ' ')" for c in ("avg_mae", "avg_mre", "success_rate", "mre_lt_10"))}
   || ' | ' || rpad(CAST(num_samples AS VARCHAR), 8, ' ') AS line
-FROM labels_of WHERE model = 'model_1' ORDER BY num_samples DESC, label""")
+FROM n ORDER BY num_samples DESC, name""")
 def angle_distance_report(spark, sf_dir):
-    rows = labelled_measures(spark, sf_dir).filter(F.col("model") == "model_1")
-    labels = rounded(summaries.summarise_relative(rows, ["label"]))
-    return report_lines(labels, "label", ["avg_mae", "avg_mre", "success_rate", "mre_lt_10"])
+    labels = rounded(summaries.summarise_relative(labelled_measures(spark, sf_dir), ["model", "label"]))
+    named = labels.withColumn("name", F.concat_ws(" ", "model", "label"))
+    return report_lines(named, "name", ["avg_mae", "avg_mre", "success_rate", "mre_lt_10"])
 
 
 @query("lesion_summary_by_label", f"WITH {LESION_TABLE} SELECT model, label, {summary_sql()} FROM scored GROUP BY 1, 2")

@@ -78,7 +78,7 @@ def majority_vote_over_rows(spark, sf_dir):
 
 CHOICE_RESPONSE = """CASE WHEN doc_id % 5 = 0 THEN 'the answer is (B).' WHEN doc_id % 5 = 1 THEN 'I think ' || upper(c0) || '!'
   WHEN doc_id % 5 = 2 THEN 'answer: C' WHEN doc_id % 5 = 3 THEN 'both ' || c3 || ' or ' || c1 ELSE 'no idea' END"""
-CHOICE_RESPONSE_SPARK = F.expr(CHOICE_RESPONSE)
+
 
 
 @query("multi_choice_answers", f"""
@@ -88,7 +88,7 @@ m AS (SELECT *, regexp_extract_all(resp, '(\\([A-Z]\\))', 1)[1] AS main,
   regexp_extract_all(resp, ':\\s*(A|B|C|D)', 1)[1] AS letter FROM c)
 SELECT doc_id, coalesce(main, '(' || chr(CAST(64 + len(o) + 1 - list_position(list_reverse(o), hit.t) AS INT)) || ')', '(' || letter || ')', '[invalid]') AS answer FROM m""")
 def multi_choice_answers(spark, sf_dir):
-    rows = derived(spark, sf_dir, CHOICES).withColumn("resp", CHOICE_RESPONSE_SPARK).withColumn(
+    rows = derived(spark, sf_dir, CHOICES).withColumn("resp", F.expr(CHOICE_RESPONSE)).withColumn(
         "choices", F.array("c0", "c1", "c2", "c3")
     )
     answer = answers.multi_choice_text(F.col("resp"), F.col("choices"), r"(\([A-Z]\))", ignore_case=True)
@@ -299,6 +299,22 @@ def box_prompts_and_messages(spark, sf_dir):
     )
 
 
+@query("lesion_and_mask_prompts", f"""
+WITH p AS (SELECT p_partkey, p_name, p_type, CASE WHEN p_partkey % 2 = 0 THEN 'millimeters' ELSE 'centimeters' END AS unit, printf('%.3f', 0.25 + p_size / 8::DOUBLE) AS w, printf('%.3f', 0.5 + p_size / 4::DOUBLE) AS h FROM part)
+SELECT p_partkey, md5('Task:' || chr(10) || 'Given the input medical image: ' || p_type || ', estimate the major and minor axis lengths of the ellipse enclosing the ' || p_name || ', in ' || unit || '.' || chr(10)
+  || 'Additional information:' || chr(10) || 'The pixel size for this image is ' || w || ' ' || unit || ' (width) x ' || h || ' ' || unit || ' (height).' || chr(10) || 'Format requirement:' || chr(10) || {_q(prompts.ANSWER_LESION)}) AS lesion_md5,
+  md5('Task:' || chr(10) || 'Given the input medical image: ' || p_type || ', estimate the physical size of the ' || p_name || '.' || chr(10)
+  || 'Additional information:' || chr(10) || 'The pixel size for this image is ' || w || ' (width) x ' || h || ' (height).' || chr(10) || 'Format requirement:' || chr(10) || {_q(prompts.ANSWER_MASK)}) AS mask_md5 FROM p""")
+def lesion_and_mask_prompts(spark, sf_dir):
+    size = F.col("p_size")
+    spacing = F.array(0.5 + size / F.lit(4.0), 0.25 + size / F.lit(8.0))
+    unit = prompts.unit_name(F.when(F.col("p_partkey") % 2 == 0, F.lit("mm")).otherwise(F.lit("cm")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.md5(prompts.lesion_prompt(F.col("p_type"), F.col("p_name"), unit, spacing)).alias("lesion_md5"),
+        F.md5(prompts.mask_prompt(F.col("p_type"), F.col("p_name"), spacing)).alias("mask_md5"),
+    )
+
+
 @query("pixel_spacing_after_resize", """
 WITH v AS (SELECT p_partkey, p_partkey % 3 AS d, 64 + p_size AS h, 96 + p_size AS w,
   [0.5 + p_size / 100.0::DOUBLE, 0.7::DOUBLE, 1.0 + p_size / 50.0::DOUBLE] AS z,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.boxes import box_target
 from scorelake.functions.numbers import first_response
 
 DOC = (
@@ -120,3 +121,23 @@ def paired_with_results(logs: DataFrame, results: DataFrame) -> DataFrame:
     joined = logs.withColumn("prefix", task_prefix(F.col("file_name"))).join(known, ["model", "prefix"], "left")
     missing = F.raise_error(F.concat(F.lit("no results file for "), F.col("file_name")))
     return joined.withColumn("results_task", F.coalesce("results_task", missing))
+
+
+def target_of(kind: str) -> Column:
+    """Ground truth of a ``doc``: ``box``, ``lesion``, ``mask`` or ``biometric``, as an array of numbers."""
+    first = F.lit(0)
+    if kind == "box":
+        boxes = F.col("doc.bounding_boxes")
+        return box_target(
+            F.get(boxes["min_coords"], first), F.get(boxes["max_coords"], first), F.col("doc.image_size_2d")
+        )
+    profile = F.col("doc.biometric_profile")
+    if kind == "lesion":
+        return F.array(
+            F.get(profile["metric_value_major_axis"], first), F.get(profile["metric_value_minor_axis"], first)
+        )
+    if kind == "mask":
+        return F.array(F.col("doc.ROI_area"))
+    if kind == "biometric":
+        return F.array(profile["metric_value"])
+    raise ValueError("kind must be 'box', 'lesion', 'mask' or 'biometric'")
