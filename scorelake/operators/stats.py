@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.draws import SEED, key_state, poisson_one, uniform_from
 from scorelake.operators.ranking import with_row_index
+from scorelake.session import durable
 
 # ---- aggregates of one column ----
 
@@ -144,6 +145,7 @@ def bootstrap_stderr(
 def leaf_tasks(edges: DataFrame, max_depth: int = 16) -> DataFrame:
     """(group, task) for every task below a group at any depth. ``edges`` is the task tree, one row per
     (parent, child): a catalogue, bounded by the number of configured tasks."""
+    edges = durable(edges.select("parent", "child"))
     pairs = edges.select(F.col("parent").alias("group"), F.col("child").alias("task"))
     parents = edges.select(F.col("parent").alias("_p"), F.col("child").alias("_c"))
     for _ in range(max_depth):

@@ -158,6 +158,7 @@ def _best_shift(hyp: list[int], ref: list[int], table: np.ndarray) -> tuple[int,
 
 
 def _ter_edits(pred: Sequence[str], ref: Sequence[str]) -> int:
+    """Shifts plus edits by the greedy search. Meant for sentences: cost grows with the square of the length."""
     ids: dict[str, int] = {}
     hyp = [ids.setdefault(w, len(ids)) for w in pred]
     goal = [ids.setdefault(w, len(ids)) for w in ref]

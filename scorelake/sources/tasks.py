@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from scorelake.session import durable
 from scorelake.sources.logs import logical_path
 
 
@@ -77,7 +77,9 @@ def _decode_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def resolved_configs(entries: DataFrame, max_depth: int = 8) -> DataFrame:
     """(path, item, value) with included files folded in: own entries win, then those of the include
-    named first. Includes are followed level by level; each level is one equality join on the file."""
+    named first. Includes are followed level by level; each level is one equality join on the file. The
+    decoded entries are stored first, so that no level decodes the files again."""
+    entries = durable(entries)
     own = entries.filter(F.col("item").isNotNull()).select("path", "item", "value")
     links = (
         entries.select("path", "directory", "include").distinct()
@@ -155,5 +157,5 @@ def group_members(configs: DataFrame) -> DataFrame:
 
 def duplicate_names(catalog: DataFrame) -> DataFrame:
     """Names defined by more than one file."""
-    window = Window.partitionBy("name")
-    return catalog.withColumn("n", F.count("*").over(window)).filter("n > 1").select("name", "path")
+    counts = catalog.groupBy("name").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+    return counts.filter(F.col("files") > 1)
