@@ -208,19 +208,26 @@ def measurement_label(dataset: Column, metric_type: Column, metric_key: Column)
     )
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Scale, round to the nearest whole number (even on ties), scale back, all in binary."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def box_size_by_label(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean overlap per box-size bin and label, rounded half to even at six decimals."""
     return rows.groupBy(*by, "size_bin", "label").agg(
-        F.bround(F.avg("iou"), 6).alias("iou"),
+        half_even(F.avg("iou"), 6).alias("iou"),
         F.count("iou").alias("sample_size"),
-        *[F.bround(F.avg(m), 6).alias(m) for m in ("f1", "precision", "recall")],
+        *[half_even(F.avg(m), 6).alias(m) for m in ("f1", "precision", "recall")],
     )
 
 
-def judged_scores(rows: DataFrame) -> DataFrame:
-    """Judge scores per subtask out of 100 with a Total row; -1 means not judged and is left out."""
+def judged_scores(rows: DataFrame, subtasks: Sequence[str] = ()) -> DataFrame:
+    """Judge scores per subtask out of 100 with a Total row; -1 means not judged and is left out.
+    Subtasks asked for by name appear with a count of 0 when nothing was judged."""
     judged = rows.filter(F.col("score") != -1)
-    return judged.rollup("subtask").agg(
+    scores = judged.rollup("subtask").agg(
         F.count("*").alias("num_scored"),
         (F.avg(F.col("score") / 10) * 100).alias("score"),
         F.grouping("subtask").alias("_total"),
@@ -228,6 +235,13 @@ def judged_scores(rows: DataFrame) -> DataFrame:
         F.when(F.col("_total") == 1, F.lit("Total")).otherwise(F.col("subtask")).alias("subtask"),
         "num_scored", "score",
     )
+    if not subtasks:
+        return scores
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in subtasks])).alias("subtask"))
+    empty = names.join(scores, "subtask", "left_anti")
+    return scores.unionByName(
+        empty.select("subtask", F.lit(0).cast("bigint").alias("num_scored"), F.lit(None).cast("double").alias("score"))
+    )
 
 
 def disagreements(published: DataFrame, computed: DataFrame, on: Sequence[str], tolerance: float = 1e-6) -> DataFrame:

@@ -243,8 +243,8 @@ def detection_summary_by_size_bin(spark, sf_dir):
 
 @query("overlap_by_size_bin_and_label", f"""
 WITH {GROUPED}, r AS (SELECT *, {RATIO} FROM grouped)
-SELECT {BIN_RANGE} AS size_bin, anatomy || ' @ ' || code AS label, round_even(avg(iou), 6) AS iou, count(iou) AS sample_size,
-       round_even(avg(f1), 6) AS f1, round_even(avg("precision"), 6) AS "precision", round_even(avg(recall), 6) AS recall
+SELECT {BIN_RANGE} AS size_bin, anatomy || ' @ ' || code AS label, round_even(avg(iou) * 1e6, 0) / 1e6 AS iou, count(iou) AS sample_size,
+       round_even(avg(f1) * 1e6, 0) / 1e6 AS f1, round_even(avg("precision") * 1e6, 0) / 1e6 AS "precision", round_even(avg(recall) * 1e6, 0) / 1e6 AS recall
 FROM r GROUP BY 1, 2""")
 def overlap_by_size_bin_and_label(spark, sf_dir):
     answers, plan_label, plan_task = _inputs(spark, sf_dir)

@@ -368,9 +368,10 @@ def samples_in_groups(spark, sf_dir):
 
 @query("judge_scores_with_total", f"""
 WITH j AS ({plain(JUDGED).replace('STRING', 'VARCHAR')})
-SELECT coalesce(subtask, 'Total') AS subtask, count(*) AS num_scored, round(avg(score / 10) * 100, 6) AS score FROM j WHERE score <> -1 GROUP BY ROLLUP (subtask)""")
+SELECT coalesce(subtask, 'Total') AS subtask, count(*) AS num_scored, round(avg(score / 10) * 100, 6) AS score FROM j WHERE score <> -1 GROUP BY ROLLUP (subtask)
+UNION ALL SELECT 'Divergent Thinking', 0, NULL""")
 def judge_scores_with_total(spark, sf_dir):
-    return rounded(summaries.judged_scores(derived(spark, sf_dir, JUDGED)))
+    return rounded(summaries.judged_scores(derived(spark, sf_dir, JUDGED), comparison.SUBTASKS))
 
 
 @query("published_scores_that_differ", f"""

@@ -64,8 +64,8 @@ def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def is_record(value: Column) -> Column:
-    """Neither a blank line nor an empty object."""
-    return ~value.rlike(r"^\s*(\{\s*\}\s*)?$")
+    """Neither a blank line nor an empty JSON value."""
+    return ~value.rlike(r'^\s*(\{\s*\}|\[\s*\]|""|null|false|0)?\s*$')
 
 
 def parse_lines(lines: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:

@@ -334,6 +334,14 @@ def test_comparison(spark):
     assert shown == {"t": "**+5.00**", "u": "**+10.00**"}
 
 
+def test_empty_lines_are_no_records(spark):
+    from scorelake.sources.logs import is_record
+
+    lines = ["", "  ", "{}", " { } ", "[]", "null", '{"a":1}', "[1]", "{broken"]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "i int, l string")
+    assert [r[0] for r in df.orderBy("i").select(is_record(F.col("l"))).collect()] == [False] * 6 + [True] * 3
+
+
 def test_storage_helpers(spark):
     assert shared_dir(spark)
     df = durable(spark.range(5))
