@@ -43,7 +43,7 @@ def response_rows(spark, sf_dir):
     ))
 
 
-@query("named_pipelines", f"""
+@query("named_response_filters", f"""
 WITH r AS (SELECT doc_id, {RESPONSE_LIST} AS l FROM ({plain(RESPONSES)}))
 SELECT doc_id, l[1] AS "none", lower(l[1]) AS lower_first, array_to_string(l[1:2], '|') AS first_two,
   list_reduce(list_transform(range(1, 5), lambda i: struct_pack(n := len(list_filter(l, lambda x: x = l[i])), at := -i, t := l[i])),
@@ -51,7 +51,7 @@ SELECT doc_id, l[1] AS "none", lower(l[1]) AS lower_first, array_to_string(l[1:2
   regexp_replace(l[4], '^ ', '') AS one_blank_less,
   CASE l[1] WHEN ' O' THEN 'open' WHEN ' F' THEN 'filled' ELSE 'other' END AS mapped
 FROM r""")
-def named_pipelines(spark, sf_dir):
+def named_response_filters(spark, sf_dir):
     out = pipelines.apply_pipelines(response_rows(spark, sf_dir), {
         "none": [("take_first", {})],
         "lower_first": [("lowercase", {}), ("take_first", {})],

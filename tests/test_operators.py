@@ -256,6 +256,17 @@ def test_k_center_against_one_pass_per_round(spark, candidates):
     assert subset.subset_size(300, 0.055) == 16
 
 
+@pytest.mark.parametrize("wide", [1, 256])
+def test_mean_vectors(spark, monkeypatch, wide):
+    monkeypatch.setattr(subset, "WIDE", wide)
+    rows = [("a", [1.0, 2.0, 3.0]), ("a", [3.0, 2.0, 1.0]), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    got = {r["g"]: r["mean_vector"] for r in subset.mean_vector(df, "v", ["g"], 3).collect()}
+    assert got == {"a": [2.0, 2.0, 2.0], "b": [0.0, 0.0, 0.0]}
+    joint = df.select(subset.joint_embedding(F.col("v"), F.array(F.lit(9.0)), 3).alias("j")).collect()
+    assert joint[0]["j"] == [1.0, 2.0, 3.0, 9.0] and joint[2]["j"] == [0.0, 0.0, 0.0, 9.0]
+
+
 def test_random_baseline_stays_in_the_image(spark):
     df = spark.range(40).select(
         F.col("id"), F.lit(0).alias("_repeat"), F.lit(30).alias("_ih"), F.lit(50).alias("_iw"),
