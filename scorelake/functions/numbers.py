@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The number pattern of an answer, and how many numbers each task kind asks for.
-NUMBER_PATTERN = r"-?\d+\.?\d*"
+# A digit is a decimal digit of any script.
+NUMBER_PATTERN = r"-?\p{Nd}+\.?\p{Nd}*"
 ANSWER_LENGTH = {"AD": 1, "TL": 2, "Detection": 4}
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -30,11 +34,24 @@ def first_response(resps_json: Column) -> Column:
     )
 
 
-def all_numbers(text: Column, unicode_digits: bool = False) -> Column:
-    pattern = f"({NUMBER_PATTERN})"
-    if unicode_digits:
-        pattern = "(?U)" + pattern
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def all_numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({NUMBER_PATTERN})"), 1)
+
+
+OTHER_DIGITS = "".join(
+    c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"
+)
+OTHER_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)
+
+
+def plain_digits(number: Column) -> Column:
+    """A found number in ASCII digits; only numbers that need it are rewritten."""
+    rewritten = F.translate(number, OTHER_DIGITS, OTHER_DIGIT_VALUES)
+    return F.when(is_ascii(number), number).otherwise(rewritten)
 
 
 def last_numbers_text(text: Column, k: int) -> Column:
@@ -47,10 +64,11 @@ def last_numbers_text(text: Column, k: int) -> Column:
 
 def last_numbers(text: Column, k: int) -> Column:
     """The last k numbers as doubles rounded to single precision, or null when there are fewer."""
-    picked = F.slice(all_numbers(text), -k, k)
-    return F.when(
-        F.size(picked) == k, F.transform(picked, lambda n: n.cast("float").cast("double"))
+    picked = F.transform(
+        F.slice(all_numbers(text), -k, k), lambda n: plain_digits(n).cast("float").cast("double")
     )
+    # Filtering a one-element array tests the value without working it out a second time.
+    return F.get(F.filter(F.array(picked), lambda values: F.size(values) == k), F.lit(0))
 
 
 def parse_prediction(answer: Column, k: int) -> Column:
@@ -65,7 +83,7 @@ def parse_prediction(answer: Column, k: int) -> Column:
 
 def _number(part: Column) -> Column:
     # A trailing f or d is a Java spelling of a number that an answer must not get away with.
-    text = strip(part)
+    text = plain_digits(strip(part))
     value = text.try_cast("float").cast("double")
     return F.when(text.rlike(r"^(?i)([^fd]*|[+-]?inf(inity)?)$"), value)
 

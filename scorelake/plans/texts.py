@@ -264,7 +264,7 @@ def likelihood_rows(spark, sf_dir):
 
 
 @query("token_throughput", """
-SELECT lang, round(sum(len(string_split(text, ' ')) * 1.5), 6) AS tokens, round(CASE WHEN sum(doc_id % 7) > 0 THEN sum(len(string_split(text, ' ')) * 1.5) / sum(doc_id % 7) ELSE 0 END, 6) AS throughput
+SELECT lang, round(sum(len(string_split(text, ' ')) * 1.5::DOUBLE), 6) AS tokens, round(CASE WHEN sum(doc_id % 7) > 0 THEN sum(len(string_split(text, ' ')) * 1.5) / sum(doc_id % 7) ELSE 0 END, 6) AS throughput
 FROM documents GROUP BY lang""")
 def token_throughput(spark, sf_dir):
     totals = table(spark, sf_dir, "documents", heavy=True).groupBy("lang").agg(
@@ -461,7 +461,7 @@ def rolling_token_windows(spark, sf_dir):
 @query("sample_tables", f"""
 WITH {CHOICE_SQL}
 SELECT c.doc_id AS id, c.task AS "data", '0. ' || c0 || chr(10) || '1. ' || c1 || chr(10) || '2. ' || c2 || chr(10) || '3. ' || c3 AS choices, len(c.task) AS input_len, c.gold AS labels,
-  'multiple_choice' AS output_type, list_position(l, list_max(l)) - 1 AS raw_predictions, list_position(u, list_max(u)) - 1 AS filtered_predictions,
+  'multiple_choice' AS output_type, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS raw_predictions, CAST(list_position(u, list_max(u)) - 1 AS BIGINT) AS filtered_predictions,
   CAST(s.pred = s.gold AS INT)::DOUBLE AS acc FROM c JOIN s USING (doc_id)""")
 def sample_tables(spark, sf_dir):
     rows = derived(spark, sf_dir, CHOICES).join(choice_rows(spark, sf_dir).select("doc_id", "acc"), "doc_id")

@@ -35,6 +35,13 @@ def test_fused_parse_equals_two_steps(spark):
     assert fused[3][0] == pytest.approx(0.123456789, abs=1e-8) and fused[3][0] != 0.123456789
 
 
+def test_digits_of_any_script(spark):
+    texts = ["about ٣.٥ and -１２", "३ १ 7"]
+    assert many(spark, texts, lambda t: numbers.last_numbers_text(t, 2)) == ["٣.٥,-１２", "१,7"]
+    assert many(spark, texts, lambda t: numbers.last_numbers(t, 2)) == [[3.5, -12], [1, 7]]
+    assert many(spark, ["٣.٥,-１２"], lambda t: numbers.parse_prediction(t, 2)) == [[3.5, -12]]
+
+
 def test_prediction_rejects_what_a_number_is_not(spark):
     texts = ["1,2", " 1 , 2 ", "1,2,3", "1f,2", "a,2", "", "1d,2", "1e3,-.5"]
     got = many(spark, texts, lambda t: numbers.parse_prediction(t, 2))
