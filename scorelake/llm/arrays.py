@@ -96,15 +96,34 @@ def gaps(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 1) -> np.ndarray:
-    """Hash of the bytes of each run: a sum of bytes times a number drawn for their place."""
-    size = stop - start
-    if not len(size):
-        return np.empty(0, np.uint64)
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    value = data[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1)
-    total = sums(value * multipliers(int(size.max()), seed)[place], np.concatenate(([0], np.cumsum(size))))
-    return mix(total ^ (size.astype(np.uint64) * _A))
+_BASE = 0x2545F4914F6CDD1D
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(SLICE_BYTES, n)
+        _POWERS[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate((out, out * np.array([pow(base, len(out), 1 << 64)], np.uint64)))
+            _POWERS.append(out)
+    return _POWERS
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of bytes times powers, from which the hash of any run of bytes follows."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * _powers(len(data))[0][:len(data)], dtype=np.uint64, out=total[1:])
+    return total
+
+
+def run_hashes(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run, wherever it stands."""
+    inverse = _powers(len(total))[1]
+    return mix((total[stop] - total[start]) * inverse[start] ^ ((stop - start).astype(np.uint64) * _A))
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,7 +155,7 @@ class Words:
         self.counts = np.diff(self.bounds)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        return run_hashes(lower_ascii(self.data) if lower else self.data, self.start, self.stop)
+        return run_hashes(byte_sums(lower_ascii(self.data) if lower else self.data), self.start, self.stop)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import arrays as A
+from scorelake.llm.beside import Beside
 from scorelake.llm.components import components
-from scorelake.llm.storage import removed, stored
+from scorelake.llm.storage import removed, settled, stored
 
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
@@ -32,7 +33,8 @@ SMALL, LARGE = 80, 64
 BUCKET_BITS = 4
 ROUNDS = REGISTERS >> BUCKET_BITS
 EMPTY = 0xFFFF
-BLOCK = 256
+#: A block of a bucket holds about so many texts, or fewer whose sets are large.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 16
 
 SIGNATURES = "row long, doc_id long, k1 long, k2 long, n_shingles long, small binary, large binary"
 
@@ -136,29 +138,67 @@ def _likely(limit: float):
     return run
 
 
-def _likely_in_blocks(limit: float):
-    """Likely pairs of unlike components between two blocks of one bucket."""
+def _bands(regs: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(regs).view("<u8")
+
+
+def _linked_in_blocks(limit: float):
+    """Links between two blocks of one bucket that join unlike components, no more than join them.
+
+    A pair is looked at in the first band it shares only.
+    """
     def run(batches):
         for batch in batches:
             found = []
-            for x, y, family in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(),
-                                    batch.column("family").to_pylist()):
-                rows = [np.array([m["row"] for m in side]) for side in (x, y)]
-                root = [np.array([m["root"] for m in side]) for side in (x, y)]
-                size = [np.array([m["n"] for m in side], float) for side in (x, y)]
-                regs = [_matrix([m["regs"] for m in side]) for side in (x, y)]
-                for i in range(len(x)):
-                    ok = (root[1] != root[0][i]) & (np.minimum(size[1], size[0][i])
-                                                    >= limit * np.maximum(size[1], size[0][i]) - 1e-9)
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        e = estimated(regs[0][i][None, :], regs[1][at], size[0][i], size[1][at])
-                        found += [(rows[0][i], r) for r in rows[1][at[e >= margin(limit)]]]
-            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            for x, y, band in zip(*(c.to_pylist() for c in batch.columns)):
+                sides = []
+                for side in (x, y):
+                    regs = _matrix([m["regs"] for m in side])
+                    sides.append(([m["row"] for m in side], np.array([m["root"] for m in side]),
+                                  np.array([m["n"] for m in side], float), regs, _bands(regs),
+                                  [np.frombuffer(m["shingles"], "<u8") for m in side]))
+                (rows_x, roots_x, n_x, regs_x, bands_x, sets_x), (rows_y, roots_y, n_y, regs_y, bands_y, sets_y) = sides
+                joined: dict[int, int] = {}
+
+                def root(r):
+                    while r in joined:
+                        r = joined[r]
+                    return r
+
+                for i in range(len(rows_x)):
+                    at = np.flatnonzero((roots_y != roots_x[i]) & (np.minimum(n_y, n_x[i]) >= limit * np.maximum(n_y, n_x[i]) - 1e-9))
+                    if not len(at):
+                        continue
+                    at = at[(bands_y[at] == bands_x[i]).argmax(axis=1) == band]
+                    at = at[estimated(regs_x[i][None, :], regs_y[at], n_x[i], n_y[at]) >= margin(limit)]
+                    for j in at.tolist():
+                        r, s = root(int(roots_x[i])), root(int(roots_y[j]))
+                        if r != s and similar(sets_x[i], sets_y[j], limit):
+                            joined[max(r, s)] = min(r, s)
+                            found.append((rows_x[i], rows_y[j]))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
+def similar(s: np.ndarray, t: np.ndarray, limit: float) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= 100 * limit * (len(s) + len(t) - both) - 1e-6
+
+
+def _sets(size: int):
+    """(row, shingles) of every row that is asked for."""
+    def work(batch, _):
+        for low, high, data, offsets in A.slices(batch.column(1)):
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(A.Words(data, offsets), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sets, pa.binary())], ["row", "shingles"])
+    return work
+
+
+def _texts(batch, _):
+    yield batch
+
+
 def _confirmed(size: int, limit: float):
     def run(batches):
         for batch in batches:
@@ -170,19 +210,19 @@ def _confirmed(size: int, limit: float):
                 sets.append(own)
             keep = []
             for s, t in zip(*sets):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= 100 * limit * (len(s) + len(t) - both) - 1e-6)
+                keep.append(similar(s, t, limit))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
     return run
 
 
-def _band_keys(signed: DataFrame) -> DataFrame:
-    """One row (key, family, row) for each band of each text."""
-    def keys(family: str, seed: int):
+def _band_keys(heads: DataFrame) -> DataFrame:
+    """One row (key, band, row) for each band of each text; the bands of the second kind of sketch come after the first's."""
+    def keys(family: str, first: int):
         col = F.col(family)
-        bands = [F.xxhash64(F.lit(seed + b), F.substring(col, 2 * BAND * b + 1, 2 * BAND)) for b in range(BANDS)]
-        return signed.where(col.isNotNull()).select("row", F.lit(family).alias("family"), F.explode(F.array(*bands)).alias("key"))
+        bands = [F.struct(F.xxhash64(F.lit(first + b), F.substring(col, 2 * BAND * b + 1, 2 * BAND)).alias("key"),
+                          F.lit(first + b).cast("short").alias("band")) for b in range(BANDS)]
+        return heads.where(col.isNotNull()).select("row", F.explode(F.array(*bands)).alias("b")).select("b.key", "b.band", "row")
     return keys("small", 0).union(keys("large", BANDS))
 
 
@@ -201,61 +241,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are not looked at. An empty table gives an empty result.
 
     Candidates come from bands in two steps that never pair up a whole bucket. First each member is compared
-    with the least member of its bucket. What that leaves apart is settled in buckets that still hold unlike
-    components: there blocks of 256 members meet, and only likely pairs of unlike components are emitted.
+    with the member of its bucket that shares most bands with others, the likeliest centre of a group. What that
+    leaves apart is settled in buckets that still hold unlike components: there blocks of members meet, those of
+    the bucket's largest component never each other, and only links that join components come out.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text"))
+    docs = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    texts = rows.select("row", "text")
     sketches = stored(rows.mapInArrow(_signatures(size), SIGNATURES), "sketches")
     full = sketches.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("row").alias("class"))
     placed = full.select("row", "doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).drop("k1", "k2")
     placed = stored(placed.union(sketches.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row"))), "classes")
-    # Bucket by bucket only the first of each class counts.
-    heads = stored(sketches.join(placed.where("row = class and n_shingles > 0").select("row"), "row"), "heads")
+    # Of each class only the first text is compared.
+    heads = sketches.join(placed.where("row = class and n_shingles > 0").select("row"), "row", "left_semi")
+    heads = stored(heads.select("row", "n_shingles", "small", "large"), "heads")
     removed(sketches)
 
-    sides = {s: heads.select(F.col("row").alias(s), F.col("n_shingles").alias(f"n_{s}"),
-                             F.col("small").alias(f"small_{s}"), F.col("large").alias(f"large_{s}")) for s in "ab"}
-    texts = {s: rows.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs, f"{name}-candidates")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-        used = stored(texts["a"].join(needed, "a", "left_semi"), f"{name}-texts")
-        both = pairs.join(used, "a").join(used.select(F.col("a").alias("b"), F.col("text_a").alias("text_b")), "b")
-        links = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size, limit), "a long, b long"), name)
-        removed(pairs, used)
-        return links
-
     bands = _band_keys(heads)
-    buckets = bands.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("members")).where("members > 1")
-    members = stored(bands.join(buckets, "key"), "buckets")
-    first = members.where("row <> a").select("a", F.col("row").alias("b")).distinct()
-    first = first.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(_likely(limit), "a long, b long")
-    links = confirmed(first, "first-links")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = stored(bands.join(sizes, "key"), "buckets")
+    degrees = members.groupBy("row").agg(F.sum("members").alias("degree"))
+    leads = members.join(degrees, "row").groupBy("key").agg(F.max_by("row", "degree").alias("lead"))
+    first = members.join(leads, "key").where("row <> lead").select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b")).distinct()
+    # Only what shares a bucket needs its registers from here on.
+    near = stored(heads.join(degrees.select("row"), "row", "left_semi"), "near-heads")
+    removed(heads)
+    sides = {s: near.select(F.col("row").alias(s), F.col("n_shingles").alias(f"n_{s}"),
+                            F.col("small").alias(f"small_{s}"), F.col("large").alias(f"large_{s}")) for s in "ab"}
+    pairs = stored(first.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(_likely(limit), "a long, b long"), "pairs")
+    asked = Beside(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+    used = stored(asked.mapped(texts, _texts, "row long, text string"), "pair-texts")
+    both = pairs.join(used.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(used.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    links = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size, limit), "a long, b long"), "links")
+    removed(pairs, used)
     roots = components(links)
 
-    rooted = members.join(roots, members.row == roots.node, "left")
-    rooted = rooted.select("key", "family", "row", "members", F.coalesce("root", "row").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rooted = rooted.join(mixed, "key").join(heads, "row")
-    spots = F.pmod(F.xxhash64("row"), F.ceil(F.col("members") / BLOCK)).alias("spot")
-    member = F.struct("row", "root", F.col("n_shingles").alias("n"),
-                      F.when(F.col("family") == "small", F.col("small")).otherwise(F.col("large")).alias("regs"))
-    blocks = rooted.select("key", "family", spots, member.alias("m")).groupBy("key", "family", "spot").agg(F.collect_list("m").alias("x"))
-    blocks = stored(blocks, "blocks")
-    other = blocks.select("key", F.col("spot").alias("spot_y"), F.col("x").alias("y"))
-    second = blocks.join(other, "key").where("spot <= spot_y").select("x", "y", "family")
-    second = second.mapInArrow(_likely_in_blocks(limit), "a long, b long").distinct()
-    more = confirmed(second, "second-links")
+    rooted = members.join(roots, members.row == roots.node, "left").select("key", "band", "row", F.coalesce("root", "row").alias("root"))
+    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = per_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    open_rows = stored(rooted.join(mixed, "key").select("key", "band", "row", "root", (F.col("root") == F.col("main")).alias("in_main")), "open-rows")
+    removed(members)
+    asked = Beside(open_rows.select("row").distinct(), "asked")
+    sets = stored(asked.mapped(texts, _sets(size), "row long, shingles binary"), "sets")
+    detail = open_rows.join(near, "row").join(sets, "row")
+    spots = open_rows.join(near.select("row", "n_shingles"), "row").groupBy("key", "in_main").agg(
+        F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).alias("spots"))
+    regs = F.when(F.col("band") < BANDS, F.col("small")).otherwise(F.col("large")).alias("regs")
+    member = F.struct("row", "root", F.col("n_shingles").alias("n"), regs, "shingles")
+    spot = F.when(F.col("in_main"), F.pmod(F.xxhash64("row"), F.col("spots"))).otherwise(-1 - F.pmod(F.xxhash64("row"), F.col("spots")))
+    blocks = detail.join(spots, ["key", "in_main"]).select("key", "band", "in_main", spot.alias("spot"), member.alias("m"))
+    blocks = stored(blocks.groupBy("key", "band", "in_main", "spot").agg(F.collect_list("m").alias("x")), "blocks")
+    other = blocks.select("key", F.col("in_main").alias("in_main_y"), F.col("spot").alias("spot_y"), F.col("x").alias("y"))
+    met = blocks.join(other, "key").where("spot <= spot_y and not (in_main and in_main_y)")
+    met = met.select("x", "y", F.pmod("band", F.lit(BANDS)).alias("band"))
+    more = stored(met.mapInArrow(_linked_in_blocks(limit), "a long, b long"), "more-links")
     roots_all = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    removed(members, blocks, heads, links, more)
+    removed(open_rows, sets, blocks, near, links, more)
 
     joined = placed.join(roots_all, placed["class"] == roots_all.node, "left")
     joined = stored(joined.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root")), "members")
+    removed(placed)
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     heads_of = joined.groupBy("root").agg(head)
-    out = joined.join(heads_of, "root")
-    return out.select("row", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"),
-                      (F.col("row") == F.col("head.row")).alias("kept"))
+    return joined.join(heads_of, "root").select("row", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"),
+                                                (F.col("row") == F.col("head.row")).alias("kept"))

@@ -6,7 +6,7 @@ import importlib
 
 from scorelake.llm.registry import ORACLES, QUERIES
 
-MODULES = ("near_text_query",)
+MODULES = ("near_text_query", "quality_queries", "repeats_query", "token_queries", "archive_queries", "chat_query", "vectors_query")
 
 
 def all_queries():

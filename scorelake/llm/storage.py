@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelake.session import scratch_path
 
@@ -27,3 +28,31 @@ def removed(*tables: DataFrame) -> None:
 def remove_path(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name the table does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string") -> tuple[DataFrame, str, int]:
+    """The columns ``keys`` and one more to work on; the schema of the keys, with a comma; the work column's place.
+
+    A text among the keys is not sent twice.
+    """
+    chosen = df.select(*[F.col(f"`{k}`") for k in keys])
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields)
+    if kind == "string" and column in keys and dict(chosen.dtypes)[column] == "string":
+        return chosen, kinds, keys.index(column)
+    work = F.col(f"`{column}`").cast(kind).alias(fresh(chosen, "work_on"))
+    return df.select(*[F.col(f"`{k}`") for k in keys], work), kinds, len(keys)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A table whose rows are numbered alike each time it is read: itself where it is read without a shuffle, else
+    a stored copy. The order of shuffled rows may change from one reading to the next."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, "settled") if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df
