@@ -1,11 +1,12 @@
 """Token ids of whole texts by a word-level byte-pair tokenizer file.
 
 The tokenizer lower-cases, drops white space and merges inside the pieces of each word, so a word's ids do
-not depend on its neighbours. Each distinct word of a batch is tokenized once, by ``tiktoken`` over the
-tokenizer's own vocabulary with its merge order as ranks; texts are then put together from the words' ids in
-numpy. A piece's end is a character of its own there, which the vocabulary's word-end entries absorb first.
-Words for which the two libraries could differ go to ``tokenizers`` itself: those holding that
-character, a special token, letters whose case depends on their place, or more than ``LONG`` characters.
+not depend on its neighbours. Each distinct word of a slice of texts is tokenized once, all in one call of
+``tiktoken`` over the tokenizer's own vocabulary with its merge order as ranks; texts are then put together from
+the words' ids in numpy. A piece's end is a character of its own there, which the vocabulary's word-end entries
+absorb first. Words for which the two libraries could differ go to ``tokenizers`` itself: those holding that
+character, a special token, white space of Unicode, letters whose case depends on their place, or more than
+``LONG`` bytes.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import pyarrow as pa
 
 from scorelake.llm import arrays as A
 
-#: Characters from which on a word is left to ``tokenizers``.
-LONG = 200
+#: Bytes from which on a word is left to ``tokenizers``.
+LONG = 400
 END = "\x00"
-#: Bytes of distinct words a worker remembers ids of.
-REMEMBERED = 300_000
+#: Bytes of text whose distinct words are tokenized together.
+SLICE = 4 << 20
 
 # Fixed value: the pattern of the tokenizer's pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -50,59 +51,59 @@ class WordTokenizer:
             held = json.load(file)
         letters, end = byte_letters(), held["model"]["end_of_word_suffix"]
         special = {t["content"] for t in held["added_tokens"]}
-        self.special = sorted(special)
+        # Characters a special token can start with, and those that case or white space rules treat by context.
+        self.odd = regex.compile("[\\s\x1c-\x1fΣİ]|" + "|".join(regex.escape(t) for t in sorted(special)))
         ranks: dict[bytes, int] = {}
         for token, rank in held["model"]["vocab"].items():
             if token not in special:
                 stem = token.removesuffix(end)
                 ranks[bytes(letters[c] for c in stem) + (END.encode() if stem != token else b"")] = rank
-        self.fast = tiktoken.Encoding("words", pat_str=f"[^{END} ]+{END}| ", mergeable_ranks=ranks, special_tokens={})
-        self.gap = ranks[b" "]
-        self.pieces = regex.compile(PIECES)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _plain(self, word: str) -> bool:
-        return (len(word) < LONG and END not in word and "Σ" not in word and "İ" not in word
-                and not any(s in word for s in self.special))
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a word holds no white space of the tokenizer's, or is left to it."""
-        easy = [i for i, w in enumerate(words) if w.isascii() and self._plain(w)
-                or not w.isascii() and self._plain(w) and not any(c.isspace() or "\x1c" <= c <= "\x1f" for c in w)]
-        out: list = [None] * len(words)
-        if easy:
-            joined = unicodedata.normalize("NFC", " ".join(words[i] for i in easy)).lower()
-            marked = " ".join("".join(p + END for p in self.pieces.findall(w)) for w in joined.split(" "))
-            ids = np.array(self.fast.encode_ordinary(marked), np.uint32)
-            for i, part in zip(easy, np.split(ids, np.flatnonzero(ids == self.gap))):
-                out[i] = part[1:] if len(part) and part[0] == self.gap else part
-        hard = [i for i, x in enumerate(out) if x is None]
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+        self.gap = ranks[b" " + END.encode()]
+        self.pieces = regex.compile(PIECES + "| ")
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has. No word holds a separator of texts."""
+        joined = b" ".join(words)
+        hard = [i for i, w in enumerate(words) if len(w) >= LONG]
+        text = joined.decode("utf-8", "replace")
+        if hard or END in text or self.odd.search(text.replace(" ", "")):
+            hard = [i for i, w in enumerate(words) if len(w) >= LONG or b"\0" in w or self.odd.search(w.decode("utf-8", "replace"))]
+            out = set(hard)
+            text = " ".join(w.decode("utf-8", "replace") for i, w in enumerate(words) if i not in out)
+        size = np.zeros(len(words), np.int64)
+        ids = np.empty(0, np.uint32)
+        if len(hard) < len(words):
+            found = self.pieces.findall(unicodedata.normalize("NFC", text).lower())
+            found.append("")
+            ids = np.array(self.fast.encode_ordinary(END.join(found)), np.uint32)
+            gaps = np.flatnonzero(ids == self.gap)
+            easy = np.ones(len(words), bool)
+            easy[hard] = False
+            size[easy] = np.diff(np.concatenate(([-1], gaps, [len(ids)]))) - 1
+            ids = np.delete(ids, gaps)
         if hard:
-            for i, e in zip(hard, self.exact.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.uint32)
-        return out
+            more = self.exact.encode_batch_fast([words[i].decode("utf-8", "replace") for i in hard], add_special_tokens=False)
+            parts, at = [], 0
+            ends = np.cumsum(size)
+            for i, e in zip(hard, more):
+                parts += [ids[at:ends[i]], np.array(e.ids, np.uint32)]
+                at, size[i] = ends[i], len(e.ids)
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, size
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and where each begins and ends among them."""
         words = A.Words(data, offsets)
         if not len(words.start):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        h = words.hashes()
-        key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        found = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first], words.stop[first])]
-        fresh = [w for w in found if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = found
-        self.known.update(zip(fresh, self.words(fresh)))
-        ids = [self.known[w] for w in found]
-        size = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        flat, size = self.words([raw[a:b] for a, b in zip(words.start[first].tolist(), words.stop[first].tolist())])
         begin = np.cumsum(size) - size
         n = size[inverse]
         ends = np.concatenate(([0], np.cumsum(n)))
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begin[inverse], n)
+        place = np.arange(ends[-1]) + np.repeat(begin[inverse] - ends[:-1], n)
         return flat[place], ends[words.bounds]
 
 
@@ -115,6 +116,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def token_slices(column: pa.Array, path: str):
     """(first row, ids, bounds) of each slice of texts."""
     tokenizer = word_tokenizer(path)
-    for low, _, data, offsets in A.slices(column):
+    for low, _, data, offsets in A.slices(column, SLICE):
         ids, bounds = tokenizer.slice(data, offsets)
         yield low, ids, bounds
