@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelake.functions.binding import bound
-from scorelake.functions.numbers import strip
+from scorelake.functions.numbers import BLANKS, strip
 from scorelake.functions.strings import replace_first
 
 # The default answer pattern and the answer given when nothing matches.
@@ -107,7 +107,7 @@ def multi_choice_text(
 
 def question_options(question: Column) -> Column:
     """Texts of the options printed in a question as ``A. text`` lines."""
-    found = F.regexp_extract_all(question, F.lit(r"\b([A-Z])\.\s+([^\n]*)"), 2)
+    found = F.regexp_extract_all(question, F.lit(rf"\b([A-Z])\.{BLANKS}([^\n]*)"), 2)
     return F.transform(found, strip)
 
 
@@ -204,7 +204,7 @@ def strip_punctuation_text(text: Column) -> Column:
 
 def plain_words_text(text: Column) -> Column:
     """Number words to digits, articles dropped, contractions restored, single blanks."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
     words = F.transform(words, lambda w: _looked_up(w, NUMBER_WORDS))
     words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
     return F.array_join(F.transform(words, lambda w: _looked_up(w, CONTRACTIONS)), " ")

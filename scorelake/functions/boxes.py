@@ -84,13 +84,13 @@ RATIO_STEP_PERCENT = 5
 def ratio_bin(ratio: Column, style: str = "range") -> Column:
     """Name of the 5 % bin a ratio falls in; from 90 % on there is one open bin.
 
-    Thresholds are literals, since ``floor(ratio / 0.05)`` splits differently at the edges.
+    A missing ratio has no bin. Thresholds are literals, since ``floor(ratio / 0.05)`` splits differently at the edges.
     ``style`` is ``"range"`` for ``0.05~0.10`` names or ``"percent"`` for ``5% <= Box/Image < 10%``.
     """
     if style not in ("range", "percent"):
         raise ValueError("style must be 'range' or 'percent'")
     names = ratio_bin_names(style)
-    chosen = F.lit(names[-1])
+    chosen = F.when(ratio.isNotNull(), F.lit(names[-1]))
     for step in range(RATIO_STEPS, 0, -1):
         edge = step * RATIO_STEP_PERCENT / 100
         chosen = F.when(ratio < edge, F.lit(names[step - 1])).otherwise(chosen)

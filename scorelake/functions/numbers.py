@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"-?\p{Nd}+\.?\p{Nd}*"
 ANSWER_LENGTH = {"AD": 1, "TL": 2, "Detection": 4}
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Every blank of Unicode, with the separators 0x1c to 0x1f.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of ASCII whitespace, not only blanks."""
+    """Trim every kind of whitespace."""
     return F.btrim(text, F.lit(WHITESPACE))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorelake.functions.numbers import strip
+from scorelake.functions.numbers import BLANKS, strip
 
 
 def normalised(
@@ -35,7 +35,7 @@ def exact_match(prediction: Column, reference: Column, **options) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Lower case with single blanks."""
-    return F.regexp_replace(strip(F.lower(text)), r"\s+", " ")
+    return F.regexp_replace(strip(F.lower(text)), BLANKS, " ")
 
 
 def anls(references: Column, prediction: Column, threshold: float = 0.5) -> Column:

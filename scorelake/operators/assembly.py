@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.draws import SEED, draw
-from scorelake.operators.ranking import latest, mark_sample, with_row_index
+from scorelake.operators.ranking import latest, mark_sample, marked_below, with_row_index
+from scorelake.session import durable
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:
@@ -50,10 +51,10 @@ def limited_split(
     """
     if validation <= 0 or train == 0:
         raise ValueError("validation must be positive and train must not be 0")
-    parts = split_exact(df, validation, key, seed)
     if train < 0:
-        return parts
-    return mark_sample(parts, validation + train, key, seed, name="_in").filter("_in").drop("_in")
+        return split_exact(df, validation, key, seed)
+    marked = marked_below(df, {"_held": validation, "_in": validation + train}, key, seed).filter("_in")
+    return marked.withColumn("split", F.when(F.col("_held"), F.lit("validation")).otherwise(F.lit("train"))).drop("_held", "_in")
 
 
 def sample_limits(
@@ -149,11 +150,13 @@ def few_shot_examples(docs: DataFrame, pool: DataFrame, n: int, key: str, seed:
     number, so no document meets the whole pool. The pool needs more than n rows.
     """
     order = [draw(F.col(key), 0, seed), F.col(key)]
-    numbered = with_row_index(pool.select(key), order, name="_at")
-    size = pool.agg(F.count("*")).scalar()
+    numbered = durable(with_row_index(pool.select(key), order, name="_at"))
+    size = numbered.agg(F.count("*")).scalar()
     enough = F.when(size > n, size).otherwise(F.raise_error(F.lit(f"the pool needs more than {n} rows")).cast("bigint"))
     placed = docs.select(key).join(numbered.withColumnRenamed("_at", "_own_at"), key, "left")
-    start = F.pmod(draw(F.col(key), 1, seed), enough)
+    # 63 random bits, so that pools of any size are reached in every place.
+    wide = F.shiftleft(draw(F.col(key), 1, seed).bitwiseAND(0x7FFFFFFF), 32) + draw(F.col(key), 2, seed)
+    start = F.pmod(wide, enough)
     spread = placed.withColumn("_start", start).select(
         key, "_start", F.pmod(F.col("_own_at") - F.col("_start"), size).alias("_own"),
         F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_step"),
@@ -199,12 +202,12 @@ def answered_from_cache(
     """(requests with their cached response, requests still to run). Sampled requests are never reused,
     or all their repeats would be alike."""
     reusable = F.lit(True) if sampled is None else ~sampled
-    known = cache.select(key, "response")
-    hits = requests.filter(reusable).join(known, key)
-    to_run = requests.filter(reusable).join(known, key, "left_anti")
-    if sampled is not None:
-        to_run = to_run.unionByName(requests.filter(sampled))
-    return hits, to_run
+    known = cache.groupBy(key).agg(F.first("response").alias("response")).withColumn("_hit", F.lit(True))
+    met = requests.withColumn("_key", F.when(reusable, F.col(key))).join(
+        known.withColumnRenamed(key, "_known"), F.col("_key") == F.col("_known"), "left"
+    ).drop("_key", "_known")
+    met = durable(met)
+    return met.filter("_hit").drop("_hit"), met.filter("_hit is null").drop("_hit", "response")
 
 
 def cache_after(cache: DataFrame, answered: DataFrame, key: str = "request_hash") -> DataFrame:

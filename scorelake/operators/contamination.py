@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_line_ids(docs: DataFrame, known: DataFrame, key: str, text: str, shortest: int = 1) -> DataFrame:
-    """Documents that hold a whole line of a known text. Lines are made unique on both sides first, so a
-    line repeated everywhere costs one row per document, and the semi join never multiplies rows."""
+    """Documents that hold a whole line of a known text. Lines travel as their hash, unique on both sides, so a
+    line repeated everywhere costs one short row per document, and the semi join never multiplies rows."""
     def lines(df: DataFrame, *keep: str) -> DataFrame:
         split = df.select(*keep, F.explode(F.split(F.col(text), "\n")).alias("line"))
-        return split.filter(F.char_length("line") >= shortest).distinct()
+        return split.filter(F.char_length("line") >= shortest).select(*keep, F.sha2("line", 256).alias("line")).distinct()
 
     return lines(docs, key).join(lines(known), "line", "left_semi").select(key).distinct()
 

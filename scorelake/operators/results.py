@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from scorelake.functions.strings import drop_default_filter, fixed, pad, run_task, run_time, sanitize_task_name
 from scorelake.functions.textscores import arg_max
 
-HASH_FAN = 1024
-
 
 def flat_results(results: DataFrame) -> DataFrame:
     """(key, number, text): ``task/metric`` keys without ``,none``; values that are no numbers go to ``text``."""
@@ -45,31 +43,24 @@ def content_hashes(samples: DataFrame, doc: Column, prompt: Column, target: Colu
     )
 
 
-def task_hashes(
-    samples: DataFrame, by: Sequence[str], order: str, row_hash: Column, fan: int = HASH_FAN
-) -> DataFrame:
-    """One hash per task over its row hashes in order; ``order`` is a unique whole number from 0 on.
+# Hexadecimal digits of a row digest that are added up as one number, and how many such numbers there are.
+DIGITS, NUMBERS = 15, 4
+
+
+def task_hashes(samples: DataFrame, by: Sequence[str], order: str, row_hash: Column) -> DataFrame:
+    """One hash per task over its row hashes and their places; ``order`` is a unique whole number.
 
-    A task whose numbers all lie below ``fan`` gets the hash of the joined row hashes. For larger tasks
-    that would be one endless text in one task of the job, so blocks of ``fan`` consecutive numbers are
-    hashed first, then blocks of block hashes; a hash that stands alone passes upward unchanged.
+    Every row hash is hashed with its place; the task's hash is that of the count and the sums of four pieces
+    of those digests. Sums merge in any order, so tasks of all sizes go through one aggregate that is combined
+    before the shuffle, and equal rows in equal places give equal hashes.
     """
-    last = samples.agg(F.max(order)).first()[0] or 0
-    level = samples.select(*by, F.col(order).alias("_place"), row_hash.alias("_hash"))
-    alone = F.lit(False)
-    while True:
-        parts = F.array_sort(F.collect_list(F.struct("_at", "_hash")))
-        together = F.sha2(F.array_join(F.transform(parts, lambda s: s["_hash"]), ""), 256)
-        level = (
-            level.withColumn("_at", F.pmod("_place", F.lit(fan)))
-            .groupBy(*by, F.floor(F.col("_place") / fan).alias("_block"))
-            .agg(F.when(alone & (F.count("*") == 1), F.min("_hash")).otherwise(together).alias("_hash"))
-            .withColumnRenamed("_block", "_place")
-        )
-        last //= fan
-        alone = F.lit(True)
-        if last == 0:
-            return level.select(*by, F.col("_hash").alias("task_hash"))
+    tagged = samples.select(*by, F.sha2(F.concat_ws(":", F.col(order).cast("string"), row_hash), 256).alias("_digest"))
+    parts = [
+        F.sum(F.conv(F.substring("_digest", 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(38,0)")).cast("string")
+        for i in range(NUMBERS)
+    ]
+    together = F.concat_ws(":", F.count("*").cast("string"), *parts)
+    return tagged.groupBy(*by).agg(F.sha2(together, 256).alias("task_hash"))
 
 
 def sample_table(samples: DataFrame, output_type: str, metrics: Sequence[str]) -> DataFrame:

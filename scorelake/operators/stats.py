@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.draws import SEED, key_state, poisson_one, uniform_from
-from scorelake.operators.ranking import with_row_index
-from scorelake.session import durable
+from scorelake.operators.ranking import joined_null_safe, with_row_index
+from scorelake.session import durable, release
 
 # ---- aggregates of one column ----
 
@@ -80,7 +83,7 @@ def middle_in_order(df: DataFrame, value: str, order: Sequence[str], by: Sequenc
     indexed = with_row_index(df.select(*names), [F.col(c) for c in order], by, "_row")
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     if by:
-        joined = indexed.join(sizes, list(by))
+        joined = joined_null_safe(indexed, sizes, by)
     else:
         joined = indexed.withColumn("_n", sizes.scalar())
     return joined.filter(F.col("_row") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
@@ -118,58 +121,115 @@ def bootstrap_totals(
     )
 
 
+# Fixed value: rounds of resampling a standard error takes unless told otherwise.
+ROUNDS = 100_000
+
+
 def bootstrap_stderr(
     df: DataFrame,
     totals: dict[str, Column],
     statistic: Column,
     key: str,
-    iterations: int = 100,
+    iterations: int = ROUNDS,
     by: Sequence[str] = (),
     seed: int = SEED,
 ) -> DataFrame:
     """Sample deviation of a statistic over resamples; ``statistic`` is computed from the summed
-    ``totals`` and ``resampled``. Null with fewer than two rows."""
+    ``totals`` and ``resampled``. Null with fewer than two rows. The work is rows times rounds: where rows take few
+    distinct values, :func:`bootstrap_cells` does with values times rounds. A null group is a group."""
     samples = bootstrap_totals(df, totals, key, iterations, by, seed).withColumn("_value", statistic)
     errors = samples.groupBy(*by).agg(F.stddev_samp("_value").alias("stderr"))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     if by:
-        joined = errors.join(sizes, list(by))
+        joined = joined_null_safe(errors, sizes, by)
     else:
         joined = errors.withColumn("_n", sizes.scalar())
     return joined.withColumn("stderr", F.when(F.col("_n") > 1, F.col("stderr"))).drop("_n")
 
 
+#: Rounds one call of the generator draws.
+BATCH = 1000
+
+
+def bootstrap_cells(
+    df: DataFrame, totals: dict[str, Column], statistic: Column, iterations: int = ROUNDS, by: Sequence[str] = (), seed: int = SEED
+) -> DataFrame:
+    """:func:`bootstrap_stderr` for rows of few distinct values of ``totals``, such as the cells of a confusion table.
+
+    Equal rows are counted first. A round that draws n of n rows with replacement then draws one multinomial
+    number of each value, so the work is values times rounds, whatever the number of rows. Batches of rounds are
+    spread over tasks and draw from a generator seeded by their own number.
+    """
+    names = list(totals)
+    cells = df.select(*by, *[c.cast("double").alias(n) for n, c in totals.items()]).groupBy(*by, *names).agg(F.count("*").alias("_count"))
+    listed = F.array_sort(F.collect_list(F.struct(*names, "_count")))
+    groups = cells.groupBy(*by).agg(F.sum("_count").alias("_n"), listed.alias("_cells"))
+    last = (iterations - 1) // BATCH
+    batches = groups.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition("_batch")
+    group = F.to_json(F.struct(*by)) if by else F.lit("{}")
+
+    def drawn(frames):
+        for frame in frames:
+            out = []
+            for n, held, batch, name, key in zip(frame["_n"], frame["_cells"], frame["_batch"], frame["_group"], frame["_row"]):
+                counts = np.array([c["_count"] for c in held], float)
+                values = np.array([[c[v] for v in names] for c in held])
+                rounds = min(BATCH, iterations - batch * BATCH)
+                generator = np.random.default_rng([seed, batch, zlib.crc32(name.encode())])
+                sums = generator.multinomial(n, counts / counts.sum(), size=rounds) @ values
+                out.append(pd.DataFrame(sums, columns=names).assign(_row=key, resampled=float(n)))
+            yield pd.concat(out) if out else pd.DataFrame(columns=[*names, "_row", "resampled"])
+
+    keyed = groups.select(*by, group.alias("_row"), "_n")
+    work = batches.select("_n", "_cells", "_batch", group.alias("_group"), group.alias("_row"))
+    sums = work.mapInPandas(drawn, ", ".join([*[f"`{n}` double" for n in names], "_row string", "resampled double"]))
+    errors = sums.withColumn("_value", statistic).groupBy("_row").agg(F.stddev_samp("_value").alias("stderr"))
+    return keyed.join(errors, "_row").select(*by, F.when(F.col("_n") > 1, F.col("stderr")).alias("stderr"))
+
+
 # ---- task trees ----
 
 
-def leaf_tasks(edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def leaf_tasks(edges: DataFrame) -> DataFrame:
     """(group, task) for every task below a group at any depth. ``edges`` is the task tree, one row per
-    (parent, child): a catalogue, bounded by the number of configured tasks."""
-    edges = durable(edges.select("parent", "child"))
-    pairs = edges.select(F.col("parent").alias("group"), F.col("child").alias("task"))
+    (parent, child). Goes down until nothing is deeper; a group below itself stops the job."""
+    edges = edges.select("parent", "child")
+    pairs = durable(edges.select(F.col("parent").alias("group"), F.col("child").alias("task")))
     parents = edges.select(F.col("parent").alias("_p"), F.col("child").alias("_c"))
-    for _ in range(max_depth):
-        deeper = pairs.join(parents, pairs["task"] == parents["_p"], "left")
-        if deeper.filter(F.col("_c").isNotNull()).isEmpty():
-            return pairs
-        pairs = deeper.select("group", F.coalesce("_c", "task").alias("task"))
-    raise ValueError(f"the task tree is deeper than {max_depth}")
+    while True:
+        deeper = durable(pairs.join(parents, pairs["task"] == parents["_p"], "left"))
+        state = deeper.agg(F.bool_or(F.col("_c").isNotNull()), F.bool_or(F.col("_c") == F.col("group"))).first()
+        if state[1]:
+            raise ValueError("a group of tasks holds itself")
+        release(pairs)
+        if not state[0]:
+            return deeper.select("group", "task")
+        pairs = durable(deeper.select("group", F.coalesce("_c", "task").alias("task")))
+        release(deeper)
 
 
 def group_scores(
-    leaves: DataFrame, results: DataFrame, weight_by_size: bool = True
+    leaves: DataFrame, results: DataFrame, weight_by_size: bool = True, wanted: DataFrame | None = None
 ) -> DataFrame:
     """Mean of the subtasks' values per group and metric, with the pooled standard error.
 
     ``results`` has (task, metric, value, stderr, samples). A missing stderr makes the group's missing.
+    ``wanted`` lists per group the metrics it reports and whether subtasks weigh by their size: (group, metric,
+    weight_by_size), a metric being taken where its name holds the listed one; groups that list none get no score.
     """
+    rows = leaves.join(results, "task")
+    if wanted is None:
+        rows = rows.withColumn("_weighted", F.lit(weight_by_size))
+    else:
+        listed = wanted.select(F.col("group").alias("_g"), F.col("metric").alias("_m"), F.col("weight_by_size").alias("_weighted"))
+        rows = rows.join(listed, (F.col("group") == F.col("_g")) & F.contains("metric", "_m"))
     n = F.col("samples").cast("double")
-    weight = n if weight_by_size else F.lit(1.0)
+    weight = F.when(F.col("_weighted"), n).otherwise(F.lit(1.0))
     pooled = F.sqrt(
         F.sum((n - 1) * F.col("stderr") * F.col("stderr") * n)
         / F.nullif(F.sum(n) - F.count("*"), F.lit(0.0)) / F.sum(n)
     )
-    return leaves.join(results, "task").groupBy("group", "metric").agg(
+    return rows.groupBy("group", "metric").agg(
         (F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"),
         F.when(~F.bool_or(F.col("stderr").isNull()), pooled).alias("stderr"),
         F.sum("samples").alias("samples"),

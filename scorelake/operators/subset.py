@@ -97,25 +97,19 @@ def covering_radius(df: DataFrame, chosen: DataFrame, key: str, vector: str) ->
     return _lower_distances(rows, key, vector, np.stack(centers)).agg(F.max("distance").alias("radius"))
 
 
-WIDE = 256
-
-
 def mean_vector(df: DataFrame, vector: str, by: list[str], width: int) -> DataFrame:
     """Element-wise mean per group, zeros where a group has no vector; combined within tasks first.
 
-    Up to ``WIDE`` positions each get an aggregate of their own. Wider vectors are averaged as one row
-    per position and put together again, since thousands of aggregates would not compile.
+    A vector is taken apart into one row per position and the means are put together again, whatever the width.
+    A vector of another length stops the job.
     """
-    zeros = F.array_repeat(F.lit(0.0), width)
-    if width <= WIDE:
-        parts = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(width)]
-        joined = F.array(*[F.col(f"_m{i}") for i in range(width)])
-        means = df.groupBy(*by).agg(*parts)
-        return means.select(*by, F.when(F.col("_m0").isNotNull(), joined).otherwise(zeros).alias("mean_vector"))
-    cells = df.select(*by, F.posexplode_outer(vector).alias("_at", "_x"))
+    wrong = F.raise_error(F.lit(f"a vector is not of length {width}")).cast(df.schema[vector].dataType)
+    checked = F.when(F.col(vector).isNull() | (F.size(vector) == width), F.col(vector)).otherwise(wrong)
+    cells = df.select(*by, checked.alias("_v")).select(*by, F.posexplode_outer("_v").alias("_at", "_x"))
     means = cells.groupBy(*by, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_mean"))))
     joined = F.transform(ordered, lambda cell: cell["_mean"])
+    zeros = F.array_repeat(F.lit(0.0), width)
     return means.groupBy(*by).agg(F.when(F.size(ordered) > 0, joined).otherwise(zeros).alias("mean_vector"))
 
 

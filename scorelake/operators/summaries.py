@@ -153,12 +153,27 @@ def overall_angle_distance(labels: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_labels(labels: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Fold rows of one label into one, each value weighted by the samples behind it."""
-    n = F.col("num_samples")
-    return labels.groupBy(*by).agg(
-        *[weighted_mean(F.col(v), n).alias(v) for v in values], F.sum(n).alias("num_samples")
-    )
+def merge_labels(labels: DataFrame, by: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
+    """Fold rows of one label into one, in the order of ``order``.
+
+    A value met so far weighs with all samples so far, also those of rows that had none; the first value met stands
+    as it is. One row per task kind goes in, so the ordered list of a label is short.
+    """
+    cells = [F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")).alias(v) for v in values]
+    row = F.struct(F.col(order).alias("_order"), F.col("num_samples").cast("double").alias("_n"), *cells)
+    listed = labels.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.sum("num_samples").alias("num_samples"))
+    start = F.struct(F.lit(0.0).alias("_n"), *[F.lit(None).cast("double").alias(v) for v in values])
+
+    def fold(acc: Column, x: Column) -> Column:
+        total = acc["_n"] + x["_n"]
+        merged = [
+            F.when(acc[v].isNotNull() & x[v].isNotNull(), (acc[v] * acc["_n"] + x[v] * x["_n"]) / total)
+            .otherwise(F.coalesce(acc[v], x[v])).alias(v) for v in values
+        ]
+        return F.struct(total.alias("_n"), *merged)
+
+    folded = listed.withColumn("_f", F.aggregate("_rows", start, fold))
+    return folded.select(*by, *[F.col(f"_f.{v}").alias(v) for v in values], "num_samples")
 
 
 def overall_lesion(labels: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -32,9 +30,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A given table; ``heavy`` says that the query works long on every row."""
+    """A given table. ``heavy`` says that the query works long on every row: it is dealt over as many tasks as
+    the session asks for with ``spark.scorelake.spread``, or read as it is where nothing is asked."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if heavy else df
+    parts = int(spark.conf.get("spark.scorelake.spread", "0"))
+    return df.repartition(parts) if heavy and parts else df
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str, heavy: bool = False) -> DataFrame:

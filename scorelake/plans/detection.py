@@ -36,7 +36,8 @@ def labelled(answers: DataFrame, plan_label: DataFrame, plan_task: DataFrame) ->
 
 
 def summary_by_anatomy(answers, plan_label, plan_task, by=()) -> DataFrame:
-    rows = labelled(scored(answers), plan_label, plan_task)
+    # Joined first: rows off the plan are dropped before they are scored.
+    rows = scored(labelled(answers, plan_label, plan_task))
     return summaries.summarise_detection(rows, [*by, "group_name"])
 
 

@@ -197,11 +197,13 @@ def config_names_from_csv(spark, sf_dir):
 
 
 CONFIGS = """
-SELECT 'base.yaml' AS file, concat('output_type: generate_until', char(10), 'dataset_path: d', char(10), 'num_fewshot: 0', char(10), 'doc_to_text: !function utils.f', char(10)) AS value
-UNION ALL SELECT concat('region_', CAST(r_regionkey AS STRING), '.yaml'), concat('include: base.yaml', char(10), 'tag: all,', r_name, char(10), 'num_fewshot: ', CAST(r_regionkey AS STRING), char(10)) FROM {region}
-UNION ALL SELECT concat('task_', CAST(n_nationkey AS STRING), '.yaml'), concat('task: ', n_name, char(10), 'include: region_', CAST(n_regionkey AS STRING), '.yaml', char(10),
-  CASE WHEN n_nationkey % 5 = 0 THEN concat('output_type: multiple_choice', char(10)) ELSE '' END) FROM {nation}
-UNION ALL SELECT concat('group_', CAST(r_regionkey AS STRING), '.yaml'), concat('group: g_', r_name, char(10), 'task:', char(10), '  - NATION_', CAST(r_regionkey AS STRING), char(10), '  - NATION_', CAST(r_regionkey + 5 AS STRING), char(10)) FROM {region}
+SELECT 'base_settings' AS file, concat('output_type: generate_until', char(10), 'dataset_path: d', char(10), 'num_fewshot: 0', char(10), 'doc_to_text: !function utils.f', char(10)) AS value
+UNION ALL SELECT concat('region_', CAST(r_regionkey AS STRING), '.yaml'), concat('include: shared/../base_settings', char(10), 'tag: all,', r_name, char(10), 'num_fewshot: ', CAST(r_regionkey AS STRING), char(10)) FROM {region}
+UNION ALL SELECT concat('task_', CAST(n_nationkey AS STRING), '.yaml'), concat('task: ', n_name, char(10), 'include: ./region_', CAST(n_regionkey AS STRING), '.yaml', char(10),
+  CASE WHEN n_nationkey % 5 = 0 THEN concat('output_type: multiple_choice', char(10)) WHEN n_nationkey % 5 = 1 THEN concat('group: regional', char(10)) ELSE '' END) FROM {nation}
+UNION ALL SELECT concat('group_', CAST(r_regionkey AS STRING), '.yaml'), concat('group: g_', r_name, char(10), 'task:', char(10), '  - NATION_', CAST(r_regionkey AS STRING), char(10),
+  '  - task: NATION_', CAST(r_regionkey + 5 AS STRING), char(10), '    num_fewshot: 3', char(10), '  - group: inner_', r_name, char(10), '    task:', char(10),
+  '      - NATION_20', char(10), '      - task: NATION_21', char(10), '      - task: NATION_21', char(10), '        num_fewshot: 1', char(10)) FROM {region}
 """
 
 
@@ -212,7 +214,8 @@ def written_configs(spark, sf_dir) -> DataFrame:
 
 
 @query("task_catalogue", """
-SELECT n_name AS name, 'task' AS kind, CASE WHEN n_nationkey % 5 = 0 THEN 'multiple_choice' ELSE 'generate_until' END AS output_type, 'all|' || r_name AS tags FROM nation JOIN region ON r_regionkey = n_regionkey
+SELECT n_name AS name, 'task' AS kind, CASE WHEN n_nationkey % 5 = 0 THEN 'multiple_choice' ELSE 'generate_until' END AS output_type,
+  'all,' || r_name || CASE WHEN n_nationkey % 5 = 1 THEN '|regional' ELSE '' END AS tags FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'g_' || r_name, 'group', '', '' FROM region""")
 def task_catalogue(spark, sf_dir):
     catalog = tasks.task_catalog(written_configs(spark, sf_dir))
@@ -220,8 +223,11 @@ def task_catalogue(spark, sf_dir):
 
 
 @query("tags_and_members", """
-SELECT 'tag' AS kind, 'all' AS name, n_name AS task FROM nation UNION ALL SELECT 'tag', r_name, n_name FROM nation JOIN region ON r_regionkey = n_regionkey
-UNION ALL SELECT 'group', 'g_' || r_name, 'NATION_' || r_regionkey FROM region UNION ALL SELECT 'group', 'g_' || r_name, 'NATION_' || (r_regionkey + 5) FROM region""")
+WITH t AS (SELECT unnest(['NATION_20', 'NATION_21', 'NATION_21-1']) AS task)
+SELECT 'tag' AS kind, 'all,' || r_name AS name, n_name AS task FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'tag', 'regional', n_name FROM nation WHERE n_nationkey % 5 = 1
+UNION ALL SELECT 'group', 'g_' || r_name, 'NATION_' || r_regionkey FROM region UNION ALL SELECT 'group', 'g_' || r_name, 'NATION_' || (r_regionkey + 5) FROM region
+UNION ALL SELECT 'group', 'g_' || r_name, task FROM region, t UNION ALL SELECT 'group', 'inner_' || r_name, task FROM region, t""")
 def tags_and_members(spark, sf_dir):
     configs = written_configs(spark, sf_dir)
     tagged = tasks.tag_index(tasks.task_catalog(configs)).select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), "task")

@@ -156,13 +156,22 @@ def overall_lesion(spark, sf_dir):
     return rounded(summaries.overall_lesion(labels, ["model"]))
 
 
+MERGED = ("avg_mae", "avg_mre", "success_rate", "mre_lt_10")
+
+
+def fold_sql(value: str) -> str:
+    return (f"CASE WHEN f.{value} IS NULL THEN r.{value} WHEN r.{value} IS NULL THEN f.{value} "
+            f"ELSE (f.{value} * f.n + r.{value} * r.n) / (f.n + r.n) END AS {value}")
+
+
 @query("merged_labels", f"""
-WITH {LABEL_TABLE}
-SELECT label, {", ".join(f"round({weighted(c)}, 6) AS {c}" for c in ("avg_mae", "avg_mre", "success_rate", "mre_lt_10"))},
-  CAST(sum(num_samples) AS BIGINT) AS num_samples FROM labels_of GROUP BY label""")
+WITH RECURSIVE {LABEL_TABLE},
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY model) AS k, num_samples::DOUBLE AS n, {", ".join(f"{c}::DOUBLE AS {c}" for c in MERGED)} FROM labels_of),
+f AS (SELECT * FROM r WHERE k = 1 UNION ALL SELECT r.label, r.k, f.n + r.n AS n, {", ".join(map(fold_sql, MERGED))} FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1)
+SELECT label, {", ".join(f"round({c}, 6) AS {c}" for c in MERGED)}, CAST(n AS BIGINT) AS num_samples FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1""")
 def merged_labels(spark, sf_dir):
     labels = summaries.summarise_relative(labelled_measures(spark, sf_dir), ["model", "label"])
-    return rounded(summaries.merge_labels(labels, ["label"], ["avg_mae", "avg_mre", "success_rate", "mre_lt_10"]))
+    return rounded(summaries.merge_labels(labels, ["label"], MERGED, "model"))
 
 
 @query("online_biometric_scores", f"""

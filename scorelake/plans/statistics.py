@@ -85,9 +85,48 @@ def registered_metrics(spark, sf_dir):
     return rounded(registry.aggregate(rows, ["lang"], ["acc", "perplexity"]))
 
 
+CELLS_SQL = """count(*) FILTER (WHERE gold = 1 AND pred = 1)::DOUBLE AS tp, count(*) FILTER (WHERE gold <> 1 AND pred = 1)::DOUBLE AS fp,
+  count(*) FILTER (WHERE gold = 1 AND pred <> 1)::DOUBLE AS fn, count(*) FILTER (WHERE gold <> 1 AND pred <> 1)::DOUBLE AS tn"""
+
+
+@query("registered_scores_and_errors", f"""
+WITH l AS (SELECT *, CAST(gold = pred AS INT) AS ok, 1.0 / (1 + n_chars / 500.0::DOUBLE) AS q, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM ({LABELLED_SQL})),
+c AS (SELECT lang, {CELLS_SQL} FROM l GROUP BY 1), s AS (SELECT lang, source, min(ok) AS ok FROM l GROUP BY 1, 2), w AS (SELECT lang, source, toxic, min(ok) AS ok FROM l GROUP BY 1, 2, 3)
+SELECT lang, 'acc' AS metric, round(avg(ok), 6) AS value, round(stddev_samp(ok) / sqrt(count(*)), 6) AS closed_stderr, false AS resampled FROM l GROUP BY 1
+UNION ALL SELECT lang, 'perplexity', round(exp(avg(n_chars / 10000.0::DOUBLE)), 6), NULL, count(*) > 1 FROM l GROUP BY 1
+UNION ALL SELECT lang, 'brier_score', round(avg(power(q - CASE WHEN gold = 0 THEN 1 ELSE 0 END, 2) + power((1 - q) - CASE WHEN gold = 1 THEN 1 ELSE 0 END, 2)), 6), NULL, false FROM l GROUP BY 1
+UNION ALL SELECT lang, 'f1', round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6), NULL, tp + fp + fn + tn > 1 FROM c
+UNION ALL SELECT lang, 'mcc', round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 6), NULL, tp + fp + fn + tn > 1 FROM c
+UNION ALL SELECT lang, 'acc_all', round(avg(w.ok), 6), (SELECT round(stddev_samp(ok) / sqrt(count(*)), 6) FROM s WHERE s.lang = w.lang), false FROM w GROUP BY 1
+UNION ALL SELECT lang, 'bleu', NULL, NULL, count(*) > 1 FROM l GROUP BY 1
+UNION ALL SELECT lang, 'chrf', NULL, NULL, count(*) > 1 FROM l GROUP BY 1
+UNION ALL SELECT lang, 'ter', NULL, NULL, count(*) > 1 FROM l GROUP BY 1
+UNION ALL SELECT lang, 'middle', round(n_chars::DOUBLE, 6), NULL, n > 1 FROM l WHERE k = n // 2""")
+def registered_scores_and_errors(spark, sf_dir):
+    """Every kind of metric by name with its error. The values of the translation metrics are checked by the corpus_*
+    queries; resampled errors are checked for being there."""
+    if "middle" not in registry.METRICS:
+        registry.register_metric("middle", "median", True, "generate_until")
+    q = F.lit(1.0) / (1 + F.col("n_chars") / 500.0)
+    rows = derived(spark, sf_dir, LABELLED, heavy=True)
+    pred, refs = F.concat_ws(" ", "lang", "source", "gold"), F.array(F.concat_ws(" ", "lang", "source", "pred"))
+    rows = rows.withColumns({
+        "acc": (F.col("gold") == F.col("pred")).cast("double"), "perplexity": -F.col("n_chars") / 10000.0, "brier_score_0": F.array(q, 1 - q),
+        "brier_score_1": F.col("gold"), "f1_0": F.col("gold"), "f1_1": F.col("pred"), "mcc_0": F.col("gold"), "mcc_1": F.col("pred"),
+        "acc_all_0": F.col("toxic"), "acc_all_1": F.col("source"), "acc_all_2": F.col("gold") == F.col("pred"), "middle": F.col("n_chars").cast("double"),
+        **{f"{m}_{i}": (pred, refs)[i] for m in ("bleu", "chrf", "ter") for i in (0, 1)},
+    })
+    names = ["acc", "perplexity", "brier_score", "f1", "mcc", "acc_all", "bleu", "chrf", "ter", "middle"]
+    found = registry.scored_with_errors(rows, ["lang"], names, "doc_id", rounds=2000)
+    closed = F.col("metric").isin("acc", "acc_all")
+    return rounded(found.select(
+        "lang", "metric", F.when(~F.col("metric").isin("bleu", "chrf", "ter"), F.col("value")).alias("value"),
+        F.when(closed, F.col("stderr")).alias("closed_stderr"), (~closed & F.col("stderr").isNotNull()).alias("resampled")))
+
+
 # ---- standard errors by resampling ----
 
-ITERATIONS = 40
+ITERATIONS = stats.ROUNDS
 
 
 def poisson_sql(u: str) -> str:
@@ -105,21 +144,31 @@ p AS (SELECT it, tp, fp, fn, {poisson_sql('u')} AS w FROM w),
 s AS (SELECT it, sum(tp * w)::DOUBLE AS tp, sum(fp * w)::DOUBLE AS fp, sum(fn * w)::DOUBLE AS fn FROM p GROUP BY 1)
 SELECT round(stddev_samp(2 * tp / (2 * tp + fp + fn)), 6) AS stderr FROM s""")
 def bootstrap_of_f1(spark, sf_dir):
-    rows = derived(spark, sf_dir, LABELLED)
+    rows = derived(spark, sf_dir, LABELLED, heavy=True)
+    value = stats.f1_of(F.col("tp"), F.col("fp"), F.col("fn"))
+    return rounded(stats.bootstrap_stderr(rows, _confusion_totals(), value, "doc_id", ITERATIONS))
+
+
+def _confusion_totals():
     gold, pred = F.col("gold") == 1, F.col("pred") == 1
-    totals = {"tp": (gold & pred).cast("double"), "fp": (~gold & pred).cast("double"), "fn": (gold & ~pred).cast("double")}
+    return {"tp": (gold & pred).cast("double"), "fp": (~gold & pred).cast("double"), "fn": (gold & ~pred).cast("double")}
+
+
+@query("bootstrap_of_f1_by_cells")
+def bootstrap_of_f1_by_cells(spark, sf_dir):
+    rows = derived(spark, sf_dir, LABELLED).withColumn("lang", F.expr("nullif(lang, 'es')"))
     value = stats.f1_of(F.col("tp"), F.col("fp"), F.col("fn"))
-    return rounded(stats.bootstrap_stderr(rows, totals, value, "doc_id", ITERATIONS))
+    return stats.bootstrap_cells(rows, _confusion_totals(), value, by=["lang"])
 
 
 @query("bootstrap_of_perplexity", f"""
-WITH w AS (SELECT event_type, it, value, ({draw_sql('event_id', 'it')}) / {float(SPAN)!r} AS u FROM events, (SELECT unnest(range(0, {ITERATIONS})) AS it)),
-s AS (SELECT event_type, it, sum(value * k) / sum(k) AS mean FROM (SELECT *, {poisson_sql('u')} AS k FROM w) GROUP BY 1, 2)
-SELECT event_type, round(stddev_samp(exp(mean / 100)), 6) AS stderr FROM s GROUP BY 1""")
+WITH w AS (SELECT lang, it, n_chars, ({draw_sql('doc_id', 'it')}) / {float(SPAN)!r} AS u FROM ({LABELLED_SQL}), (SELECT unnest(range(0, {ITERATIONS})) AS it)),
+s AS (SELECT nullif(lang, 'es') AS lang, it, sum(n_chars * k) / nullif(sum(k), 0) AS mean FROM (SELECT *, {poisson_sql('u')} AS k FROM w) GROUP BY 1, 2)
+SELECT lang, round(stddev_samp(exp(mean / 10000)), 6) AS stderr FROM s GROUP BY 1""")
 def bootstrap_of_perplexity(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
+    rows = derived(spark, sf_dir, LABELLED, heavy=True).withColumn("lang", F.expr("nullif(lang, 'es')"))
     mean = F.col("total") / F.col("resampled")
-    return rounded(stats.bootstrap_stderr(rows, {"total": F.col("value")}, F.exp(mean / 100), "event_id", ITERATIONS, by=["event_type"]))
+    return rounded(stats.bootstrap_stderr(rows, {"total": F.col("n_chars")}, F.exp(mean / 10000), "doc_id", ITERATIONS, by=["lang"]))
 
 
 # ---- groups of tasks: regions hold nations, the world holds regions ----

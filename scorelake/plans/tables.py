@@ -21,6 +21,11 @@ def draw_sql(key: str, stream: str = "0", seed: int = SEED) -> str:
     return mix(f"(({mix(folded)}) + ({stream}) * 40503) & 4294967295")
 
 
+def start_sql(key: str) -> str:
+    """63 random bits of two draws."""
+    return f"(((({draw_sql(key, '1')}) & 2147483647) << 32) + ({draw_sql(key, '2')}))"
+
+
 # ---- lookups ----
 
 PLAN_SQL = f"""plan_label AS ({plain(PLAN_LABEL).replace('STRING', 'VARCHAR')}), plan_task AS ({plain(PLAN_TASK).replace('STRING', 'VARCHAR')}),
@@ -283,7 +288,7 @@ def limits_as_counts_and_shares(spark, sf_dir):
 
 @query("few_shot_examples", f"""
 WITH pool AS (SELECT s_suppkey, row_number() OVER (ORDER BY {draw_sql('s_suppkey')}, s_suppkey) - 1 AS k FROM supplier), n AS (SELECT count(*) AS n FROM supplier),
-d AS (SELECT c_custkey AS s_suppkey, ({draw_sql('c_custkey', '1')}) % n AS start FROM customer, n),
+d AS (SELECT c_custkey AS s_suppkey, {start_sql('c_custkey')} % n AS start FROM customer, n),
 w AS (SELECT d.s_suppkey, step, (start + step) % n AS k FROM d, n, (SELECT unnest(range(0, 4)) AS step)),
 m AS (SELECT w.s_suppkey, step, pool.s_suppkey AS example FROM w JOIN pool USING (k) WHERE pool.s_suppkey <> w.s_suppkey)
 SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY step) - 1 AS INT) AS place, example FROM m QUALIFY place < 3""")
@@ -294,7 +299,7 @@ def few_shot_examples(spark, sf_dir):
 
 @query("few_shot_contexts", f"""
 WITH pool AS (SELECT s_suppkey, row_number() OVER (ORDER BY {draw_sql('s_suppkey')}, s_suppkey) - 1 AS k, 'Q: ' || s_name || ' A: ' || s_nationkey AS shot FROM supplier), n AS (SELECT count(*) AS n FROM supplier),
-w AS (SELECT s_suppkey, step, (({draw_sql('s_suppkey', '1')}) % n + step) % n AS k FROM supplier, n, (SELECT unnest(range(0, 3)) AS step)),
+w AS (SELECT s_suppkey, step, ({start_sql('s_suppkey')} % n + step) % n AS k FROM supplier, n, (SELECT unnest(range(0, 3)) AS step)),
 m AS (SELECT w.s_suppkey, step, shot FROM w JOIN pool USING (k) WHERE pool.s_suppkey <> w.s_suppkey),
 p AS (SELECT s_suppkey, shot, row_number() OVER (PARTITION BY s_suppkey ORDER BY step) AS place FROM m QUALIFY place <= 2)
 SELECT s_suppkey, string_agg(shot, chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) AS context FROM p GROUP BY 1""")
@@ -417,16 +422,15 @@ def flat_results(spark, sf_dir):
 
 @query("content_hashes_per_task", """
 WITH h AS (SELECT doc_id, lang, sha256(text) AS doc_hash, sha256(lang || source) AS prompt_hash, sha256(CAST(n_chars AS VARCHAR)) AS target_hash FROM documents),
-b AS (SELECT lang, doc_id // 64 AS b, sha256(string_agg(doc_hash || prompt_hash || target_hash, '' ORDER BY doc_id)) AS h FROM h GROUP BY 1, 2),
-c AS (SELECT lang, b // 64 AS c, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS h FROM b GROUP BY 1, 2),
-d AS (SELECT lang, c // 64 AS d, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY c)) END AS h FROM c GROUP BY 1, 2)
-SELECT lang, h AS task_hash FROM d""")
+t AS (SELECT lang, sha256(doc_id || ':' || doc_hash || prompt_hash || target_hash) AS d FROM h),
+p AS (SELECT lang, [('0x' || substr(d, 1 + 15 * i, 15))::BIGINT::HUGEINT FOR i IN range(0, 4)] AS n FROM t)
+SELECT lang, sha256(concat_ws(':', count(*), sum(n[1]), sum(n[2]), sum(n[3]), sum(n[4]))) AS task_hash FROM p GROUP BY 1""")
 def content_hashes_per_task(spark, sf_dir):
     docs = results.content_hashes(
         table(spark, sf_dir, "documents"), F.col("text"), F.concat("lang", "source"), F.col("n_chars").cast("string")
     )
     row = F.concat("doc_hash", "prompt_hash", "target_hash")
-    return results.task_hashes(docs, ["lang"], "doc_id", row, fan=64)
+    return results.task_hashes(docs, ["lang"], "doc_id", row)
 
 
 @query("shuffled_order", f"SELECT o_orderkey, {draw_sql('o_orderkey')} AS drawn, {draw_sql('o_custkey', 'o_orderkey % 5', 7)} AS drawn_again FROM orders")

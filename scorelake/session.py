@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """Session for tests and the benchmark. On a cluster the submitter's own settings apply."""
+    """Session for tests and the benchmark. On a cluster the submitter's own settings apply.
+
+    ``spark.scorelake.spread`` asks the registered queries to deal small one-file tables over so many tasks.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("scorelake")
@@ -18,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.scorelake.spread", str(shuffle_partitions))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -27,21 +30,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A private folder is made only in local mode with nothing configured, which is the test set-up.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if sc.getCheckpointDir():
-            return sc.getCheckpointDir()
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="scorelake-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the session's warehouse, which
+    all executors share as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scorelake_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,17 +41,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/scorelake/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over all cores when it was read in fewer pieces than there are cores.
-
-    For work that costs far more per row than moving the row does. On an input of many splits, as on a
-    cluster, this changes nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so the loss of an executor never redoes earlier rounds."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared folder, so the loss of an executor never redoes earlier
+    rounds. Its folder is in ``stored_path``, for :func:`release` once no later step reads it."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for table in tables:
+        path = getattr(table, "stored_path", None)
+        if path:
+            remove_path(table.sparkSession, path)

@@ -37,21 +37,40 @@ def read_config_names(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-ENTRY_SCHEMA = "path string, directory string, file_name string, item string, value string, include array<string>"
+ENTRY_SCHEMA = "path string, item string, value string, include array<string>"
 
 
 def read_task_configs(spark: SparkSession, root: str, files: str = "*.yaml") -> DataFrame:
-    """Top-level entries of every YAML file below a folder: one row per (file, key), values as JSON text."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(root, wholetext=True)
+    """Top-level entries of every YAML file below a folder: one row per (file, key), values as JSON text, with the
+    files it includes as full paths.
+
+    Included files are read whatever their name ends with and wherever they lie; one that is not there stops the
+    job. The decoded entries are stored, so that no later step decodes the files again.
+    """
+    below = (
+        spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
         .select("value", logical_path(F.col("_metadata.file_path")).alias("path"))
-        .filter(F.col("path").endswith(".yaml") & ~F.col("path").rlike("/(__pycache__|\\.ipynb_checkpoints)/"))
+        .filter(~F.col("path").rlike("/(__pycache__|\\.ipynb_checkpoints)/"))
     )
-    return texts.mapInPandas(_decode_yaml, ENTRY_SCHEMA)
+    suffix = files.removeprefix("*")
+    entries = durable(below.filter(F.col("path").endswith(suffix if suffix.startswith(".") else ".yaml")).mapInPandas(_decode_yaml, ENTRY_SCHEMA))
+    while True:
+        known = entries.select("path").distinct()
+        targets = entries.select(F.explode("include").alias("path")).distinct().join(known, "path", "left_anti")
+        more = durable(below.join(targets, "path").select("value", "path").mapInPandas(_decode_yaml, ENTRY_SCHEMA))
+        # As many paths as there are configuration files at most.
+        outside = [r.path for r in targets.join(more.select("path").distinct(), "path", "left_anti").collect()]
+        if outside:
+            texts = spark.read.text(outside, wholetext=True).select("value", logical_path(F.col("_metadata.file_path")).alias("path"))
+            more = durable(more.unionByName(texts.mapInPandas(_decode_yaml, ENTRY_SCHEMA)))
+        if more.isEmpty():
+            return entries
+        entries = durable(entries.unionByName(more))
 
 
 def _decode_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import json
+    import posixpath
 
     import yaml
 
@@ -63,46 +82,42 @@ def _decode_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text, path in zip(batch["value"], batch["path"]):
-            directory, _, file_name = path.rpartition("/")
             config = yaml.load(text, Loader=Loader)
-            if not isinstance(config, dict):
-                continue
+            config = config if isinstance(config, dict) else {}
             include = config.pop("include", [])
             include = [include] if isinstance(include, str) else list(include)
+            directory = path.rpartition("/")[0]
+            full = [posixpath.normpath(f"file:{n}" if n.startswith("/") else f"{directory}/{n}") for n in include]
             for key, value in [*config.items(), (None, None)]:
                 shown = None if key is None else json.dumps(value, ensure_ascii=False, default=str)
-                rows.append((path, directory, file_name, key, shown, include))
+                rows.append((path, key, shown, full))
         yield pd.DataFrame(rows, columns=names)
 
 
-def resolved_configs(entries: DataFrame, max_depth: int = 8) -> DataFrame:
+def resolved_configs(entries: DataFrame) -> DataFrame:
     """(path, item, value) with included files folded in: own entries win, then those of the include
-    named first. Includes are followed level by level; each level is one equality join on the file. The
-    decoded entries are stored first, so that no level decodes the files again."""
-    entries = durable(entries)
+    named first. Includes are followed level by level until there are none; each level is one equality join on the
+    file. A file that includes itself, over any number of steps, stops the job."""
     own = entries.filter(F.col("item").isNotNull()).select("path", "item", "value")
-    links = (
-        entries.select("path", "directory", "include").distinct()
-        .select("path", "directory", F.posexplode("include").alias("place", "name"))
-        .withColumn("target", F.when(F.col("name").startswith("/"), F.concat(F.lit("file:"), F.col("name"))).otherwise(F.concat_ws("/", "directory", "name")))
-        .select("path", "place", "target")
+    step = (
+        entries.select("path", "include").distinct()
+        .select(F.col("path").alias("_from"), F.posexplode("include").alias("place", "_to"))
     )
     # Rank of an inherited entry: the places of the includes on the way down. Arrays compare entry by
     # entry and a shorter one first, so an entry of a nearer file always ranks before a farther one.
-    reach = entries.select("path").distinct().select(
+    levels = frontier = entries.select("path").distinct().select(
         F.col("path"), F.col("path").alias("target"), F.expr("array(cast(0 as int))").alias("rank")
     )
-    levels, frontier = reach, reach
-    for _ in range(max_depth):
-        step = links.select(F.col("path").alias("_from"), "place", F.col("target").alias("_to"))
-        frontier = frontier.join(step, frontier["target"] == step["_from"]).select(
+    while True:
+        frontier = durable(frontier.join(step, frontier["target"] == step["_from"]).select(
             "path", F.col("_to").alias("target"), F.concat("rank", F.array(F.col("place") + 1)).alias("rank")
-        )
-        if frontier.isEmpty():
+        ))
+        state = frontier.agg(F.count("*"), F.bool_or(F.col("path") == F.col("target"))).first()
+        if state[1]:
+            raise ValueError("a configuration file includes itself")
+        if not state[0]:
             break
         levels = levels.unionByName(frontier)
-    else:
-        raise ValueError(f"includes are nested deeper than {max_depth}")
     inherited = levels.join(own.withColumnRenamed("path", "target"), "target")
     return inherited.groupBy("path", "item").agg(F.min_by("value", "rank").alias("value"))
 
@@ -120,13 +135,18 @@ def task_catalog(configs: DataFrame) -> DataFrame:
         .when(F.col("group").isNotNull() & listed, "group")
         .when(F.col("task").isNotNull() & ~listed, "task")
     )
-    tags = F.when(F.col("tag").startswith("["), F.from_json("tag", "array<string>")).otherwise(
-        F.split(text(F.col("tag")), ",")
-    )
+
+    def names(column: str):
+        """A list of names, or the one name a text is, commas and all."""
+        one = F.array(text(F.col(column)))
+        listed_names = F.when(F.col(column).startswith("["), F.from_json(column, "array<string>")).otherwise(one)
+        return F.when(F.col(column).isNotNull(), listed_names).otherwise(F.array().cast("array<string>"))
+
+    # The group key of a task is a tag under another name.
+    tags = F.when(F.col("kind") == "task", F.concat(names("tag"), names("group"))).otherwise(names("tag"))
     return wide.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
         F.when(F.col("kind") == "group", text(F.col("group"))).otherwise(text(F.col("task"))).alias("name"),
-        "kind", "path", F.coalesce(text(F.col("output_type")), F.lit("")).alias("output_type"),
-        F.coalesce(F.transform(tags, F.trim), F.expr("cast(array() as array<string>)")).alias("tags"),
+        "kind", "path", F.coalesce(text(F.col("output_type")), F.lit("")).alias("output_type"), tags.alias("tags"),
     )
 
 
@@ -142,17 +162,41 @@ def sorted_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def group_members(configs: DataFrame) -> DataFrame:
-    """(parent, child) edges of group files."""
+    """(parent, child) edges of group files. An entry written out in place is the task or group it names; the second
+    such task of one name in a group is told apart by a number. Groups written out in groups give edges of their own."""
     def item(name: str):
         return F.max(F.when(F.col("item") == name, F.col("value"))).alias(name)
 
     wide = configs.groupBy("path").agg(item("group"), item("task")).filter(
         F.col("group").isNotNull() & F.col("task").startswith("[")
     )
-    return wide.select(
-        F.get_json_object(F.concat(F.lit('{"v":'), "group", F.lit("}")), "$.v").alias("parent"),
-        F.explode(F.from_json("task", "array<string>")).alias("child"),
-    )
+    level = wide.select(F.get_json_object(F.concat(F.lit('{"v":'), "group", F.lit("}")), "$.v").alias("parent"), "task")
+    edges = None
+    while True:
+        entries = F.from_json("task", "array<string>")
+        level = durable(level.select("parent", _named_children(entries).alias("children")).select("parent", F.explode("children").alias("c")))
+        found = level.select("parent", F.col("c.name").alias("child"))
+        edges = found if edges is None else edges.unionByName(found)
+        inner = level.filter(F.col("c.inner").isNotNull()).select(F.col("c.name").alias("parent"), F.col("c.inner").alias("task"))
+        if inner.isEmpty():
+            return edges
+        level = inner
+
+
+def _named_children(entries):
+    """(name, inner) of the entries of a group: inner is the list of a group written out in place."""
+    start = F.array().cast("array<struct<name:string,inner:string,plain:boolean>>")
+
+    def add(done, entry):
+        inline = entry.startswith("{")
+        group = F.get_json_object(entry, "$.group")
+        inner = F.when(inline & group.isNotNull(), F.get_json_object(entry, "$.task"))
+        name = F.when(inline, F.coalesce(group, F.get_json_object(entry, "$.task"))).otherwise(entry)
+        same = F.size(F.filter(done, lambda d: ~d["plain"] & d["name"].startswith(name)))
+        numbered = F.when(inline & group.isNull() & (same > 0), F.concat(name, F.lit("-"), same.cast("string"))).otherwise(name)
+        return F.concat(done, F.array(F.struct(numbered.alias("name"), inner.alias("inner"), (~inline).alias("plain"))))
+
+    return F.aggregate(entries, start, add)
 
 
 def duplicate_names(catalog: DataFrame) -> DataFrame:

@@ -98,10 +98,39 @@ def test_task_configs_inherit(spark, tmp_path):
     assert {(r["name"], r["kind"], r["output_type"]) for r in catalog.collect()} == {
         ("T", "task", "generate_until"), ("G", "group", ""), ("P", "python_task", ""),
     }
-    assert {(r["tag"], r["task"]) for r in tasks.tag_index(catalog).collect()} == {("one", "T"), ("two", "T")}
+    assert {(r["tag"], r["task"]) for r in tasks.tag_index(catalog).collect()} == {("one,two", "T")}
     assert {(r["parent"], r["child"]) for r in tasks.group_members(configs).collect()} == {("G", "T"), ("G", "U")}
 
 
+def test_includes_of_any_name_depth_and_place(spark, tmp_path):
+    def put(name, text):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True, parents=True)
+        path.write_text(text)
+
+    put("outside/far", "deep: far\n")
+    put("in/shared", "include: ../outside/far\nx: shared\n")
+    put("in/0.yaml", "include: shared\n")
+    for i in range(1, 12):
+        put(f"in/{i}.yaml", f"include: ./{i - 1}.yaml\n")
+    put("in/task.yaml", "task: T\ngroup: [old, G]\ninclude: 11.yaml\n")
+    put("in/group.yaml", "group: G\ntask:\n- T\n- {task: T, n: 1}\n- {task: T, n: 2}\n- {group: H, task: [U]}\n")
+    configs = tasks.resolved_configs(tasks.read_task_configs(spark, f"{tmp_path}/in"))
+    own = {r["item"]: r["value"] for r in configs.filter(F.col("path").endswith("/task.yaml")).collect()}
+    assert (own["x"], own["deep"]) == ('"shared"', '"far"')
+    assert {(r["tag"], r["task"]) for r in tasks.tag_index(tasks.task_catalog(configs)).collect()} == {("old", "T")}
+    assert {(r["parent"], r["child"]) for r in tasks.group_members(configs).collect()} == {
+        ("G", "T"), ("G", "T-1"), ("G", "H"), ("H", "U"),
+    }
+    put("in/lost.yaml", "include: nowhere.yaml\n")
+    with pytest.raises(Exception, match="nowhere"):
+        tasks.read_task_configs(spark, f"{tmp_path}/in").collect()
+    put("loop/a.yaml", "include: b.yaml\n")
+    put("loop/b.yaml", "include: a.yaml\n")
+    with pytest.raises(ValueError, match="includes itself"):
+        tasks.resolved_configs(tasks.read_task_configs(spark, f"{tmp_path}/loop"))
+
+
 def test_image_questions_and_captions(spark, tmp_path):
     images = tmp_path / "images"
     images.mkdir()

@@ -299,3 +299,22 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
     df = spark.range(40000).withColumn("w", poisson_one(draw(F.col("id")) / float(1 << 32)))
     r = df.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v")).first()
     assert r["m"] == pytest.approx(1, abs=0.03) and r["v"] == pytest.approx(1, abs=0.05)
+
+
+def test_blanks_of_unicode(spark):
+    from scorelake.functions import answers, textscores
+    from scorelake.functions.numbers import strip
+
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    df = spark.createDataFrame([(f"{b}yes{b}{b}no{b}",) for b in blanks], "t string")
+    rows = df.select("t", strip(F.col("t")).alias("s"), textscores.collapsed(F.col("t")).alias("c"), answers.plain_words_text(F.col("t")).alias("w")).collect()
+    assert all((r.s, r.c, r.w) == (r.t.strip(), "yes no", "yes no") for r in rows)
+    article = spark.createDataFrame([("a\xa0dog\u2003runs",)], "t string").select(answers.vqa_answer_text(F.col("t")).alias("v")).first()
+    assert article.v == "dog runs"
+
+
+def test_a_missing_ratio_has_no_bin(spark):
+    from scorelake.functions.boxes import ratio_bin
+
+    rows = spark.createDataFrame([(None,), (0.95,), (0.01,)], "r double").select(ratio_bin(F.col("r")).alias("b")).collect()
+    assert [r.b for r in rows] == [None, ">=0.90", "<0.05"]

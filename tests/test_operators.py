@@ -13,7 +13,7 @@ from scorelake.operators import (
     summaries, translation,
 )
 from scorelake.operators.labels import label_rows
-from scorelake.session import durable, shared_dir, spread
+from scorelake.session import durable, release, shared_dir
 
 
 def skewed(spark, n=3000):
@@ -256,13 +256,13 @@ def test_k_center_against_one_pass_per_round(spark, candidates):
     assert subset.subset_size(300, 0.055) == 16
 
 
-@pytest.mark.parametrize("wide", [1, 256])
-def test_mean_vectors(spark, monkeypatch, wide):
-    monkeypatch.setattr(subset, "WIDE", wide)
+def test_mean_vectors(spark):
     rows = [("a", [1.0, 2.0, 3.0]), ("a", [3.0, 2.0, 1.0]), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v array<double>")
     got = {r["g"]: r["mean_vector"] for r in subset.mean_vector(df, "v", ["g"], 3).collect()}
     assert got == {"a": [2.0, 2.0, 2.0], "b": [0.0, 0.0, 0.0]}
+    with pytest.raises(Exception, match="not of length 4"):
+        subset.mean_vector(df, "v", ["g"], 4).collect()
     joint = df.select(subset.joint_embedding(F.col("v"), F.array(F.lit(9.0)), 3).alias("j")).collect()
     assert joint[0]["j"] == [1.0, 2.0, 3.0, 9.0] and joint[2]["j"] == [0.0, 0.0, 0.0, 9.0]
 
@@ -326,14 +326,93 @@ def test_unions_and_columns(spark):
     assert named["dataset_name"] == "FeTA24"
 
 
-def test_task_hash_of_a_small_task_is_flat(spark):
+def test_task_hash_has_one_rule_for_all_sizes(spark):
     import hashlib
 
-    df = spark.range(10).select("id", F.lit("t").alias("task"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    joined = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(10))
-    got = results.task_hashes(df, ["task"], "id", F.col("h")).first()["task_hash"]
-    assert got == hashlib.sha256(joined.encode()).hexdigest()
-    assert results.task_hashes(df, ["task"], "id", F.col("h"), fan=3).count() == 1
+    def plain(n, task):
+        digests = [hashlib.sha256(f"{i}:{hashlib.sha256(f'{task}{i}'.encode()).hexdigest()}".encode()).hexdigest() for i in range(n)]
+        sums = [sum(int(d[15 * k:15 * k + 15], 16) for d in digests) for k in range(4)]
+        return hashlib.sha256(":".join(map(str, [n, *sums])).encode()).hexdigest()
+
+    sizes = {"a": 10, "b": 1024, "c": 1025, "d": 3000}
+    rows = [(t, i) for t, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "task string, id long").withColumn("h", F.sha2(F.concat("task", F.col("id").cast("string")), 256))
+    got = {r.task: r.task_hash for r in results.task_hashes(df.repartition(7), ["task"], "id", F.col("h")).collect()}
+    assert got == {t: plain(n, t) for t, n in sizes.items()}
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(i, None if i % 3 == 0 else ("x" if i % 3 == 1 else "y"), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    numbered = {(r.g, r.row_index): r.id for r in ranking.with_row_index(df, [F.col("id")], ["g"]).collect()}
+    assert numbered == {(g, k): i for g in (None, "x", "y") for k, i in enumerate(i for i, h, _ in rows if h == g)}
+    taken = ranking.sample_rows(df, 2, "id", by=["g"]).groupBy("g").count().collect()
+    assert {(r["g"], r["count"]) for r in taken} == {(None, 2), ("x", 2), ("y", 2)}
+    middle = {r.g: r["median"] for r in stats.middle_in_order(df, "v", ["id"], ["g"]).collect()}
+    assert middle == {g: [v for _, h, v in rows if h == g][10] for g in (None, "x", "y")}
+    errors = stats.bootstrap_stderr(df, {"t": F.col("v")}, F.col("t") / F.col("resampled"), "id", 50, ["g"]).collect()
+    assert {r.g for r in errors} == {None, "x", "y"} and all(r.stderr > 0 for r in errors)
+    cells = stats.bootstrap_cells(df, {"t": F.col("v")}, F.col("t") / F.col("resampled"), 3000, ["g"]).collect()
+    assert {r.g for r in cells} == {None, "x", "y"}
+    for r in cells:
+        own = [v for _, g, v in rows if g == r.g]
+        mean = sum(own) / len(own)
+        assert r.stderr == pytest.approx((sum((v - mean) ** 2 for v in own) / len(own) ** 2) ** 0.5, rel=0.08)
+
+
+def test_cut_offs_and_plans(spark):
+    df = spark.range(5000).withColumn("g", F.when(F.col("id") % 10 > 0, F.col("id") % 2))
+    marked = ranking.marked_below(df, {"a": 7, "b": 400, "c": 10_000, "d": 0}, "id", by=["g"])
+    counts = {r.g: (r.a, r.b, r.c, r.d) for r in marked.groupBy("g").agg(*[F.count_if(c).alias(c) for c in "abcd"]).collect()}
+    sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    assert counts == {g: (7, 400, n, 0) if n >= 400 else (7, n, n, 0) for g, n in sizes.items()}
+    assert marked.filter("a and not b").count() == 0
+
+
+def test_numbering_shuffles_rows_once(spark):
+    df = spark.range(2000).withColumn("g", F.col("id") % 3)
+    plan = ranking.with_row_index(df, [F.col("id")], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 0 and plan.count("FileScan") >= 2 and "Window" in plan
+
+
+def test_cache_answers_each_request_once(spark):
+    requests = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "a", True), (4, None, False)], "id int, request_hash string, s boolean")
+    cache = spark.createDataFrame([("a", "r"), ("a", "r"), ("c", "q"), (None, "n")], "request_hash string, response string")
+    hits, to_run = assembly.answered_from_cache(requests, cache, sampled=F.col("s"))
+    assert [(r.id, r.response) for r in hits.collect()] == [(1, "r")] and sorted(r.id for r in to_run.collect()) == [2, 3, 4]
+
+
+def test_merged_labels_fold_in_order(spark):
+    rows = [("l", 1, 10, 1.0), ("l", 2, 30, None), ("l", 3, 20, 4.0), ("m", 1, 5, None), ("m", 2, 5, float("nan"))]
+    df = spark.createDataFrame(rows, "label string, k int, num_samples long, v double")
+    got = {r.label: (r.v, r.num_samples) for r in summaries.merge_labels(df, ["label"], ["v"], "k").collect()}
+    assert got["m"] == (None, 10) and got["l"][0] == pytest.approx((1.0 * 40 + 4.0 * 20) / 60) and got["l"][1] == 60
+
+
+def test_groups_report_the_metrics_they_list(spark):
+    leaves = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a")], "group string, task string")
+    res = spark.createDataFrame([("a", "acc", 1.0, 0.1, 10), ("b", "acc", 0.0, 0.2, 30), ("a", "f1", 0.5, 0.1, 10), ("b", "f1", 0.7, 0.1, 30), ("a", "other", 0.0, 0.1, 10)],
+                                "task string, metric string, value double, stderr double, samples long")
+    wanted = spark.createDataFrame([("g", "acc", True), ("g", "f1", False)], "group string, metric string, weight_by_size boolean")
+    got = {(r.group, r.metric): r.value for r in stats.group_scores(leaves, res, wanted=wanted).collect()}
+    assert got == {("g", "acc"): pytest.approx(0.25), ("g", "f1"): pytest.approx(0.6)}
+
+
+def test_task_tree_of_any_depth(spark):
+    edges = [(f"g{i}", f"g{i + 1}") for i in range(20)] + [("g20", "t")]
+    found = stats.leaf_tasks(spark.createDataFrame(edges, "parent string, child string")).collect()
+    assert {(r.group, r.task) for r in found} == {(f"g{i}", "t") for i in range(21)}
+    with pytest.raises(ValueError, match="holds itself"):
+        stats.leaf_tasks(spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"))
+
+
+def test_task_functions_by_name(spark):
+    registry.register_task_function("double_it", "score", lambda x: x * 2)
+    df = spark.createDataFrame([("double_it", 2.0), ("plain", 3.0)], "task string, v double")
+    got = df.select("task", registry.by_task("score", F.col("task"), F.col("v"), default=lambda x: x).alias("s")).collect()
+    assert {r.task: r.s for r in got} == {"double_it": 4.0, "plain": 3.0}
+    with pytest.raises(ValueError):
+        registry.register_task_function("double_it", "score", lambda x: x)
 
 
 def test_comparison(spark):
@@ -356,5 +435,5 @@ def test_empty_lines_are_no_records(spark):
 def test_storage_helpers(spark):
     assert shared_dir(spark)
     df = durable(spark.range(5))
-    assert df.count() == 5 and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
-    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert df.count() == 5 and "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+    release(df)
