@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than space and the controls 9 to 13. These separators are single bytes that
 never occur inside another character of UTF-8, so words are found without decoding. Texts are worked on in
-slices of about a megabyte (one text at least), which bounds the memory of a task by the longest text.
+slices of a quarter of a megabyte (one text at least), which bounds the memory of a task by the longest text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)

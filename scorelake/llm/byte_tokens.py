@@ -85,20 +85,19 @@ class ByteTokenizer:
     def text(self, ids: list[int]) -> bytes:
         return b"".join(map(self.fast.decode_single_token_bytes, ids))
 
-    def _ordinary(self, text: str, long_pieces: bool) -> list[int]:
+    def _ordinary(self, text: str, long_pieces: bool) -> np.ndarray:
         if not long_pieces:
-            return self.fast.encode_ordinary(text)
-        return [t for m in self.pieces.finditer(text) for t in self.piece(m.group().encode())]
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array([t for m in self.pieces.finditer(text) for t in self.piece(m.group().encode())], np.uint32)
 
-    def encode(self, text: str, long_pieces: bool) -> list[int]:
+    def encode(self, text: str, long_pieces: bool) -> np.ndarray:
         if self.breaks is None or not any(s in text for s in self.special):
             return self._ordinary(text, long_pieces)
-        out: list[int] = []
-        at = 0
+        out, at = [], 0
         for m in self.breaks.finditer(text):
-            out += [*self._ordinary(text[at:m.start()], long_pieces), self.special[m.group()]]
+            out += [self._ordinary(text[at:m.start()], long_pieces), np.array([self.special[m.group()]], np.uint32)]
             at = m.end()
-        return out + self._ordinary(text[at:], long_pieces)
+        return np.concatenate([*out, self._ordinary(text[at:], long_pieces)])
 
     def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
         """Bytes of each run of ids."""
@@ -138,7 +137,7 @@ def _encoded(path: str, pattern: str, keys: int, place: int):
                 ids = [tokenizer.encode(raw[a:b].decode("utf-8", "replace"), long)
                        for a, b, long in zip(offsets[:-1].tolist(), offsets[1:].tolist(), long_pieces.tolist())]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((t for x in ids for t in x), np.int32, int(ends[-1]))
+                flat = np.concatenate(ids).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*[c[low:high] for c in batch.columns[:keys]], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     [*batch.schema.names[:keys], "ids"])

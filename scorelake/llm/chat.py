@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import arrays as A
+from scorelake.llm.storage import small_batches
 
 BEGIN, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 TRAINED_ROLE = "assistant"
@@ -105,6 +106,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     rows of a null conv_id form one conversation. A conversation's blocks, in order of ``block``, are its
     text; mostly there is one. ``loss`` has the bytes of every assistant text in its block, escapes included.
     """
+    small_batches(turns)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]

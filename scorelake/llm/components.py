@@ -29,15 +29,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links, "links")
+    links = stored(links, "links", narrow=True)
     state = _state(links)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        hung = stored(large.where("a <> b"), "large-star")
+        hung = stored(large.where("a <> b"), "large-star", narrow=True)
         small = _with_least(hung.where("a > b"))
         small = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = stored(small, "small-star")
+        after = stored(small, "small-star", narrow=True)
         now = _state(after)
         removed(links, hung)
         links = after

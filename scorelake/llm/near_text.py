@@ -34,7 +34,7 @@ BUCKET_BITS = 4
 ROUNDS = REGISTERS >> BUCKET_BITS
 EMPTY = 0xFFFF
 #: A block of a bucket holds about so many texts, or fewer whose sets are large.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 16
+CELL_ROWS, CELL_SHINGLES = 256, 1 << 16
 
 SIGNATURES = "row long, doc_id long, k1 long, k2 long, n_shingles long, small binary, large binary"
 
@@ -138,44 +138,82 @@ def _likely(limit: float):
     return run
 
 
-def _bands(regs: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(regs).view("<u8")
-
+def _whole_cells(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows cut anew, so that rows of one cell are never parted."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        cell = [batch.column(c).to_numpy() for c in ("key", "side", "other")]
+        last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cell]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _likely_pairs(batch: pa.RecordBatch, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i and j of a cell that belong to unlike components and whose estimate can reach the limit.
+
+    A pair is looked at in the first band it shares only, and in one cell of that bucket only.
+    """
+    col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "other", "spot", "root", "n", "band")}
+    regs = _matrix(batch.column("regs").to_pylist())
+    bands = np.ascontiguousarray(regs).view("<u8")
+    new = np.ones(len(batch), bool)
+    new[1:] = np.logical_or.reduce([col[c][1:] != col[c][:-1] for c in ("key", "side", "other")])
+    cell = np.cumsum(new)
+    own = col["side"] == -1 - col["other"]  # a block of the rest against itself
+    first, second = [], []
+    for d in range(1, len(batch)):
+        i = np.flatnonzero(cell[d:] == cell[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = (col["root"][i] != col["root"][j]) & (own[i] | (col["spot"][i] != col["spot"][j]))
+        ok &= np.minimum(col["n"][i], col["n"][j]) >= limit * np.maximum(col["n"][i], col["n"][j]) - 1e-9
+        i, j = i[ok], j[ok]
+        if len(i):
+            ok = (bands[i] == bands[j]).argmax(axis=1) == col["band"][i]
+            i, j = i[ok], j[ok]
+            ok = estimated(regs[i], regs[j], col["n"][i], col["n"][j]) >= margin(limit)
+            first.append(i[ok]), second.append(j[ok])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+
+
+def _open_members(limit: float):
+    """(key, row) of cell members that have a likely partner of another component there."""
+    def run(batches):
+        for batch in _whole_cells(batches):
+            at = np.unique(np.concatenate(_likely_pairs(batch, limit)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("key", "row")], ["key", "row"])
+    return run
 
-def _linked_in_blocks(limit: float):
-    """Links between two blocks of one bucket that join unlike components, no more than join them.
 
-    A pair is looked at in the first band it shares only.
-    """
+def _linked_in_cells(limit: float):
+    """Links inside cells that join unlike components, no more than join them."""
     def run(batches):
-        for batch in batches:
+        for batch in _whole_cells(batches):
+            rows, roots = batch.column("row").to_numpy(), batch.column("root").to_numpy()
+            sets = batch.column("shingles")
+            joined: dict[int, int] = {}
+
+            def root(r):
+                while r in joined:
+                    r = joined[r]
+                return r
+
             found = []
-            for x, y, band in zip(*(c.to_pylist() for c in batch.columns)):
-                sides = []
-                for side in (x, y):
-                    regs = _matrix([m["regs"] for m in side])
-                    sides.append(([m["row"] for m in side], np.array([m["root"] for m in side]),
-                                  np.array([m["n"] for m in side], float), regs, _bands(regs),
-                                  [np.frombuffer(m["shingles"], "<u8") for m in side]))
-                (rows_x, roots_x, n_x, regs_x, bands_x, sets_x), (rows_y, roots_y, n_y, regs_y, bands_y, sets_y) = sides
-                joined: dict[int, int] = {}
-
-                def root(r):
-                    while r in joined:
-                        r = joined[r]
-                    return r
-
-                for i in range(len(rows_x)):
-                    at = np.flatnonzero((roots_y != roots_x[i]) & (np.minimum(n_y, n_x[i]) >= limit * np.maximum(n_y, n_x[i]) - 1e-9))
-                    if not len(at):
-                        continue
-                    at = at[(bands_y[at] == bands_x[i]).argmax(axis=1) == band]
-                    at = at[estimated(regs_x[i][None, :], regs_y[at], n_x[i], n_y[at]) >= margin(limit)]
-                    for j in at.tolist():
-                        r, s = root(int(roots_x[i])), root(int(roots_y[j]))
-                        if r != s and similar(sets_x[i], sets_y[j], limit):
-                            joined[max(r, s)] = min(r, s)
-                            found.append((rows_x[i], rows_y[j]))
+            for i, j in zip(*_likely_pairs(batch, limit)):
+                r, s = root(int(roots[i])), root(int(roots[j]))
+                if r != s and similar(*(np.frombuffer(sets[int(k)].as_buffer(), "<u8") for k in (i, j)), limit):
+                    joined[max(r, s)] = min(r, s)
+                    found.append((rows[i], rows[j]))
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
@@ -200,19 +238,19 @@ def _texts(batch, _):
 
 
 def _confirmed(size: int, limit: float):
+    """Pairs whose full sets are alike enough."""
     def run(batches):
-        for batch in batches:
-            sets = []
-            for side in ("text_a", "text_b"):
-                own = []
-                for _, _, data, offsets in A.slices(batch.column(side)):
-                    own += shingle_sets(A.Words(data, offsets), size)
-                sets.append(own)
-            keep = []
-            for s, t in zip(*sets):
-                keep.append(similar(s, t, limit))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
+        for whole in batches:
+            for at in range(0, len(whole), CELL_ROWS):
+                batch = whole.slice(at, CELL_ROWS)
+                sets = []
+                for side in ("text_a", "text_b"):
+                    own = []
+                    for _, _, data, offsets in A.slices(batch.column(side)):
+                        own += shingle_sets(A.Words(data, offsets), size)
+                    sets.append(own)
+                keep = pa.array([similar(s, t, limit) for s, t in zip(*sets)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
     return run
 
 
@@ -226,6 +264,27 @@ def _band_keys(heads: DataFrame) -> DataFrame:
     return keys("small", 0).union(keys("large", BANDS))
 
 
+def _in_cells(entries: DataFrame, weight) -> DataFrame:
+    """Bucket members (key, row, in_main and more) dealt over cells (key, side, other) of bounded weight.
+
+    A bucket's largest component fills the blocks 0, 1, ... and the rest of it the blocks -1, -2, ...; a cell holds a
+    block of the rest and one other block of either kind, so members of the largest component never meet.
+    """
+    mine = F.sum(F.when(F.col("in_main"), weight)), F.sum(F.when(~F.col("in_main"), weight))
+    counts = entries.groupBy("key").agg(*[F.coalesce(F.ceil(m), F.lit(0)).cast("int").alias(c) for m, c in zip(mine, ("main_spots", "rest_spots"))])
+    spot = F.pmod(F.xxhash64("row"), F.when(F.col("in_main"), F.col("main_spots")).otherwise(F.col("rest_spots"))).cast("int")
+    dealt = entries.join(counts.where("rest_spots > 0"), "key").withColumn("place", spot)
+    rest = F.sequence(F.lit(0), F.col("rest_spots") - 1)
+    with_main = F.when(F.col("main_spots") > 0, F.sequence(F.lit(0), F.col("main_spots") - 1)).otherwise(F.array().cast("array<int>"))
+    cells = F.when(F.col("in_main"), F.transform(rest, lambda t: F.struct(t.alias("side"), F.col("place").alias("other")))).otherwise(
+        F.concat(F.transform(with_main, lambda m: F.struct(F.col("place").alias("side"), m.alias("other"))),
+                 F.transform(rest, lambda t: F.struct(F.least("place", t).alias("side"), (-1 - F.greatest("place", t)).alias("other")))))
+    out = dealt.select(*[c for c in entries.columns if c != "in_main"], F.explode(cells).alias("cell"),
+                       F.when(F.col("in_main"), F.col("place")).otherwise(-1 - F.col("place")).alias("spot"))
+    out = out.select("cell.side", "cell.other", *[c for c in out.columns if c != "cell"])
+    return out.repartition("key", "side", "other").sortWithinPartitions("key", "side", "other")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     limit: float = 0.8) -> DataFrame:
     """Row, doc_id, n_shingles, component_id, kept for every row of ``docs``.
@@ -243,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates come from bands in two steps that never pair up a whole bucket. First each member is compared
     with the member of its bucket that shares most bands with others, the likeliest centre of a group. What that
     leaves apart is settled in buckets that still hold unlike components: there blocks of members meet, those of
-    the bucket's largest component never each other, and only links that join components come out.
+    the bucket's largest component never each other: first by registers, which leaves the members with a likely partner,
+    then these by their full sets, and only links that join components come out.
     """
     docs = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -252,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketches.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("row").alias("class"))
     placed = full.select("row", "doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).drop("k1", "k2")
-    placed = stored(placed.union(sketches.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row"))), "classes")
+    placed = stored(placed.union(sketches.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row"))), "classes", narrow=True)
     # Of each class only the first text is compared.
     heads = sketches.join(placed.where("row = class and n_shingles > 0").select("row"), "row", "left_semi")
     heads = stored(heads.select("row", "n_shingles", "small", "large"), "heads")
@@ -269,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed(heads)
     sides = {s: near.select(F.col("row").alias(s), F.col("n_shingles").alias(f"n_{s}"),
                             F.col("small").alias(f"small_{s}"), F.col("large").alias(f"large_{s}")) for s in "ab"}
-    pairs = stored(first.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(_likely(limit), "a long, b long"), "pairs")
+    pairs = stored(first.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(_likely(limit), "a long, b long"), "pairs", narrow=True)
     asked = Beside(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
     used = stored(asked.mapped(texts, _texts, "row long, text string"), "pair-texts")
     both = pairs.join(used.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
@@ -283,25 +343,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = per_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1")
     open_rows = stored(rooted.join(mixed, "key").select("key", "band", "row", "root", (F.col("root") == F.col("main")).alias("in_main")), "open-rows")
     removed(members)
-    asked = Beside(open_rows.select("row").distinct(), "asked")
-    sets = stored(asked.mapped(texts, _sets(size), "row long, shingles binary"), "sets")
-    detail = open_rows.join(near, "row").join(sets, "row")
-    spots = open_rows.join(near.select("row", "n_shingles"), "row").groupBy("key", "in_main").agg(
-        F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).alias("spots"))
     regs = F.when(F.col("band") < BANDS, F.col("small")).otherwise(F.col("large")).alias("regs")
-    member = F.struct("row", "root", F.col("n_shingles").alias("n"), regs, "shingles")
-    spot = F.when(F.col("in_main"), F.pmod(F.xxhash64("row"), F.col("spots"))).otherwise(-1 - F.pmod(F.xxhash64("row"), F.col("spots")))
-    blocks = detail.join(spots, ["key", "in_main"]).select("key", "band", "in_main", spot.alias("spot"), member.alias("m"))
-    blocks = stored(blocks.groupBy("key", "band", "in_main", "spot").agg(F.collect_list("m").alias("x")), "blocks")
-    other = blocks.select("key", F.col("in_main").alias("in_main_y"), F.col("spot").alias("spot_y"), F.col("x").alias("y"))
-    met = blocks.join(other, "key").where("spot <= spot_y and not (in_main and in_main_y)")
-    met = met.select("x", "y", F.pmod("band", F.lit(BANDS)).alias("band"))
-    more = stored(met.mapInArrow(_linked_in_blocks(limit), "a long, b long"), "more-links")
+    detail = open_rows.join(near, "row").select("key", F.pmod("band", F.lit(BANDS)).alias("band"), "row", "root", "in_main",
+                                                F.col("n_shingles").cast("double").alias("n"), regs)
+    flagged = _in_cells(detail, F.lit(1 / CELL_ROWS)).mapInArrow(_open_members(limit), "key long, row long").distinct()
+    flagged = stored(flagged, "open-members", narrow=True)
+    # Only what has a likely partner left is compared by its full set.
+    asked = Beside(flagged.select("row").distinct(), "asked")
+    sets = stored(asked.mapped(texts, _sets(size), "row long, shingles binary"), "sets")
+    full_detail = detail.join(flagged, ["key", "row"], "left_semi").join(sets, "row")
+    cells = _in_cells(full_detail, F.greatest(F.col("n") / CELL_SHINGLES, F.lit(1 / CELL_ROWS)))
+    more = stored(cells.mapInArrow(_linked_in_cells(limit), "a long, b long"), "more-links")
     roots_all = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    removed(open_rows, sets, blocks, near, links, more)
+    removed(open_rows, flagged, sets, near, links, more)
 
     joined = placed.join(roots_all, placed["class"] == roots_all.node, "left")
-    joined = stored(joined.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root")), "members")
+    joined = stored(joined.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root")), "members", narrow=True)
     removed(placed)
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     heads_of = joined.groupBy("root").agg(head)

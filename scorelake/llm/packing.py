@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.storage import small_batches
 from scorelake.llm.word_tokens import token_slices
 
 CAPACITY = 2048
@@ -143,5 +144,6 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_packed(tokenizer_path, capacity), SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm import arrays as A
 from scorelake.llm import text_measures as M
-from scorelake.llm.storage import removed, stored, with_text
+from scorelake.llm.storage import removed, small_batches, stored, with_text
 
 COMMON = 200
 #: A language of fewer words gives no reference.
@@ -26,7 +26,7 @@ MIN_REFERENCE_WORDS = 2000
 #: Language codes beyond this number stop the job: the references travel with every task.
 MAX_LANGUAGES = 500
 #: Words held by a task before it hands on their counts.
-HELD_WORDS = 4_000_000
+HELD_WORDS = 1_500_000
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -58,7 +58,7 @@ def _word_counts(batches):
             key = np.sort(np.concatenate(parts))
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             n = np.diff(np.append(at, len(key)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(key[at]), pa.array(n)],
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(at)), pa.array(key[at]), pa.array(n)],
                                              ["lang", "key", "n"])
         held.clear()
 
@@ -93,6 +93,7 @@ def _class_shares(batches):
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
     """The references of every language of the corpus; rows of a null language or text give nothing."""
+    small_batches(docs)
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where("lang is not null and text is not null")
     counts = texts.mapInArrow(_word_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))

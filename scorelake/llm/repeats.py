@@ -156,7 +156,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = found.groupBy("row", "passage").agg(
         F.min("low").alias("start_word"), (F.max("high") - F.min("low") + length).alias("n_words"),
         F.first("first_row").alias("first_row"), F.min("first_low").alias("first_word"))
-    found = stored(found, "passages")
+    found = stored(found, "passages", narrow=True)
     removed(shared, spans, edges, windows)
     ids = rows.select("row", "doc_id")
     out = found.join(ids, "row").join(ids.select(F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc_id")), "first_row")

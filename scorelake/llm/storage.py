@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 from scorelake.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps start from it, whatever executor is lost."""
+#: Rows of an Arrow batch. Texts are long: a batch of Spark's default ten thousand takes tens of megabytes, several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Have the session send tables to Python in batches of at most ``BATCH_ROWS``, now and when results are read."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps start from it, whatever executor is lost.
+
+    ``narrow`` tables hold a few numbers a row; they are written by one task for each core, not one for each
+    partition of a shuffle meant for texts, which would leave many tiny files.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -43,6 +58,7 @@ def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string")
 
     A text among the keys is not sent twice.
     """
+    small_batches(df)
     chosen = df.select(*[F.col(f"`{k}`") for k in keys])
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields)
     if kind == "string" and column in keys and dict(chosen.dtypes)[column] == "string":
@@ -54,5 +70,6 @@ def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string")
 def settled(df: DataFrame) -> DataFrame:
     """A table whose rows are numbered alike each time it is read: itself where it is read without a shuffle, else
     a stored copy. The order of shuffled rows may change from one reading to the next."""
+    small_batches(df)
     plan = df._jdf.queryExecution().executedPlan().toString()
     return stored(df, "settled") if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df

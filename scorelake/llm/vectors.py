@@ -222,7 +222,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for first in range(number, number + total, PASSES_AT_ONCE):
         turn = list(range(first, min(first + PASSES_AT_ONCE, number + total)))
         pairs = _sorted(heads.drop("size"), turn).mapInArrow(_windows(angle), "a long, b long").distinct()
-        pairs = stored(pairs, "window-pairs")
+        pairs = stored(pairs, "window-pairs", narrow=True)
         found = pairs if found is None else found.union(pairs)
     sides = {s: heads.select(F.col("row").alias(s), F.col("unit").alias(f"unit_{s}"), F.col("mark").alias(f"mark_{s}"),
                              F.col("size").alias(f"size_{s}"), F.col("dim").alias(f"dim_{s}")) for s in "ab"}
@@ -235,14 +235,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     pairs = stored(pairs.select(
         "a", "b", "size_a", "size_b", F.col("dim_a").alias("dim"),
         F.when(alone, F.when(F.col("cosine") >= limit, "all").otherwise("none"))
-        .when(apart + reach + 1e-8 <= angle, "all").when(apart - reach - 1e-8 > angle, "none").otherwise("some").alias("links")), "pairs")
+        .when(apart + reach + 1e-8 <= angle, "all").when(apart - reach - 1e-8 > angle, "none").otherwise("some").alias("links")), "pairs", narrow=True)
 
     every = pairs.where("links = 'all'")
     by_head = every.select(F.col("a").alias("head"), F.col("size_b").alias("n")).union(every.select("b", "size_a"))
     by_head = by_head.groupBy("head").agg(F.sum("n").alias("near"))
     members = usable.select("row", "unit").join(joins.select("row", "head"), "row", "left").select(
         "row", F.coalesce("head", "row").alias("head"), "unit")
-    some = stored(pairs.where("links = 'some'").select("a", "b", "dim"), "open-pairs")
+    some = stored(pairs.where("links = 'some'").select("a", "b", "dim"), "open-pairs", narrow=True)
     asked = some.select(F.explode(F.array("a", "b")).alias("head")).distinct()
     sized = members.join(asked, "head").join(balls.select(F.col("row").alias("head"), "size"), "head", "left")
     spot = F.pmod(F.xxhash64("row"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).alias("spot")
@@ -258,7 +258,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = placed.join(sizes, "head", "left").join(by_head, "head", "left").join(by_row, "row", "left").join(
         roots.withColumnRenamed("node", "head"), "head", "left")
     n = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("some", F.lit(0))
-    placed = stored(placed.select("row", "vec_id", n.cast("long").alias("n_links"), F.coalesce("root", "head").alias("root")), "placed")
+    placed = stored(placed.select("row", "vec_id", n.cast("long").alias("n_links"), F.coalesce("root", "head").alias("root")), "placed", narrow=True)
     removed(units, some, blocks, met, pairs, heads, *joined_parts)
     head = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "row")).alias("first")
     firsts = placed.groupBy("root").agg(head)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.sharding import range_of, splitters_of
-from scorelake.llm.storage import stored
+from scorelake.llm.storage import small_batches, stored
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 16 << 20
@@ -144,6 +144,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, least: int
     all executors reach.
     """
     spark = pages.sparkSession
+    small_batches(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))

@@ -23,8 +23,8 @@ from scorelake.llm import arrays as A
 #: Bytes from which on a word is left to ``tokenizers``.
 LONG = 400
 END = "\x00"
-#: Bytes of text whose distinct words are tokenized together.
-SLICE = 4 << 20
+#: Bytes of text whose distinct words are tokenized together, which bounds the memory of a task.
+SLICE = 2 << 20
 
 # Fixed value: the pattern of the tokenizer's pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
