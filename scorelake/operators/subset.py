@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.session import durable
+from scorelake.session import durable, release, scratch_path
 
 CANDIDATES = 512
 
@@ -43,58 +43,74 @@ def k_center(df: DataFrame, k: float, key: str, vector: str, candidates: int = C
     Each pass over the data brings distances up to date and returns the few farthest rows. Distances
     only ever shrink, so stale ones bound the rows left behind from above: as long as the best of the
     returned rows beats that bound it is the true next choice, and many rounds need no pass at all.
-    The result equals one pass per round.
+    The result equals one pass per round. The driver holds one batch of candidates; what is chosen is appended to a
+    stored table after every pass, so k may be a share of the table, and the last pass's table is deleted.
     """
     spark = df.sparkSession
     total = df.count()
     size = subset_size(total, k)
     if size > total:
         raise ValueError(f"cannot choose {size} of {total} rows")
+    schema, path = f"place int, {key} bigint, radius double", scratch_path(spark, "k-center")
+    spark.createDataFrame([], schema).write.parquet(path)
     rows = durable(
         df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector))
         .withColumn("distance", F.lit(float("inf")))
     )
-    chosen: list[tuple[int, int, float | None]] = []
+    done = 0
     if size:
         start = rows.orderBy(key).limit(1).first()
-        chosen.append((0, start[key], None))
+        spark.createDataFrame([(0, start[key], None)], schema).write.mode("append").parquet(path)
         fresh = [np.asarray(start[vector], dtype="float64")]
-    passes = 0
-    while len(chosen) < size:
-        rows = _lower_distances(rows, key, vector, np.stack(fresh))
-        passes += 1
+        done = 1
+    while done < size:
+        before = rows
         # Farther rounds would each redo every earlier pass, and a lost executor all of them.
-        rows = durable(rows)
+        rows = durable(_lower_distances(rows, key, vector, np.stack(fresh)))
+        release(before)
         head = rows.orderBy(F.desc("distance"), key).limit(candidates + 1).collect()
         bound = head[candidates]["distance"] if len(head) > candidates else -1.0
         head = head[:candidates]
         points = np.stack([np.asarray(r[vector], dtype="float64") for r in head])
         nearest = np.array([r["distance"] for r in head])
         keys = np.array([r[key] for r in head])
-        fresh = []
-        while len(chosen) < size:
+        chosen, fresh = [], []
+        while done < size:
             far = nearest.max()
             # The first choice after a pass is exact; later ones must beat every row left behind.
             if fresh and far <= bound:
                 break
             at = min(np.flatnonzero(nearest == far), key=lambda i: keys[i])
-            chosen.append((len(chosen), int(keys[at]), float(far)))
+            chosen.append((done, int(keys[at]), float(far)))
+            done += 1
             fresh.append(points[at])
             gap = points - points[at]
             nearest = np.minimum(nearest, np.sqrt((gap * gap).sum(axis=1)))
-    return spark.createDataFrame(chosen, f"place int, {key} bigint, radius double")
+        spark.createDataFrame(chosen, schema).write.mode("append").parquet(path)
+    release(rows)
+    return spark.read.schema(schema).parquet(path)
 
 
-def covering_radius(df: DataFrame, chosen: DataFrame, key: str, vector: str) -> DataFrame:
-    """Greatest distance of any row from its nearest chosen row. ``chosen`` is the size the caller asked for."""
-    centers = [
-        np.asarray(r[vector], dtype="float64")
-        for r in df.join(chosen.select(key), key, "left_semi").select(vector).collect()
-    ]
+def covering_radius(df: DataFrame, chosen: DataFrame, key: str, vector: str, batch: int = CANDIDATES) -> DataFrame:
+    """Greatest distance of any row from its nearest chosen row; the driver holds ``batch`` of them at a time."""
+    centers = durable(df.join(chosen.select(key), key, "left_semi").select(F.col(vector).cast("array<double>").alias(vector)))
     rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias(vector)).withColumn(
         "distance", F.lit(float("inf"))
     )
-    return _lower_distances(rows, key, vector, np.stack(centers)).agg(F.max("distance").alias("radius"))
+    held: list[np.ndarray] = []
+    lowered = None
+    for center in centers.toLocalIterator():
+        held.append(np.asarray(center[vector], dtype="float64"))
+        if len(held) == batch:
+            before = lowered
+            lowered = durable(_lower_distances(rows if lowered is None else lowered, key, vector, np.stack(held)))
+            held = []
+            if before is not None:
+                release(before)
+    rows = rows if lowered is None else lowered
+    if held:
+        rows = _lower_distances(rows, key, vector, np.stack(held))
+    return rows.agg(F.max("distance").alias("radius"))
 
 
 def mean_vector(df: DataFrame, vector: str, by: list[str], width: int) -> DataFrame:
