@@ -51,19 +51,20 @@ def _number(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(LOWEST))
 
 
-def _quantiles(sample: list, n: int) -> set[tuple[int, int]]:
+def _quantiles(key: np.ndarray, tie: np.ndarray, weight: np.ndarray, n: int) -> set[tuple[int, int]]:
     """Splitters that cut a weighted sample into ``n`` parts."""
-    if not sample or n < 2:
+    if not len(key) or n < 2:
         return set()
-    sample = sorted(sample)
-    weight = np.cumsum([w for _, _, w in sample])
-    at = np.searchsorted(weight, weight[-1] * np.arange(1, n) / n)
-    return {sample[i][:2] for i in at}
+    order = np.lexsort((tie, key))
+    total = np.cumsum(weight[order])
+    at = order[np.searchsorted(total, total[-1] * np.arange(1, n) / n)]
+    return set(zip(key[at].tolist(), tie[at].tolist()))
 
 
 def splitters_of(rows: DataFrame, key: str, tie: str, size: str, least: int = MIN_RANGES) -> tuple[Splitters, int]:
-    """Splitters of a table of (key, tie, size) into ``least`` ranges or more, and its bytes. ``rows`` is read once per round: give a stored
-    table. Sizes are at least 1; a null one counts as 1. Both the sample and the counts brought to the driver are
+    """Splitters of a table of (key, tie, size) into ``least`` ranges or more, and its bytes.
+
+    ``rows`` is read once per round: give a stored table. Sizes are at least 1; a null one counts as 1. Both the sample and the counts brought to the driver are
     bounded by ``MAX_RANGES``, whatever the table."""
     rows = rows.select(_number(F.col(key)).alias("key"), _number(F.col(tie)).alias("tie"),
                        F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(1)), F.lit(1)).alias("size"))
@@ -76,10 +77,11 @@ def splitters_of(rows: DataFrame, key: str, tie: str, size: str, least: int = MI
     draw = F.pmod(F.xxhash64("key", "tie", F.lit(5)), F.lit(1 << 32)) / float(1 << 32)
     weight = F.greatest(F.col("size"), F.lit(step)).alias("weight")
 
-    def drawn(table: DataFrame, density: float) -> DataFrame:
-        return table.where(draw < F.col("size") * density / step)
+    def drawn(table: DataFrame, density: float, *more: str) -> tuple[np.ndarray, ...]:
+        sample = table.where(draw < F.col("size") * density / step).select("key", "tie", weight, *more).toArrow()
+        return tuple(sample.column(c).to_numpy() for c in sample.column_names)
 
-    found = _quantiles([tuple(r) for r in drawn(rows, 1.0).select("key", "tie", weight).collect()], ranges)
+    found = _quantiles(*drawn(rows, 1.0), ranges)
     density = 1.0
     for _ in range(ROUNDS):
         splitters = _arrays(found)
@@ -90,13 +92,11 @@ def splitters_of(rows: DataFrame, key: str, tie: str, size: str, least: int = MI
         if not over:
             break
         density *= SAMPLES_OF_RANGE
-        inside = drawn(placed.where(F.col("range").isin([r.range for r in over])), density)
-        parts: dict[int, list] = {}
-        for r in inside.select("range", "key", "tie", weight).collect():
-            parts.setdefault(r.range, []).append((r.key, r.tie, r.weight))
+        keys, ties, weights, place = drawn(placed.where(F.col("range").isin([r.range for r in over])), density, "range")
         before = len(found)
         for r in over:
-            found |= _quantiles(parts.get(r.range, []), int(np.ceil(r.bytes / share)))
+            own = place == r.range
+            found |= _quantiles(keys[own], ties[own], weights[own], int(np.ceil(r.bytes / share)))
         if len(found) == before:
             break
     return _arrays(found), total
