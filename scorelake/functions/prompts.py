@@ -99,6 +99,7 @@ def unit_from_list(units: Column) -> Column:
     )
 
 
+# The wording inside the functions from here to the angle task.
 def spacing_text(spacing: Column, unit: Column | None) -> Column:
     suffix = F.lit("") if unit is None else F.concat(F.lit(" "), unit)
     return F.concat(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Orders and weight of the published scores, and the patterns of the 13a rules below.
 BLEU_ORDER = 4
 CHRF_ORDER = 6
 CHRF_BETA = 2
