@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelake.functions.strings import drop_default_filter, fixed, pad, run_task, run_time, sanitize_task_name
 from scorelake.functions.textscores import arg_max
@@ -92,8 +93,54 @@ def latest_runs(files: DataFrame, model: str = "model", name: str = "file_name")
     return tasks.unionByName(whole)
 
 
-def report_lines(labels: DataFrame, name: str, values: Sequence[str], width: int = 50, decimals: int = 4) -> DataFrame:
+def report_lines(
+    labels: DataFrame, name: str, values: Sequence[str], width: int = 50, decimals: int = 4, keep: Sequence[str] = ()
+) -> DataFrame:
     """Fixed-width report lines, groups with most samples first. One line per label of the table."""
     cells = [pad(F.col(name), width), *[fixed(F.col(v), decimals, 8) for v in values], pad(F.col("num_samples").cast("string"), 8)]
     line = F.concat_ws(" | ", *cells)
-    return labels.select(name, "num_samples", line.alias("line")).orderBy(F.desc("num_samples"), name)
+    return labels.select(*keep, name, "num_samples", line.alias("line")).orderBy(F.desc("num_samples"), name)
+
+
+# Names and order of the metrics in a model's lines, and their columns.
+MODEL_LINE = (
+    ("Recall", "recall"), ("Precision", "precision"), ("F1", "f1"), ("IoU", "iou"), ("SuccessRate", "success_rate"),
+    ("IoU>0.5", "iou_ge_50"), ("F1>0.5", "f1_ge_50"),
+)
+
+
+def model_lines(compared: DataFrame, columns: Sequence[tuple[str, str]] = MODEL_LINE, model: str = "model") -> DataFrame:
+    """(model, place, line): each model's title, its underline and a line for each kind, in order of ``place``.
+
+    ``compared`` has one row per model and kind (``anatomy``, ``T/L``) with the metrics, total_samples and num_regions.
+    """
+    title = F.concat(F.lit("Model: "), F.col(model))
+    heads = compared.select(model).distinct().select(
+        model, F.explode(F.array(
+            F.struct(F.lit(0).alias("place"), F.concat(F.lit("\n"), title).alias("line")),
+            F.struct(F.lit(1).alias("place"), F.repeat(F.lit("-"), F.char_length(title)).alias("line")),
+        )).alias("_r"),
+    ).select(model, "_r.*")
+    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{name}="), fixed(F.col(c), 3)) for name, c in columns])
+    counts = F.format_string("(%2d regions, %4d samples): ", F.col("num_regions").cast("bigint"), F.col("total_samples").cast("bigint"))
+    line = F.concat(F.lit("  "), pad(F.upper("kind"), 8), F.lit(" "), counts, shown)
+    kinds = compared.select(model, F.when(F.col("kind") == "anatomy", 2).otherwise(3).alias("place"), line.alias("line"))
+    return heads.unionByName(kinds)
+
+
+def label_section(labels: DataFrame, name: str, values: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, place, line): the label table of a report with its title, column names, rule and end, groups with most
+    samples first. ``values`` are (title, column). Each section is numbered on its own, as many lines as labels."""
+    cells = [pad(F.lit("Label"), 50), *[pad(F.lit(t), 8) for t, _ in values], pad(F.lit("Samples"), 8)]
+    width = 50 + 11 * (len(values) + 1) + 1
+    fixed_lines = [(0, F.lit("\nLabel-specific metrics:")), (1, F.concat_ws(" | ", *cells)), (2, F.lit("-" * width))]
+    end = F.lit("\n" + "=" * 100 + "\n")
+    sizes = labels.groupBy(*by).agg(F.count("*").alias("_n"))
+    frame = sizes.select(*by, F.explode(F.array(
+        *[F.struct(F.lit(k).cast("bigint").alias("place"), line.alias("line")) for k, line in fixed_lines],
+        F.struct((F.col("_n") + 3).alias("place"), end.alias("line")),
+    )).alias("_r")).select(*by, "_r.*")
+    lines = report_lines(labels.select(*by, F.col(name).alias("_label"), "num_samples", *[c for _, c in values]), "_label", [c for _, c in values], keep=by)
+    order = Window.partitionBy(*by).orderBy(F.desc("num_samples"), "_label")
+    body = lines.select(*by, (F.row_number().over(order) + 2).cast("bigint").alias("place"), "line")
+    return frame.unionByName(body)

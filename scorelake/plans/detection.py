@@ -10,7 +10,7 @@ from scorelake.functions.numbers import (
     last_numbers, last_numbers_text, parse_fixed_target, parse_prediction, parse_target,
 )
 from scorelake.functions.scoring import online_scores, with_scores
-from scorelake.operators import lookups, summaries
+from scorelake.operators import lookups, results, summaries
 from scorelake.plans.carriers import BOXES, LABELS, PLAN_LABEL, PLAN_TASK
 from scorelake.plans.catalogue import derived, plain, query, r6, rounded, table
 
@@ -290,14 +290,12 @@ def model_table(spark, sf_dir):
 
 @query("model_report_lines", f"""
 WITH {GROUPED}, {COMPARED_SQL}
-SELECT model, rpad(upper(kind), 8, ' ') || ' | ' || {" || ' | ' || ".join(f'''rpad(printf('%.3f', "{m}"), 8, ' ')''' for m in ("recall", "precision", "f1"))}
-       || ' | ' || rpad(CAST(total_samples AS VARCHAR), 8, ' ') AS line FROM compared""")
+SELECT DISTINCT model, 0 AS place, chr(10) || 'Model: ' || model AS line FROM compared
+UNION ALL SELECT DISTINCT model, 1, repeat('-', 7 + length(model)) FROM compared
+UNION ALL SELECT model, CASE WHEN kind = 'anatomy' THEN 2 ELSE 3 END,
+  printf('  %-8s (%2d regions, %4d samples): ', upper(kind), num_regions, total_samples) || {" || ', ' || ".join(f"""'{t}=' || printf('%.3f', "{c}")""" for t, c in results.MODEL_LINE)} FROM compared""")
 def model_report_lines(spark, sf_dir):
-    from scorelake.functions.strings import fixed, pad
-
-    rows = rounded(compared_models(spark, sf_dir))
-    cells = [pad(F.upper("kind"), 8), *[fixed(F.col(m), 3, 8) for m in ("recall", "precision", "f1")]]
-    return rows.select("model", F.concat_ws(" | ", *cells, pad(F.col("total_samples").cast("string"), 8)).alias("line"))
+    return results.model_lines(rounded(compared_models(spark, sf_dir)))
 
 
 @query("parse_stage_detection", f"""

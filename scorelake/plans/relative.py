@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.numbers import last_numbers, parse_fixed_target
 from scorelake.functions.scoring import online_scores, with_scores
 from scorelake.operators import lookups, stats, summaries
-from scorelake.operators.results import report_lines
+from scorelake.operators.results import label_section, report_lines
 from scorelake.plans.carriers import LABELS, LESIONS, MEASURES, PLAN_LABEL, PLAN_TASK
 from scorelake.plans.catalogue import derived, plain, query, rounded
 
@@ -143,6 +143,21 @@ def angle_distance_report(spark, sf_dir):
     return report_lines(named, "name", ["avg_mae", "avg_mre", "success_rate", "mre_lt_10"])
 
 
+SECTION = (("MAE", "avg_mae"), ("MRE", "avg_mre"), ("SR", "success_rate"), ("MRE<0.1", "mre_lt_10"), ("MRE<0.2", "mre_lt_20"), ("MRE<0.3", "mre_lt_30"))
+
+
+@query("angle_distance_section", f"""
+WITH {LABEL_TABLE}, n AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY num_samples DESC, label) + 2 AS place, rpad(label, 50, ' ') || ' | ' ||
+  {" || ' | ' || ".join(f"rpad(printf('%.4f', round({c}, 6)), 8, ' ')" for _, c in SECTION)} || ' | ' || rpad(CAST(num_samples AS VARCHAR), 8, ' ') AS line FROM labels_of),
+s AS (SELECT model, count(*) AS k FROM n GROUP BY 1)
+SELECT model, place, line FROM n UNION ALL SELECT model, 0, chr(10) || 'Label-specific metrics:' FROM s
+UNION ALL SELECT model, 1, rpad('Label', 50, ' ') || ' | MAE      | MRE      | SR       | MRE<0.1  | MRE<0.2  | MRE<0.3  | Samples ' FROM s
+UNION ALL SELECT model, 2, repeat('-', 128) FROM s UNION ALL SELECT model, 3 + k, chr(10) || repeat('=', 100) || chr(10) FROM s""")
+def angle_distance_section(spark, sf_dir):
+    labels = rounded(summaries.summarise_relative(labelled_measures(spark, sf_dir), ["model", "label"]))
+    return label_section(labels, "label", SECTION, ["model"])
+
+
 @query("lesion_summary_by_label", f"WITH {LESION_TABLE} SELECT model, label, {summary_sql()} FROM scored GROUP BY 1, 2")
 def lesion_summary_by_label(spark, sf_dir):
     return rounded(summaries.summarise_relative(labelled_lesions(spark, sf_dir), ["model", "label"]))
