@@ -191,8 +191,9 @@ def _without(column: int):
         keep = np.ones(len(batch), bool)
         for i, text in zip(hit.tolist(), cut):
             texts[i], keep[i] = text, text is not None
-        columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns)]
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+        columns = [pa.array(texts, c.type) if i == column else c for i, c in enumerate(batch.columns)]
+        # Batches without a cut go out as they came, so the schema must be theirs.
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
     return work
 
 

@@ -46,7 +46,17 @@ def test_passages_against_every_window(spark, seed):
 
 
 def test_cut_texts(spark):
-    texts = corpus()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")  # batches with and without a cut in one task
+    try:
+        check_cut_texts(spark)
+    finally:
+        spark.conf.set(name, before)
+
+
+def check_cut_texts(spark):
+    texts = [f"lone text {i}" for i in range(20)] + corpus()
     want = plain.repeated_words(texts, LENGTH)
     left = {}
     for i, text in enumerate(texts):
