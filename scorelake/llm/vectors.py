@@ -1,16 +1,18 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by random hyperplanes: every vector of a bucket meets every other.
 
-In a pass every vector gets 64 random hyperplanes' signs as one number, and the table is sorted by it: vectors of a
-small angle stand near each other in some passes. Two kinds of pass run over the sorted ranges.
+In a pass every vector gets the signs of its projections on random directions as one number. Two kinds of pass use it.
 
-Gathering passes fold tight groups: going down the order, a vector within ``BALL`` of one of the last few heads joins
-that head's ball. ``BALL`` is half the angle of the limit, so any two members of a ball are linked, and a group of
-thousands costs one comparison a member. Window passes then compare each head with the ``WINDOW`` heads
-after it. Two heads at an angle of f, with balls of radius r and s, have all members linked when f + r + s is within
-the limit's angle and none when f - r - s is beyond; between the two, members are compared in blocks.
+Gathering passes sort the table by 64 signs and fold tight groups: going down the order, a vector within ``BALL`` of one
+of the last few heads joins that head's ball. ``BALL`` is half the angle of the limit, so any two members of a ball are
+linked without being compared, and members equal to their head are represented by it.
 
-The number of window passes follows from the number of heads, so that a pair at the limit meets in some pass
-with a chance of ``RECALL``.
+Bucket passes deal everything else, heads and members alike, into buckets by the first signs. All pairs of a bucket
+are compared, however many the bucket holds: it is cut into blocks, and a cell holds two of them. A pair
+counts in the first pass that has it in one bucket, so links are counted without being listed. A ball that fills more
+than a block of a bucket does not meet itself there.
+
+The number of signs follows from the number of vectors, that of passes from the signs: two vectors share a bucket
+with a chance that depends on their angle alone, and a pair at the limit does in some pass with a chance of ``RECALL``.
 """
 
 from __future__ import annotations
@@ -25,15 +27,21 @@ from pyspark.sql import functions as F
 from scorelake.llm.components import components
 from scorelake.llm.storage import removed, stored
 
-WINDOW = 256
+#: Vectors a bucket holds on the average, at most, of a table spread evenly.
+BUCKET = 512
 RECALL = 0.9995
 GATHERINGS = 4
 HEADS_LOOKED_AT = 16
 PASSES_AT_ONCE = 8
-BLOCK = 256
+#: Vectors of a block, and of one of a bucket that would have more than MANY_BLOCKS of them.
+BLOCK = 512
+LARGE_BLOCK = 1024
+MANY_BLOCKS = 8
 SEED = 101
 
 UNITS = "row long, vec_id long, dim int, unit binary"
+ITEMS = "row long, dim int, head long, weight long, unit binary, buckets array<int>"
+CELL = ["pass", "dim", "bucket", "side", "other"]
 
 
 def _units(batches):
@@ -91,95 +99,150 @@ def _sorted(heads: DataFrame, numbers: list[int]) -> DataFrame:
 
 
 def _gathered(least: float):
-    """(row, head, cosine) of vectors that join a ball; ``mark`` is positive for heads that have members already."""
+    """(row, head, equal) of vectors that join a ball; ``mark`` is positive for heads that have members already."""
     def run(batches):
-        where, heads, units = None, [], []
+        where, heads, units, raw = None, [], [], []
         for batch in batches:
             out = []
             for number, dim, row, mark, unit in zip(*(c.to_pylist() for c in batch.columns)):
                 if where != (number, dim):
-                    where, heads, units = (number, dim), [], []
+                    where, heads, units, raw = (number, dim), [], [], []
                 x = np.frombuffer(unit)
                 if units and mark == 0:
+                    if unit in raw:
+                        out.append((row, heads[raw.index(unit)], True))
+                        continue
                     cosine = np.stack(units) @ x
                     best = int(cosine.argmax())
                     if cosine[best] >= least:
-                        out.append((row, heads[best], float(cosine[best])))
+                        out.append((row, heads[best], False))
                         continue
-                heads, units = [*heads[1 - HEADS_LOOKED_AT:], row], [*units[1 - HEADS_LOOKED_AT:], x]
-            r, h, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(h, pa.int64()), pa.array(c, pa.float64())],
-                                             ["row", "head", "cosine"])
+                heads, units, raw = ([*held[1 - HEADS_LOOKED_AT:], new] for held, new in ((heads, row), (units, x), (raw, unit)))
+            r, h, e = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(h, pa.int64()), pa.array(e, pa.bool_())],
+                                             ["row", "head", "equal"])
     return run
 
 
-def _windows(angle: float):
-    """Pairs of heads within the window of each other whose balls may hold a link; ``mark`` is the radius."""
-    def near(x, radius, row, y, other, row_y, offset):
-        """Rows of x against rows of y, where y[j] stands j + offset places after x[0]."""
-        cosine = x @ y.T
-        gap = np.arange(len(y))[None, :] + offset - np.arange(len(x))[:, None]
-        ok = (gap > 0) & (gap <= WINDOW) & (cosine >= np.cos(min(math.pi, angle + radius.max() + other.max())) - 1e-9)
-        i, j = np.nonzero(ok)
-        limit = np.cos(np.minimum(math.pi, angle + radius[i] + other[j])) - 1e-9
-        keep = cosine[i, j] >= limit
-        return row[i[keep]], row_y[j[keep]]
-
+def _bucketed(numbers: list[int], bits: int):
+    """Every vector with its bucket, the first ``bits`` signs, in each pass."""
     def run(batches):
-        held, where = None, None
         for batch in batches:
-            number, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (dims[1:] != dims[:-1])))) if len(batch) else []
-            a, b = [], []
-            for low, high in zip(cut, [*cut[1:], len(batch)]):
-                own = (number[low], dims[low])
-                x = _matrix(batch.column(4)[low:high], int(dims[low]))
-                row, radius = batch.column(2).to_numpy()[low:high], batch.column(3).to_numpy()[low:high]
-                if where == own:
-                    x, row, radius = (np.concatenate(t) for t in zip(held, (x, row, radius)))
-                done = len(held[1]) if where == own else 0
-                for at in range(0, len(x), BLOCK):
-                    # Rows before ``done`` were compared with each other in the last batch.
-                    to = min(len(x), at + BLOCK + WINDOW)
-                    since = max(at, done)
-                    if since < to:
-                        got = near(x[at:at + BLOCK], radius[at:at + BLOCK], row[at:at + BLOCK],
-                                   x[since:to], radius[since:to], row[since:to], since - at)
-                        a.append(got[0]), b.append(got[1])
-                held, where = (x[-WINDOW:], row[-WINDOW:], radius[-WINDOW:]), own
-            a, b = (np.concatenate(t) if t else np.empty(0, np.int64) for t in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                x = _matrix(part.column(4), int(dim))
+                keys = np.zeros((len(x), len(numbers)), np.int32)
+                for i, number in enumerate(numbers if bits else []):
+                    keys[:, i] = signs(x, number).view(np.uint64) >> np.uint64(64 - bits)
+                edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(numbers))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(edges, pa.array(keys.ravel()))],
+                                                 [c.split()[0] for c in ITEMS.split(", ")])
     return run
 
 
-def _cosines(batches):
-    for batch in batches:
-        x, y = (batch.column(i).to_pylist() for i in (2, 3))
-        cosine = [float(np.frombuffer(u) @ np.frombuffer(v)) for u, v in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine, pa.float64())], ["a", "b", "cosine"])
-
+def _in_cells(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Vectors of a bucket dealt over cells of two blocks, or of one with itself: every pair of the bucket meets in one
+    cell, except for the pairs of its main ball.
 
-def _member_links(limit: float):
-    """(a, b, row, links) for every member of two blocks of unlike balls that has a link in the other."""
+    The main ball fills the blocks 0, 1, ... and the rest the blocks -1, -2, ...; a cell (side, other) holds a block of
+    the rest and one other block of either kind.
+    """
+    in_main = F.coalesce(F.col("head") == F.col("main"), F.lit(False))
+    spots = F.when(in_main, F.col("main_spots")).otherwise(F.col("rest_spots"))
+    dealt = entries.join(sizes, ["pass", "dim", "bucket"])
+    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("row", "pass"), spots).cast("int"))
+    rest = F.sequence(F.lit(0), F.col("rest_spots") - 1)
+    with_main = F.when(F.col("main_spots") > 0, F.sequence(F.lit(0), F.col("main_spots") - 1)).otherwise(F.array().cast("array<int>"))
+    cells = F.when(in_main, F.transform(rest, lambda t: F.struct((-1 - t).alias("side"), F.col("place").alias("other")))).otherwise(
+        F.concat(F.transform(with_main, lambda m: F.struct((-1 - F.col("place")).alias("side"), m.alias("other"))),
+                 F.transform(rest, lambda t: F.struct((-1 - F.least("place", t)).alias("side"), (-1 - F.greatest("place", t)).alias("other")))))
+    spot = F.when(in_main, F.col("place")).otherwise(-1 - F.col("place")).alias("spot")
+    out = dealt.select("pass", "dim", "bucket", spot, "row", "head", "weight", "unit", "buckets", F.explode(cells).alias("cell"))
+    out = out.select("pass", "dim", "bucket", "cell.side", "cell.other", "spot", "row", "head", "weight", "unit", "buckets")
+    return out.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _sizes(entries: DataFrame) -> DataFrame:
+    """(pass, dim, bucket, main, main_spots, rest_spots) of every bucket with two vectors to compare; ``main`` is the
+    ball with most members there where it fills more than a block."""
+    def spots(n):
+        return F.ceil(n / F.when(n > BLOCK * MANY_BLOCKS, LARGE_BLOCK).otherwise(BLOCK)).cast("int")
+
+    balls = entries.groupBy("pass", "dim", "bucket", "head").agg(F.count("*").alias("n"))
+    found = balls.groupBy("pass", "dim", "bucket").agg(F.max(F.struct("n", "head")).alias("most"), F.sum("n").alias("n"))
+    large = F.col("most.n") > BLOCK
+    n_main = F.when(large, F.col("most.n")).otherwise(0)
+    found = found.where("n > 1").select("pass", "dim", "bucket", F.when(large, F.col("most.head")).alias("main"),
+                                        spots(n_main).alias("main_spots"), spots(F.col("n") - n_main).alias("rest_spots"))
+    return found.where("rest_spots > 0")
+
+
+def _whole_cells(batches):
+    """Tables of the rows of one cell each, from rows sorted by cell."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        columns = [c.to_numpy() for c in batch.columns[:len(CELL)]]
+        cut = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist()]
+        for low, high in zip(cut, cut[1:]):
+            yield batch.slice(low, high - low)
+        held = batch.slice(cut[-1])
+    if held is not None:
+        yield held
+
+
+def _least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one reachable over the links i - j."""
+    label = np.arange(n)
+    while True:
+        low, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _linked_in_cells(limit: float):
+    """(row, n, head, other) of every vector with a link to another ball in a cell: the rows linked that no earlier
+    pass had in one bucket with it, its head and one that links lead to."""
     def run(batches):
-        for batch in batches:
-            out = []
-            for a, b, dim, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [np.array([m["row"] for m in side]) for side in (x, y)]
-                u, v = (np.frombuffer(b"".join(m["unit"] for m in side)).reshape(-1, dim) for side in (x, y))
-                hit = u @ v.T >= limit
-                for own, count in ((rows[0], hit.sum(axis=1)), (rows[1], hit.sum(axis=0))):
-                    out += [(a, b, int(r), int(n)) for r, n in zip(own, count) if n]
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "row", "links"])
+        for cell in _whole_cells(batches):
+            number, dim, _, side, other = (cell.column(i)[0].as_py() for i in range(len(CELL)))
+            spot, row, head, weight = (cell.column(i).to_numpy() for i in range(5, 9))
+            x = _matrix(cell.column(9), dim)
+            buckets = cell.column(10).flatten().to_numpy().reshape(len(x), -1)
+            a, b = np.flatnonzero(spot == side), np.flatnonzero(spot == other)
+            hit = (x[a] @ x[b].T >= limit) & (head[a][:, None] != head[b][None, :])
+            i, j = np.nonzero(np.triu(hit, 1) if side == other else hit)
+            i, j = a[i], b[j]
+            least = _least_reached(len(x), i, j)
+            touched = np.zeros(len(x), bool)
+            touched[i] = touched[j] = True
+            for earlier in range(number):
+                new = buckets[i, earlier] != buckets[j, earlier]
+                i, j = i[new], j[new]
+            n = np.zeros(len(x), np.int64)
+            np.add.at(n, i, weight[j])
+            np.add.at(n, j, weight[i])
+            yield pa.RecordBatch.from_arrays([pa.array(c[touched]) for c in (row, n, head, head[least])], ["row", "n", "head", "other"])
     return run
 
 
-def passes_for(n: int, angle: float) -> int:
-    """Window passes after which a pair at ``angle`` among ``n`` vectors has met with a chance of ``RECALL``."""
-    bits = max(math.log2(max(n, 2) / WINDOW), 0.0) + 1
+def bits_for(n: int) -> int:
+    """Signs that name a bucket among ``n`` vectors; none where one bucket holds them all."""
+    return min(31, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))))
+
+
+def passes_for(bits: int, angle: float) -> int:
+    """Passes after which a pair at ``angle`` has shared a bucket of ``bits`` signs with a chance of ``RECALL``."""
     together = (1 - angle / math.pi) ** bits
-    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - together))) if together < 1 else 2
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - together))) if together < 1 else 1
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9) -> DataFrame:
@@ -189,8 +252,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     the other rows linked, ``component_id`` is the least id reachable, ``kept`` marks one row of each component: its
     least id, the first such row when an id repeats. Null and zero vectors, and those with a null or non-finite
     component, link with nothing; equal vectors link. A null id counts as larger than all others. ``row`` is
-    the row's place (``monotonically_increasing_id``). Other columns are not looked at. Links found are exact;
-    a pair of heads at the limit itself is missed with a chance of 1 - ``RECALL``, nearer ones more seldom.
+    the row's place (``monotonically_increasing_id``). Other columns are not looked at. Links found are exact; a
+    pair at the limit itself is missed with a chance of 1 - ``RECALL``, a nearer one more seldom, however many vectors
+    stand around it; up to ``BUCKET`` vectors none is missed. A large group that folds into no ball costs the square of its size.
     """
     angle = math.acos(limit)
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
@@ -203,7 +267,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joined_parts = []
     heads = usable.select("row", "dim", F.lit(0.0).alias("mark"), "unit")
     for number in range(GATHERINGS):
-        joins = stored(_sorted(heads, [number]).mapInArrow(_gathered(least), "row long, head long, cosine double"), "joins")
+        joins = stored(_sorted(heads, [number]).mapInArrow(_gathered(least), "row long, head long, equal boolean"), "joins")
         joined_parts.append(joins)
         full = joins.select(F.col("head").alias("row"), F.lit(1.0).alias("more")).distinct()
         rest = heads.join(joins.select("row"), "row", "left_anti").join(full, "row", "left")
@@ -211,55 +275,39 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joins = joined_parts[0]
     for more in joined_parts[1:]:
         joins = joins.union(more)
-    balls = joins.groupBy(F.col("head").alias("row")).agg((F.count("*") + 1).alias("size"), F.min("cosine").alias("least"))
-    heads = heads.join(balls, "row", "left").select(
-        "row", "dim", F.coalesce(F.acos(F.least("least", F.lit(1.0))) + 1e-9, F.lit(0.0)).alias("mark"), "unit",
-        F.coalesce("size", F.lit(1)).alias("size"))
-    heads = stored(heads, "ball-heads")
-
-    number, total = GATHERINGS, passes_for(heads.count(), angle)
-    found = None
-    for first in range(number, number + total, PASSES_AT_ONCE):
-        turn = list(range(first, min(first + PASSES_AT_ONCE, number + total)))
-        pairs = _sorted(heads.drop("size"), turn).mapInArrow(_windows(angle), "a long, b long").distinct()
-        pairs = stored(pairs, "window-pairs", narrow=True)
-        found = pairs if found is None else found.union(pairs)
-    sides = {s: heads.select(F.col("row").alias(s), F.col("unit").alias(f"unit_{s}"), F.col("mark").alias(f"mark_{s}"),
-                             F.col("size").alias(f"size_{s}"), F.col("dim").alias(f"dim_{s}")) for s in "ab"}
-    pairs = found.distinct().join(sides["a"].select("a", "unit_a"), "a").join(sides["b"].select("b", "unit_b"), "b")
-    pairs = pairs.select("a", "b", "unit_a", "unit_b").mapInArrow(_cosines, "a long, b long, cosine double")
-    pairs = pairs.join(sides["a"].drop("unit_a"), "a").join(sides["b"].drop("unit_b"), "b")
-    apart = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0)))
-    reach = F.col("mark_a") + F.col("mark_b")
-    alone = (F.col("size_a") == 1) & (F.col("size_b") == 1)
-    pairs = stored(pairs.select(
-        "a", "b", "size_a", "size_b", F.col("dim_a").alias("dim"),
-        F.when(alone, F.when(F.col("cosine") >= limit, "all").otherwise("none"))
-        .when(apart + reach + 1e-8 <= angle, "all").when(apart - reach - 1e-8 > angle, "none").otherwise("some").alias("links")), "pairs", narrow=True)
-
-    every = pairs.where("links = 'all'")
-    by_head = every.select(F.col("a").alias("head"), F.col("size_b").alias("n")).union(every.select("b", "size_a"))
-    by_head = by_head.groupBy("head").agg(F.sum("n").alias("near"))
-    members = usable.select("row", "unit").join(joins.select("row", "head"), "row", "left").select(
-        "row", F.coalesce("head", "row").alias("head"), "unit")
-    some = stored(pairs.where("links = 'some'").select("a", "b", "dim"), "open-pairs", narrow=True)
-    asked = some.select(F.explode(F.array("a", "b")).alias("head")).distinct()
-    sized = members.join(asked, "head").join(balls.select(F.col("row").alias("head"), "size"), "head", "left")
-    spot = F.pmod(F.xxhash64("row"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).alias("spot")
-    blocks = stored(sized.groupBy("head", spot).agg(F.collect_list(F.struct("row", "unit")).alias("x")), "blocks")
-    met = some.join(blocks.select(F.col("head").alias("a"), "x"), "a").join(blocks.select(F.col("head").alias("b"), F.col("x").alias("y")), "b")
-    met = stored(met.select("a", "b", "dim", "x", "y").mapInArrow(_member_links(limit), "a long, b long, row long, links long"), "member-links")
-    by_row = met.groupBy("row").agg(F.sum("links").alias("some"))
-
-    roots = components(every.select("a", "b").union(met.select("a", "b").distinct()))
-    placed = units.select("row", "vec_id").join(joins.select("row", "head"), "row", "left")
-    placed = placed.select("row", "vec_id", F.coalesce("head", "row").alias("head"))
-    sizes = balls.select(F.col("row").alias("head"), "size")
-    placed = placed.join(sizes, "head", "left").join(by_head, "head", "left").join(by_row, "row", "left").join(
-        roots.withColumnRenamed("node", "head"), "head", "left")
-    n = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("some", F.lit(0))
+    balls = joins.groupBy(F.col("head").alias("row")).agg(
+        (F.count("*") + 1).alias("size"), (F.count_if("equal") + 1).alias("weight"))
+    balls = stored(balls, "balls", narrow=True)
+
+    # What is compared: heads, for themselves and all members equal to them, and every other member.
+    items = usable.join(joins.where("not equal").select("row", "head"), "row").select("row", "dim", "head", F.lit(1).cast("long").alias("weight"), "unit")
+    items = items.union(heads.join(balls, "row", "left").select("row", "dim", F.col("row").alias("head"), F.coalesce("weight", F.lit(1)), "unit"))
+    bits = bits_for(usable.count() - joins.where("equal").count())
+    total = passes_for(bits, angle)
+    items = stored(items.mapInArrow(_bucketed(list(range(GATHERINGS, GATHERINGS + total)), bits), ITEMS), "items")
+    parts = []
+    for first in range(0, total, PASSES_AT_ONCE):
+        turn = F.array(*[F.struct(F.lit(p).alias("pass"), F.col("buckets")[p].alias("bucket"))
+                         for p in range(first, min(first + PASSES_AT_ONCE, total))])
+        sizes = stored(_sizes(items.select("dim", "head", F.inline(turn))), "bucket-sizes", narrow=True)
+        cells = _in_cells(items.select("*", F.inline(turn)), sizes)
+        linked = cells.mapInArrow(_linked_in_cells(limit), "row long, n long, head long, other long")
+        linked = stored(linked.groupBy("row", "head").agg(F.sum("n").alias("n"), F.collect_set("other").alias("others")), "linked")
+        removed(sizes)
+        parts.append(linked)
+    linked = parts[0]
+    for more in parts[1:]:
+        linked = linked.union(more)
+    by_row = linked.groupBy("row").agg(F.sum("n").alias("near"))
+    roots = components(linked.select(F.col("head").alias("a"), F.explode("others").alias("b")))
+
+    placed = units.select("row", "vec_id").join(joins, "row", "left").select(
+        "row", "vec_id", F.coalesce("head", "row").alias("head"), F.when(F.col("equal"), F.col("head")).otherwise(F.col("row")).alias("item"))
+    placed = placed.join(balls.select(F.col("row").alias("head"), "size"), "head", "left").join(
+        by_row.withColumnRenamed("row", "item"), "item", "left").join(roots.withColumnRenamed("node", "head"), "head", "left")
+    n = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("near", F.lit(0))
     placed = stored(placed.select("row", "vec_id", n.cast("long").alias("n_links"), F.coalesce("root", "head").alias("root")), "placed", narrow=True)
-    removed(units, some, blocks, met, pairs, heads, *joined_parts)
+    removed(units, heads, balls, items, *joined_parts, *parts)
     head = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "row")).alias("first")
     firsts = placed.groupBy("root").agg(head)
     return placed.join(firsts, "root").select("row", "vec_id", "n_links", F.col("first.vec_id").alias("component_id"),

@@ -125,3 +125,23 @@ def test_recall_at_the_limit(spark):
     assert hits >= 1490, hits
     assert near_vectors(table.limit(0)).collect() == []
     assert near_vectors(table.select(F.lit(None).cast("long").alias("vec_id"), "embedding").limit(2)).collect()[0].component_id is None
+
+
+def test_a_dense_group_that_folds_into_no_ball(spark):
+    """Thousands of vectors of mutual cosine 0.92 beside spread ones: every link is found, whatever the group's size."""
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    side = rng.standard_normal((4000, 64))
+    side -= (side @ centre)[:, None] * centre
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    group = np.sqrt(0.92) * centre + np.sqrt(0.08) * side
+    spread = rng.standard_normal((3000, 64))
+    given = np.concatenate((group, spread / np.linalg.norm(spread, axis=1)[:, None]))
+    links = (given @ given.T >= 0.9).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(given)], "vec_id long, embedding array<double>").repartition(8)
+    got = found(near_vectors(table), "vec_id")
+    n = np.array([got[i].n_links for i in range(len(given))])
+    assert links.sum() > 12_000_000 and (n <= links).all()
+    assert n.sum() >= 0.9995 * links.sum(), n.sum() / links.sum()
+    assert all(got[i].component_id == 0 for i in range(4000))
