@@ -145,3 +145,18 @@ def test_a_dense_group_that_folds_into_no_ball(spark):
     assert links.sum() > 12_000_000 and (n <= links).all()
     assert n.sum() >= 0.9995 * links.sum(), n.sum() / links.sum()
     assert all(got[i].component_id == 0 for i in range(4000))
+
+
+def test_links_between_members_at_facing_rims_of_two_balls(spark):
+    """Heads stand 0.84 rad apart, their members 0.44: only the members link."""
+    rng = np.random.default_rng(21)
+    a, side = (rng.standard_normal((600, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    placed = [np.cos(angle) * a + np.sin(angle) * side for angle in (0, 0.2, 0.64, 0.84)]
+    given = np.concatenate((*placed, rng.standard_normal((8000, 64))))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(given)], "vec_id long, embedding array<double>").repartition(8)
+    got = found(near_vectors(table), "vec_id")
+    assert sum(got[i + 1800].component_id == i for i in range(600)) >= 598
+    assert sum(got[i + 600].n_links == 2 for i in range(600)) >= 598
