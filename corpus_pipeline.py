@@ -39,7 +39,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near a language's reference."""
     ref = references(docs)
-    return _filtered(docs, lambda d, keys, text: quality_rules(d, keys, text, ref=ref), F.col("kept"))
+    lang = [c.lower() for c in docs.columns].index("lang")
+    return _filtered(docs, lambda d, keys, text: quality_rules(d, keys, text, lang_col=keys[lang], ref=ref), F.col("kept"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,32 @@ def test_no_references_without_enough_words(spark):
     assert Q.quality_rules(table.limit(0), ["doc_id"]).collect() == []
 
 
+def test_copies_and_repetitive_texts_do_not_move_a_reference(spark):
+    rng = random.Random(4)
+    clean = [prose(rng, "en", 200) for _ in range(40)]
+    plain_ref = Q.references(spark.createDataFrame([(t, "en") for t in clean], "text string, lang string"))
+    flood = " ".join(f"z{i}" for i in range(150))
+    odd = [flood] * 200 + ["la li lo " * 4000, "mo mu " * 9000]
+    moved = Q.references(spark.createDataFrame([(t, "en") for t in clean + odd], "text string, lang string").repartition(5))
+    both = [dict(zip(r.common.tolist(), r.words[0])) for r in (plain_ref, moved)]
+    assert all(abs(share - both[1].get(key, 0)) < 0.02 for key, share in both[0].items())
+    # One text of many words weighs as much as one of a thousand.
+    long_text = " ".join(f"q{i % 100}" if i % 2 else f"u{i}" for i in range(40_000))
+    moved = Q.references(spark.createDataFrame([(t, "en") for t in [*clean, long_text]], "text string, lang string"))
+    assert abs(moved.words[0][-1] - plain_ref.words[0][-1]) < 0.1
+
+
+def test_a_language_without_a_reference_is_not_held_against_others(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", 200), "en") for i in range(40)]
+    other = " ".join("".join(rng.choice("бвгджзклмн") for _ in range(5)) for _ in range(150))
+    rows += [(100, other, "yy"), (101, other, None), (102, "у " * 150, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.quality_rules(docs, ["doc_id"]).collect()}
+    assert got[100].kept and got[100].language is None and got[100].word_distance is None
+    assert not got[101].kept and not got[102].kept and got[0].kept and got[0].language == "en"
+
+
 def labelled(n=600):
     rng = random.Random(8)
     out = []
