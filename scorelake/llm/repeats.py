@@ -200,7 +200,9 @@ def _without(column: int):
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with every repeated passage cut out but at its first place; a text left blank goes.
 
-    Cuts run from a passage's first word to the next word kept. All columns stay as they are, the text column
+    Where a text repeats itself with a period shorter than ``length``, later places overlap the first and their words go
+    with them: the text shrinks to one period, and the first place does not survive whole. Cuts run from a
+    passage's first word to the next word kept. All columns stay as they are, the text column
     excepted. Rows that lose nothing, null and blank texts among them, come back unchanged.
     """
     docs = settled(docs)
