@@ -67,9 +67,22 @@ def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string")
     return df.select(*[F.col(f"`{k}`") for k in keys], work), kinds, len(keys)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Have the session split files alike from now on. Left to itself, Spark asks at each planning how many cores it
+    has just then and cuts files by that, so that an executor lost between two jobs would move rows to other partitions."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) in (None, "<undefined>"):
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        spark.conf.set(name, cores if cores and cores.isdigit() else str(spark.sparkContext.defaultParallelism))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A table whose rows are numbered alike each time it is read: itself where it is read without a shuffle, else
-    a stored copy. The order of shuffled rows may change from one reading to the next."""
+    """A table whose rows are numbered alike each time it is read, whatever executors come and go: itself where it is
+    read from files without a shuffle, with their splits pinned, else a stored copy. The order of shuffled rows may
+    change from one reading to the next, and a table held by the driver is cut by the cores there are."""
     small_batches(df)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return stored(df, "settled") if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df
+    pin_splits(df.sparkSession)
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    files = all(leaves.apply(i).nodeName().startswith("Scan parquet") for i in range(leaves.size()))
+    return df if files and "Exchange" not in plan.toString() else stored(df, "settled")
