@@ -6,7 +6,8 @@ not depend on its neighbours. Each distinct word of a slice of texts is tokenize
 the words' ids in numpy. A piece's end is a character of its own there, which the vocabulary's word-end entries
 absorb first. Words for which the two libraries could differ go to ``tokenizers`` itself: those holding that
 character, a special token, white space of Unicode, letters whose case depends on their place, or more than
-``LONG`` bytes.
+``LONG`` bytes. So do words with a character that the libraries' tables of Unicode, which are of different versions, treat
+unlike: every character beyond ASCII is tried in both when a worker first meets it.
 """
 
 from __future__ import annotations
@@ -61,34 +62,63 @@ class WordTokenizer:
         self.fast = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
         self.gap = ranks[b" " + END.encode()]
         self.pieces = regex.compile(PIECES + "| ")
+        self.alike: set[str] = set(map(chr, range(128)))
+        self.unlike: set[str] = set()
+
+    def _quick(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that spaces part, and how many each has."""
+        found = self.pieces.findall(unicodedata.normalize("NFC", text).lower())
+        found.append("")
+        ids = np.array(self.fast.encode_ordinary(END.join(found)), np.uint32)
+        gaps = np.flatnonzero(ids == self.gap)
+        return np.delete(ids, gaps), np.diff(np.concatenate(([-1], gaps, [len(ids)]))) - 1
+
+    def _exact(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.exact.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _try(self, letters: list[str]) -> None:
+        """Learn for new characters whether both libraries give the same ids: as a letter or mark among letters, among
+        signs, and before and after marks, whose order follows from the class of each."""
+        words = [w for c in letters for w in (f"a{c}a", f".{c}.", f"a\u0345{c}", f"a{c}\u0334")]
+        ids, size = self._quick(" ".join(words))
+        if len(size) != len(words) and len(letters) > 1:  # one of them parts words here
+            for c in letters:
+                self._try([c])
+            return
+        ends = np.cumsum(size)
+        quick = [ids[a:b].tolist() for a, b in zip(ends - size, ends)]
+        same = [a == b for a, b in zip(quick, self._exact(words))] if len(size) == len(words) else [False] * 4
+        for i, c in enumerate(letters):
+            # Marks beyond the first plane may compose in one version and not in the other.
+            alike = all(same[4 * i:4 * i + 4]) and not (c > "\uffff" and unicodedata.category(c)[0] == "M")
+            (self.alike if alike else self.unlike).add(c)
+
+    def _hard(self, word: str) -> bool:
+        return END in word or bool(self.odd.search(word)) or not self.unlike.isdisjoint(word)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has. No word holds a separator of texts."""
-        joined = b" ".join(words)
+        text = b" ".join(words).decode("utf-8", "replace")
+        if not text.isascii():
+            self._try([c for c in set(text) - self.alike - self.unlike if not self.odd.search(c)])
         hard = [i for i, w in enumerate(words) if len(w) >= LONG]
-        text = joined.decode("utf-8", "replace")
-        if hard or END in text or self.odd.search(text.replace(" ", "")):
-            hard = [i for i, w in enumerate(words) if len(w) >= LONG or b"\0" in w or self.odd.search(w.decode("utf-8", "replace"))]
+        if hard or self._hard(text.replace(" ", "")):
+            hard = [i for i, w in enumerate(words) if len(w) >= LONG or self._hard(w.decode("utf-8", "replace"))]
             out = set(hard)
             text = " ".join(w.decode("utf-8", "replace") for i, w in enumerate(words) if i not in out)
         size = np.zeros(len(words), np.int64)
         ids = np.empty(0, np.uint32)
         if len(hard) < len(words):
-            found = self.pieces.findall(unicodedata.normalize("NFC", text).lower())
-            found.append("")
-            ids = np.array(self.fast.encode_ordinary(END.join(found)), np.uint32)
-            gaps = np.flatnonzero(ids == self.gap)
             easy = np.ones(len(words), bool)
             easy[hard] = False
-            size[easy] = np.diff(np.concatenate(([-1], gaps, [len(ids)]))) - 1
-            ids = np.delete(ids, gaps)
+            ids, size[easy] = self._quick(text)
         if hard:
-            more = self.exact.encode_batch_fast([words[i].decode("utf-8", "replace") for i in hard], add_special_tokens=False)
+            more = self._exact([words[i].decode("utf-8", "replace") for i in hard])
             parts, at = [], 0
             ends = np.cumsum(size)
             for i, e in zip(hard, more):
-                parts += [ids[at:ends[i]], np.array(e.ids, np.uint32)]
-                at, size[i] = ends[i], len(e.ids)
+                parts += [ids[at:ends[i]], np.array(e, np.uint32)]
+                at, size[i] = ends[i], len(e)
             ids = np.concatenate([*parts, ids[at:]])
         return ids, size
 

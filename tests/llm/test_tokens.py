@@ -37,6 +37,21 @@ def test_word_tokens_equal_the_library():
     assert got == want
 
 
+def test_word_tokens_of_every_code_point():
+    rng = random.Random(8)
+    letters = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    given = [f"x{c}y {c} .{c}" for c in letters[:0x32000]] + [f"{c}z{c}" for c in letters[0x32000::97]]
+    for low in range(0, 0x1F000, 64):  # texts of a few letters of one block, where marks meet marks
+        block = letters[low:low + 64] + ["a", "\u0301", " "]
+        given += ["".join(rng.choice(block) for _ in range(12)) for _ in range(4)]
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    want = [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+    got = []
+    for _, ids, bounds in token_slices(pa.array(given), WORD_FILE):
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert [g for g, a, b in zip(given, got, want) if a != b] == []
+
+
 def test_byte_tokens_equal_the_library_and_come_back(spark):
     given = [(i, t, 0) for i, t in enumerate([None, *texts()])] + [(None, "x", 0), (1, "x", 0), (1, "x", 0)]
     tokenizer = Tokenizer.from_file(BYTE_FILE)
