@@ -45,6 +45,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name the table does not have yet, in any case of letters."""
     taken = {c.lower() for c in df.columns}
