@@ -27,22 +27,26 @@ LOWEST = -(1 << 63)
 Splitters = tuple[np.ndarray, np.ndarray]
 
 
-def range_of(splitters: Splitters) -> Callable[[Column, Column], Column]:
-    """Column function: the number of splitters at or below (key, tie); nulls stand below all numbers."""
+def ranges_of(splitters: Splitters, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The number of splitters at or below each (key, tie)."""
     keys, ties = splitters
     twice = np.unique(keys)
+    out = np.searchsorted(keys, k, side="left")
+    at = np.searchsorted(twice, k)
+    hit = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == k) if len(twice) else np.empty(0, np.int64)
+    for value in np.unique(k[hit]):
+        rows = hit[k[hit] == value]
+        low, high = np.searchsorted(keys, value, side="left"), np.searchsorted(keys, value, side="right")
+        out[rows] = low + np.searchsorted(ties[low:high], t[rows], side="right")
+    return out
+
+
+def range_of(splitters: Splitters) -> Callable[[Column, Column], Column]:
+    """Column function: the number of splitters at or below (key, tie); nulls stand below all numbers."""
 
     @F.pandas_udf("long")
     def place(key: pd.Series, tie: pd.Series) -> pd.Series:
-        k, t = key.to_numpy(np.int64), tie.to_numpy(np.int64)
-        out = np.searchsorted(keys, k, side="left")
-        at = np.searchsorted(twice, k)
-        hit = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == k) if len(twice) else np.empty(0, np.int64)
-        for value in np.unique(k[hit]):
-            rows = hit[k[hit] == value]
-            low, high = np.searchsorted(keys, value, side="left"), np.searchsorted(keys, value, side="right")
-            out[rows] = low + np.searchsorted(ties[low:high], t[rows], side="right")
-        return pd.Series(out)
+        return pd.Series(ranges_of(splitters, key.to_numpy(np.int64), tie.to_numpy(np.int64)))
 
     return lambda key, tie: place(_number(key), _number(tie))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.elias_fano import EliasFano, pack
-from scorelake.llm.sharding import range_of, splitters_of
+from scorelake.llm.sharding import LOWEST, Splitters, ranges_of, splitters_of
 from scorelake.llm.storage import make_folder, removed, settled, stored
 from scorelake.llm.word_tokens import token_slices, word_tokenizer
 
@@ -43,10 +43,12 @@ MANIFEST = "file string, shard int, part int, docs long, ids long, first long, s
 ROWS = "number long, doc_id long, start long, ids array<int>"
 
 
-def _tokens(path: str, end_id: int, kind: str):
-    """(doc_id, tie, text) to (doc_id, tie, ids as bytes)."""
+def _tokens(path: str, end_id: int, kind: str, splitters: Splitters):
+    """(doc_id, tie, text) to (shard, doc_id, tie, ids as bytes)."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(0).fill_null(LOWEST).to_numpy()
+            shards = pa.array(ranges_of(splitters, keys, batch.column(1).to_numpy()), pa.int32())
             for low, ids, bounds in token_slices(batch.column(2), path):
                 n = np.diff(bounds) + 1
                 flat = np.full(len(ids) + len(n), end_id, kind)
@@ -56,7 +58,8 @@ def _tokens(path: str, end_id: int, kind: str):
                 offsets = np.concatenate(([0], ends * width)).astype(np.int32)
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 part = batch.slice(low, len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], ["doc_id", "tie", "data"])
+                yield pa.RecordBatch.from_arrays([shards.slice(low, len(n)), part.column(0), part.column(1), data],
+                                                 ["shard", "doc_id", "tie", "data"])
     return run
 
 
@@ -142,9 +145,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
     removed(keys)
     ids = max(word_tokenizer(tokenizer_path).exact.get_vocab_size(), end_id + 1)
     kind = "<u2" if ids <= 1 << 16 else "<u4"
-    tokens = rows.mapInArrow(_tokens(tokenizer_path, end_id, kind), "doc_id long, tie long, data binary")
-    placed = tokens.select(range_of(splitters)(F.col("doc_id"), F.col("tie")).cast("int").alias("shard"), "doc_id", "data", "tie")
-    ordered = placed.repartitionById(len(splitters[0]) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
+    tokens = rows.mapInArrow(_tokens(tokenizer_path, end_id, kind, splitters), "shard int, doc_id long, tie long, data binary")
+    ordered = tokens.repartitionById(len(splitters[0]) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
+    ordered = ordered.select("shard", "doc_id", "data")
     make_folder(spark, folder)
     files = stored(ordered.mapInArrow(_written(folder, np.dtype(kind).itemsize), FILES), "token-files")
     # One row for each range, of which there are at most a few times sharding.MAX_RANGES.

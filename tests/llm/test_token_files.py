@@ -28,7 +28,7 @@ def sequences():
     yield np.cumsum((rng.random(4000) < 0.01) * 100_000).tolist()
 
 
-@pytest.mark.parametrize("values", sequences())
+@pytest.mark.parametrize("values", list(sequences()))
 def test_packed_numbers_come_back(values):
     data = b"head" + pack(np.array(values, np.int64)) + b"tail"
     held = EliasFano(lambda at, size: data[at:at + size], 4)
@@ -56,7 +56,7 @@ def rows():
     texts = [None, "", " \n", "one", "<|endoftext|> two", "é漢 🙂", "long " * 5000] + [
         " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 60))) for _ in range(200)]
     out = [(rng.randint(-50, 10_000), t) for t in texts]
-    out += [(None, "no id"), (None, None), (None, "none")] + [(77, f"copy {i}") for i in range(120)] + [(78, "same")] * 100
+    out += [(None, "no id"), (None, None), (None, "none")] + [(77, f"copy {i} " * 20) for i in range(120)] + [(78, "same")] * 100
     rng.shuffle(out)
     return [(i, t, 0, "x") for i, t in out]
 
