@@ -6,7 +6,7 @@ import importlib
 
 from scorelake.llm.registry import ORACLES, QUERIES
 
-MODULES = ("near_text_query", "quality_queries", "repeats_query", "token_queries", "token_file_query", "archive_queries", "chat_query", "vectors_query", "lexical_query")
+MODULES = ("near_text_query", "quality_queries", "repeats_query", "token_queries", "token_file_query", "archive_queries", "chat_query", "vectors_query", "lexical_query", "alignment_query")
 
 
 def all_queries():
