@@ -13,7 +13,7 @@ ORACLES = entry.oracle_sql()
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
