@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.functions.draws import SEED, key_state, poisson_one, uniform_from
-from scorelake.operators.ranking import joined_null_safe, with_row_index
+from scorelake.functions.draws import SEED, key_state
+from scorelake.functions.weights import add_resampled
+from scorelake.operators.ranking import joined_null_safe
 from scorelake.session import durable, release
 
 # ---- aggregates of one column ----
@@ -78,15 +81,67 @@ def matthews_corrcoef(gold: Column, pred: Column) -> Column:
 
 
 def middle_in_order(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The value at place n // 2 in the given order, which is not a median unless the order sorts it."""
-    names = list(dict.fromkeys([*by, value, *order]))
-    indexed = with_row_index(df.select(*names), [F.col(c) for c in order], by, "_row")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    if by:
-        joined = joined_null_safe(indexed, sizes, by)
-    else:
-        joined = indexed.withColumn("_n", sizes.scalar())
-    return joined.filter(F.col("_row") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
+    """The value at place n // 2 in the given order, which is not a median unless the order sorts it. Rows alike in the
+    order follow by value."""
+    whole = df.select(*by, value, *[c for c in order if c not in (*by, value)])
+    found = nth_in_order(whole, value, order, by, lambda n: F.floor(n / 2).cast("bigint"))
+    return found.withColumnRenamed("_value", "median")
+
+
+#: Rows of a group that are ranked at once; larger groups are narrowed down first.
+RANKED_ROWS = 10_000
+#: Keys of a group that its bounds are taken from, and how far on either side of the place sought, in deviations.
+SAMPLED_KEYS, BOUND_DEVIATIONS = 4096, 4.0
+
+
+def nth_in_order(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], place: Callable[[Column], Column]) -> DataFrame:
+    """``by`` and ``_value``: the value at ``place`` (from 0, given a group's size) in the order of ``order``, nulls first.
+
+    Nothing is sorted as a whole. In each round a sample of a large group's keys gives two bounds that very likely enclose the
+    place; the rows below, between and above them are counted, which tells for certain where it lies, and only those rows go
+    on, about a sixteenth. Groups that are small, or have become so, are ranked. A group with a third of all rows is counted and
+    filtered in the tasks that read it; what meets in one task is a sample, or at most ``RANKED_ROWS`` rows.
+    """
+    group = list(by) or ["_all"]
+    live = df.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.struct(*order, F.col(value).alias("_value")).alias("_k"))
+    state = durable(live.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_t", place(F.col("_n"))))
+    ranked, settled, turn = [], [], 0
+    while True:
+        sizes = state.agg(F.min("_n"), F.max("_n")).first()
+        if sizes[0] is None:
+            break
+        if sizes[0] <= RANKED_ROWS:
+            ranked.append(joined_null_safe(live, state.where(F.col("_n") <= RANKED_ROWS), group))
+        if sizes[1] <= RANKED_ROWS:
+            break
+        large = joined_null_safe(live, state.where(F.col("_n") > RANKED_ROWS), group)
+        drawn = large.where(F.rand(SEED + turn) * F.col("_n") < SAMPLED_KEYS).groupBy(*group, "_n", "_t").agg(F.array_sort(F.collect_list("_k")).alias("_s"))
+        size = F.size("_s")
+        at, share = F.col("_t") * size / F.col("_n"), F.col("_t") / F.col("_n")
+        reach = F.least(BOUND_DEVIATIONS * F.sqrt(size * share * (1 - share)) + 1, size / 4)
+        low, high = F.greatest(F.lit(0), F.floor(at - reach)).cast("int"), F.least(size - 1, F.ceil(at + reach)).cast("int")
+        # A group that gave no sample stays as it is and is drawn from again.
+        bounds = durable(state.where(F.col("_n") > RANKED_ROWS).select(*group, "_t").transform(
+            lambda s: joined_null_safe(s, drawn.select(*group, F.get("_s", low).alias("_low"), F.get("_s", high).alias("_high")), group, "left")))
+        part = F.when(F.col("_low").isNull(), 1).when(F.col("_k") < F.col("_low"), 0).when(F.col("_k") <= F.col("_high"), 1).otherwise(2)
+        placed = joined_null_safe(live, bounds, group).withColumn("_part", part)
+        counts = placed.groupBy(*group, "_t", "_low", "_high").agg(*[F.count_if(F.col("_part") == i).alias(f"_c{i}") for i in range(3)])
+        held = F.when(F.col("_t") < F.col("_c0"), 0).when(F.col("_t") < F.col("_c0") + F.col("_c1"), 1).otherwise(2)
+        counted = counts.withColumn("_held", held)
+        before = F.when(F.col("_held") == 0, 0).when(F.col("_held") == 1, F.col("_c0")).otherwise(F.col("_c0") + F.col("_c1"))
+        rows = F.when(F.col("_held") == 0, F.col("_c0")).when(F.col("_held") == 1, F.col("_c1")).otherwise(F.col("_c2"))
+        one = (F.col("_held") == 1) & (F.col("_low") == F.col("_high"))  # all that is left is one key
+        told = durable(counted.select(*group, F.col("_held"), (F.col("_t") - before).alias("_t"), rows.alias("_n"), F.coalesce(one, F.lit(False)).alias("_one"), F.col("_low")))
+        settled.append(told.where("_one").select(*group, F.col("_low._value").alias("_value")))
+        state = told.where("not _one").select(*group, "_n", "_t")
+        going = joined_null_safe(placed.select(*group, "_k", "_part"), told.where("not _one").select(*group, "_held"), group)
+        live = durable(going.where("_part = _held").select(*group, "_k"))
+        turn += 1
+    row = F.row_number().over(Window.partitionBy(*group).orderBy("_k")) - 1
+    found = [r.withColumn("_row", row).where("_row = _t").select(*group, F.col("_k._value").alias("_value")) for r in ranked] + settled
+    if not found:
+        return df.limit(0).select(*by, F.col(value).alias("_value"))
+    return functools.reduce(DataFrame.unionByName, found).select(*by, "_value")
 
 
 def all_right(df: DataFrame, correct: Column, by: Sequence[str], stderr_by: Sequence[str]) -> DataFrame:
@@ -103,22 +158,76 @@ def all_right(df: DataFrame, correct: Column, by: Sequence[str], stderr_by: Sequ
 # ---- bootstrap ----
 
 
+#: Bytes of resampled sums a task holds before it gives them out.
+HELD_SUMS = 256 << 20
+#: Rounds of a group that leave a task in one batch.
+ROUNDS_OUT = 10_000
+
+
+def _resampled_sums(groups: int, names: list[str], iterations: int):
+    """Rows (group columns, state, totals) to (group columns, iteration, resampled, totals), summed over a task.
+
+    The weights of a block of rows and rounds are a matrix, and its product with the totals their sums.
+    """
+    def run(batches):
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        most = max(1, HELD_SUMS // (8 * iterations * (len(names) + 1)))
+
+        def out():
+            for key, (sums, seen) in held.items():
+                for low in range(0, iterations, ROUNDS_OUT):
+                    part = sums[low:low + ROUNDS_OUT]
+                    n = len(part)
+                    totals = [pa.array(part[:, i]) if seen[i] else pa.nulls(n, pa.float64()) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.repeat(k, n) for k in key], pa.array(np.arange(low, low + n)), pa.array(part[:, -1]), *totals],
+                        [*[f"g{i}" for i in range(groups)], "iteration", "resampled", *names])
+            held.clear()
+
+        for batch in batches:
+            columns = batch.columns
+            state = columns[groups].to_numpy(zero_copy_only=False).astype(np.uint32)
+            values = np.ones((len(batch), len(names) + 1))
+            for i, column in enumerate(columns[groups + 1:]):
+                values[:, i] = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+            known = np.array([column.is_valid().to_numpy(zero_copy_only=False) for column in columns[groups + 1:]]).reshape(len(names), -1)
+            places: dict[tuple, list[int]] = {}
+            scalars: dict[tuple, tuple] = {}
+            for i, plain in enumerate(zip(*[c.to_pylist() for c in columns[:groups]]) if groups else [()] * len(batch)):
+                places.setdefault(plain, []).append(i)
+                if plain not in scalars:
+                    scalars[plain] = tuple(c[i] for c in columns[:groups])
+            for plain, rows in places.items():
+                key = scalars[plain]
+                if key not in held:
+                    if len(held) >= most:
+                        yield from out()
+                    held[key] = np.zeros((iterations, len(names) + 1)), np.zeros(len(names), bool)
+                sums, seen = held[key]
+                add_resampled(sums, state[rows], values[rows])
+                seen |= known[:, rows].any(axis=1)
+        yield from out()
+    return run
+
+
 def bootstrap_totals(
     df: DataFrame, totals: dict[str, Column], key: str, iterations: int, by: Sequence[str] = (), seed: int = SEED
 ) -> DataFrame:
-    """Resampled sums, one row per group and iteration.
+    """Resampled sums, one row per group and iteration in which a row was drawn.
 
     Every row gets a Poisson(1) weight per iteration, which in place of drawing n of n rows needs no
-    global view: rows never move, and what is shuffled is one partial sum per task, group and iteration.
+    global view: rows never move, and what is shuffled is one partial sum per task, group and iteration. Weights
+    depend on the key and the iteration alone. A task holds a few groups' sums and gives them out when there are more.
+    A missing total counts as 0 beside known ones; a group that knows none has none.
     """
-    spread = df.select(
-        *by, key_state(F.col(key), seed).alias("_state"), *[c.alias(n) for n, c in totals.items()]
-    ).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = spread.withColumn("_u", uniform_from(F.col("_state"), F.col("iteration")))
-    weighted = drawn.withColumn("_w", poisson_one(F.col("_u")).cast("double")).filter("_w > 0")
-    return weighted.groupBy(*by, "iteration").agg(
-        F.sum("_w").alias("resampled"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in totals]
-    )
+    names = list(totals)
+    rows = df.select(*by, key_state(F.col(key), seed).alias("_state"), *[c.cast("double").alias(n) for n, c in totals.items()])
+    kinds = [f"g{i} {rows.schema[n].dataType.simpleString()}" for i, n in enumerate(by)]
+    schema = ", ".join([*kinds, "iteration long, resampled double", *[f"`{n}` double" for n in names]])
+    sums = rows.mapInArrow(_resampled_sums(len(by), names, iterations), schema).withColumnsRenamed({f"g{i}": n for i, n in enumerate(by)})
+    return sums.groupBy(*by, "iteration").agg(
+        F.sum("resampled").alias("resampled"), *[F.sum(n).alias(n) for n in names]
+    ).where("resampled > 0")
 
 
 # Fixed value: rounds of resampling a standard error takes unless told otherwise.
@@ -135,8 +244,8 @@ def bootstrap_stderr(
     seed: int = SEED,
 ) -> DataFrame:
     """Sample deviation of a statistic over resamples; ``statistic`` is computed from the summed
-    ``totals`` and ``resampled``. Null with fewer than two rows. The work is rows times rounds: where rows take few
-    distinct values, :func:`bootstrap_cells` does with values times rounds. A null group is a group."""
+    ``totals`` and ``resampled``. Null with fewer than two rows. The work is rows times rounds, a few nanoseconds each: where
+    rows take few distinct values, :func:`bootstrap_cells` does with values times rounds. A null group is a group."""
     samples = bootstrap_totals(df, totals, key, iterations, by, seed).withColumn("_value", statistic)
     errors = samples.groupBy(*by).agg(F.stddev_samp("_value").alias("stderr"))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
@@ -149,6 +258,8 @@ def bootstrap_stderr(
 
 #: Rounds one call of the generator draws.
 BATCH = 1000
+#: Distinct values of a group that :func:`bootstrap_cells` takes.
+MAX_CELLS = 4096
 
 
 def bootstrap_cells(
@@ -158,10 +269,14 @@ def bootstrap_cells(
 
     Equal rows are counted first. A round that draws n of n rows with replacement then draws one multinomial
     number of each value, so the work is values times rounds, whatever the number of rows. Batches of rounds are
-    spread over tasks and draw from a generator seeded by their own number.
+    spread over tasks and draw from a generator seeded by their own number. A group of more than ``MAX_CELLS`` distinct
+    values stops the job: such rows are for :func:`bootstrap_stderr`.
     """
     names = list(totals)
-    cells = df.select(*by, *[c.cast("double").alias(n) for n, c in totals.items()]).groupBy(*by, *names).agg(F.count("*").alias("_count"))
+    cells = durable(df.select(*by, *[c.cast("double").alias(n) for n, c in totals.items()]).groupBy(*by, *names).agg(F.count("*").alias("_count")))
+    widest = cells.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if widest > MAX_CELLS:
+        raise ValueError(f"a group takes {widest} distinct values; use bootstrap_stderr")
     listed = F.array_sort(F.collect_list(F.struct(*names, "_count")))
     groups = cells.groupBy(*by).agg(F.sum("_count").alias("_n"), listed.alias("_cells"))
     last = (iterations - 1) // BATCH
