@@ -13,7 +13,7 @@ from scorelake.plans.carriers import BOXES
 from scorelake.plans.catalogue import derived, plain, query, rounded, table
 from scorelake.plans.detection import SCORED
 from scorelake.session import scratch_path
-from scorelake.sources import datasets, logs, sinks, tasks
+from scorelake.sources import commits, datasets, logs, sinks, tasks
 from scorelake.streaming import incremental
 
 LOG_NAME = "concat('r1_samples_', dataset, '_BoxCoordinate_Task01_Axial.jsonl')"
@@ -156,6 +156,38 @@ def running_summary_of_logs(spark, sf_dir):
     return rounded(current.withColumn("avg_mae", F.col("sum_mae") / F.col("valid")))
 
 
+@query("summary_of_compacted_batches", f"""
+WITH {SCORED} SELECT model, count(*) AS num_samples, round(sum(mae), 6) AS sum_mae, count(mae) AS valid, 2 AS snapshots, true AS few_batches FROM plain_scores GROUP BY 1""")
+def summary_of_compacted_batches(spark, sf_dir):
+    """The running summary over eight batches of which every three are folded, with what is left on disk."""
+    root, out, checkpoint = (scratch_path(spark, n) for n in ("arriving", "compacted", "checkpoint"))
+    lines = log_lines(spark, sf_dir)
+    totals = {"num_samples": F.count("*"), "sum_mae": F.sum("mae"), "valid": F.count("mae")}
+    for turn in range(8):
+        sinks.write_logs(lines.filter(F.col("doc_id") % 8 == turn).coalesce(1), root)
+        scored = incremental.scored_lines(incremental.stream_lines(spark, f"{root}/*/*.jsonl"), "Detection")
+        incremental.running_summary(scored, ["model"], totals, out, checkpoint, compact_every=3)
+    current = incremental.current_summary(spark, out, ["model"])
+    left, held = commits.numbered(spark, out, "batch"), commits.numbered(spark, f"{out}/_snapshots", "upto")
+    return rounded(current.withColumns({"snapshots": F.lit(len(held)), "few_batches": F.lit(len(left) < 8)}))
+
+
+@query("logs_paired_as_they_arrive", f"""
+WITH {BOXES_SQL}
+SELECT model, 'paired' AS status, 'task_of_' || model AS results_task, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM boxes WHERE model <> 'model_P' GROUP BY 1
+UNION ALL SELECT 'model_P', 'missing', NULL, NULL, NULL""")
+def logs_paired_as_they_arrive(spark, sf_dir):
+    """Half of the logs come before their results files and half after; the results of one model never come."""
+    root, out, checkpoint = (scratch_path(spark, n) for n in ("arriving", "paired", "checkpoint"))
+    lines, results = log_lines(spark, sf_dir), results_lines(spark, sf_dir).where("model <> 'model_P'")
+    for arrived in (lines.filter(F.col("doc_id") % 2 == 0), results, lines.filter(F.col("doc_id") % 2 == 1)):
+        sinks.write_logs(arrived, root)
+        incremental.pair_new_files(spark, root, out, checkpoint, wait_ms=1)
+    rows = spark.read.parquet(f"{out}/rows").groupBy("model", F.lit("paired").alias("status"), "results_task").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    missing = spark.read.schema(incremental.PAIRS).parquet(f"{out}/pairs").where("status = 'missing'").select("model", "status").distinct()
+    return rows.unionByName(missing, allowMissingColumns=True)
+
+
 @query("sample_log_sink", """
 SELECT o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS target, o_orderstatus AS input, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS kept, o_orderpriority AS response FROM orders""")
 def sample_log_sink(spark, sf_dir):

@@ -8,6 +8,8 @@ from scorelake.functions.draws import SEED, draw
 from scorelake.operators import assembly, comparison, lookups, ranking, results, summaries
 from scorelake.plans.carriers import BOXES, JUDGED, PLAN_LABEL, PLAN_TASK
 from scorelake.plans.catalogue import derived, plain, query, r6, rounded, table
+from scorelake.session import durable, scratch_path
+from scorelake.sources import keyed
 
 
 def draw_sql(key: str, stream: str = "0", seed: int = SEED) -> str:
@@ -184,6 +186,30 @@ def response_cache(spark, sf_dir):
     )
 
 
+@query("response_store", """
+WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, '["generate","' || l_partkey || '","' || l_suppkey || '"]' AS body, l_quantity > 45 AS sampled, l_orderkey % 4 AS turn FROM lineitem),
+a AS (SELECT sha256(body) AS h, turn, id, sampled FROM r), f AS (SELECT h, min(turn) FILTER (WHERE NOT sampled) AS first_turn FROM a GROUP BY 1)
+SELECT turn, count(*) FILTER (WHERE NOT sampled AND first_turn < turn) AS hits, count(*) FILTER (WHERE sampled OR first_turn >= turn) AS to_run, (SELECT count(DISTINCT h) FROM a WHERE NOT sampled) AS stored,
+  (SELECT sum(m % 1009)::BIGINT FROM (SELECT max(id) AS m FROM a JOIN f USING (h) WHERE NOT sampled AND turn = first_turn GROUP BY h)) AS response_sum FROM a JOIN f USING (h) GROUP BY 1""")
+def response_store(spark, sf_dir):
+    """Requests in four turns: what earlier turns answered is found in the store, what is new is run and added to it."""
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    requests = table(spark, sf_dir, "lineitem").select(
+        number.alias("request_id"), (F.col("l_quantity") > 45).alias("sampled"), (F.col("l_orderkey") % 4).alias("turn"),
+        assembly.request_hash(F.lit("generate"), F.col("l_partkey"), F.col("l_suppkey")).alias("request_hash"),
+    )
+    store = keyed.KeyedStore(spark, scratch_path(spark, "responses"), "request_hash string, response string", digits=1)
+    counts = None
+    for turn in range(4):
+        hits, to_run = keyed.answered_from_store(requests.where(F.col("turn") == turn), store, F.col("sampled"))
+        found = durable(hits.select("turn", F.lit(True).alias("hit")).unionByName(to_run.select("turn", F.lit(False).alias("hit"))).groupBy("turn").agg(
+            F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("to_run")))
+        counts = found if counts is None else counts.unionByName(found)
+        keyed.record_answers(store, to_run.where("not sampled").withColumn("response", F.col("request_id").cast("string")))
+    whole = store.rows().agg(F.count("*").alias("stored"), F.sum(F.col("response").cast("long") % 1009).alias("response_sum"))
+    return counts.crossJoin(F.broadcast(whole))  # one row
+
+
 # ---- grouping and order ----
 
 @query("responses_in_request_order", """

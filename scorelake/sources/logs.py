@@ -51,7 +51,7 @@ def file_attributes(path: Column) -> dict[str, Column]:
     }
 
 
-def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
+def read_lines(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """Lines with where they stand: log, piece of the log (part file and split), and order inside it."""
     place = F.concat_ws(
         "#", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
@@ -100,7 +100,12 @@ def read_parsed_logs(spark: SparkSession, task_dir: str) -> DataFrame:
 
 def read_results(spark: SparkSession, task_dir: str) -> DataFrame:
     """Long results (model, prefix, task, metric, value) of ``<prefix>_results.json`` files."""
-    raw = spark.read.text(f"{task_dir.rstrip('/')}/*/*_results.json", wholetext=True).select(
+    return read_results_files(spark, f"{task_dir.rstrip('/')}/*/*_results.json")
+
+
+def read_results_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Long results of the files at the paths."""
+    raw = spark.read.text(paths, wholetext=True).select(
         "value", logical_path(F.col("_metadata.file_path")).alias("file")
     )
     attributes = file_attributes(F.col("file"))
