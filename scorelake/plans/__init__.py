@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("detection", "relative", "texts", "tables", "statistics", "heavy", "files")
+MODULES = ("detection", "relative", "texts", "tables", "statistics", "heavy", "files", "proofs")
 
 
 def all_queries():

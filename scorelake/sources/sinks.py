@@ -86,3 +86,24 @@ def write_logs(lines: DataFrame, task_dir: str, order: Sequence[str] = ()) -> No
 def write_results(results: DataFrame, hashes: DataFrame, path: str) -> None:
     """Long results with the content hash of each task beside its metrics."""
     results.join(hashes, "task", "left").write.mode("overwrite").partitionBy("task").parquet(path)
+
+
+def one_file_per_row(folder: str):
+    """For ``mapInArrow``: write each row (name, content) as a file of that name below a folder all executors reach, and give the
+    names. A task that runs again writes the same files; each is written under a name of its own and moved in place."""
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                temp = f"{path}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(temp, compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(temp, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+    return run
