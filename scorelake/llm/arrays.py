@@ -96,33 +96,34 @@ def gaps(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-_BASE = 0x2545F4914F6CDD1D
-_POWERS: list[np.ndarray] = []
+_BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, base: int = 0) -> list[np.ndarray]:
+    """Powers of one of two odd bases and of its inverse, modulo 2^64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(SLICE_BYTES, n)
-        _POWERS[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        held = []
+        for factor in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
             out = np.ones(1, np.uint64)
             while len(out) < size:
-                out = np.concatenate((out, out * np.array([pow(base, len(out), 1 << 64)], np.uint64)))
-            _POWERS.append(out)
-    return _POWERS
+                out = np.concatenate((out, out * np.array([pow(factor, len(out), 1 << 64)], np.uint64)))
+            held.append(out)
+        _POWERS[base] = held
+    return _POWERS[base]
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
+def byte_sums(data: np.ndarray, base: int = 0) -> np.ndarray:
     """Running sums of bytes times powers, from which the hash of any run of bytes follows."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * _powers(len(data))[0][:len(data)], dtype=np.uint64, out=total[1:])
+    np.cumsum(data * _powers(len(data), base)[0][:len(data)], dtype=np.uint64, out=total[1:])
     return total
 
 
-def run_hashes(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def run_hashes(total: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int = 0) -> np.ndarray:
     """Hash of the bytes of each run, wherever it stands."""
-    inverse = _powers(len(total))[1]
+    inverse = _powers(len(total), base)[1]
     return mix((total[stop] - total[start]) * inverse[start] ^ ((stop - start).astype(np.uint64) * _A))
 
 
@@ -154,8 +155,8 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.bounds)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return run_hashes(byte_sums(lower_ascii(self.data) if lower else self.data), self.start, self.stop)
+    def hashes(self, lower: bool = False, base: int = 0) -> np.ndarray:
+        return run_hashes(byte_sums(lower_ascii(self.data) if lower else self.data, base), self.start, self.stop, base)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -147,8 +147,9 @@ def _encoded(path: str, pattern: str, keys: int, place: int):
 def encoded(docs: DataFrame, path: str, pattern: str, keys: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keys`` of every row and ``ids``, the tokens of its whole text as the file's tokenizer gives
     them without added special tokens. Special tokens written out in a text count as such, as there. A null
-    or empty text has no tokens. Rows are encoded one by one, repeated ones alike; texts may be of any length."""
-    held, kinds, place = with_text(docs, keys, text_col)
+    or empty text has no tokens. Rows are encoded one by one, repeated ones alike; texts may be of any length. A key named ``ids``
+    comes back as ``ids_``."""
+    held, kinds, place = with_text(docs, keys, text_col, added=["ids"])
     return held.mapInArrow(_encoded(path, pattern, len(keys), place), f"{kinds}ids array<int>")
 
 
@@ -171,6 +172,6 @@ def _decoded(path: str, pattern: str, keys: int):
 
 def decoded(tokens: DataFrame, path: str, pattern: str, keys: list[str], ids_col: str = "ids") -> DataFrame:
     """The columns ``keys`` of every row and the text of its ids, special tokens written out; a null list is an
-    empty text. Bytes that are no UTF-8 become replacement characters."""
-    held, kinds, _ = with_text(tokens, keys, ids_col, "array<int>")
+    empty text. Bytes that are no UTF-8 become replacement characters. A key named ``text`` comes back as ``text_``."""
+    held, kinds, _ = with_text(tokens, keys, ids_col, "array<int>", ["text"])
     return held.mapInArrow(_decoded(path, pattern, len(keys)), f"{kinds}text string")

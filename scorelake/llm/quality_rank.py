@@ -62,7 +62,7 @@ def _feature_rows(batches):
     for batch in batches:
         for low, high, data, offsets in A.slices(batch.column(1)):
             x = features(A.Words(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(list(x))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], pa.array(list(x))], ["label", "id", "x"])
 
 
 @dataclass(frozen=True)
@@ -113,15 +113,16 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     At most ``MAX_LABELLED`` labels are used, the first by a hash of the id, so that the sample is the same
     on every run and joins as a table of bounded size. Null labels and ids and other label values are left
-    out; a label given twice counts once, the lower of two.
+    out; a label given twice counts once, the lower of two, and so does a document that repeats a labelled id.
     """
     small_batches(docs)
     known = labels.where(F.col(label_col).isin(0, 1)).where(F.crc32(F.col(id_col).cast("string")) % 5 != 0)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("label", "text").mapInArrow(_feature_rows, "label int, x array<double>")
-    found = rows.orderBy(F.xxhash64("label", "x")).limit(2 * MAX_LABELLED).toArrow()
+    rows = texts.join(F.broadcast(sample), "id").select("label", "text", "id").mapInArrow(_feature_rows, "label int, id long, x array<double>")
+    # Of rows that share an id one counts, so that no id takes the place of others.
+    found = rows.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy(F.xxhash64("label", "x"), "id").select("label", "x").toArrow()
     if not len(found):
         return None
     x = np.array(found["x"].combine_chunks().flatten()).reshape(len(found), -1)
@@ -142,6 +143,7 @@ def _scored(model: Ranking | None, extra: int, place: int):
 
 def quality_scores(docs: DataFrame, model: Ranking | None, keys: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keys`` and a score from 0 to 1 for every row; null, empty and blank texts get the score of
-    all-zero features. Without a model (no labelled pair) every score is 0.5. Repeated rows score alike."""
-    held, kinds, place = with_text(docs, keys, text_col)
+    all-zero features. Without a model (no labelled pair) every score is 0.5. Repeated rows score alike. A key named ``score``
+    comes back as ``score_``."""
+    held, kinds, place = with_text(docs, keys, text_col, added=["score"])
     return held.mapInArrow(_scored(model, len(keys), place), f"{kinds}score double")

@@ -115,7 +115,8 @@ def _of_firsts(firsts: Beside, work):
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """The references of every language of the corpus; rows of a null language or text give nothing."""
+    """The references of every language of the corpus with ``MIN_REFERENCE_WORDS`` words, of the ``MAX_LANGUAGES`` with the most
+    words where labels name more; rows of a null language or text give nothing."""
     small_batches(docs)
     docs = settled(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "text")
@@ -125,9 +126,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     counts = texts.mapInArrow(_of_firsts(firsts, _word_counts), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = stored(counts, "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_REFERENCE_WORDS * PARTS)
-    totals = totals.limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect()
     total = {r.lang: r.total for r in totals}
     known = sorted(total)
     if not known:
@@ -247,14 +246,15 @@ def quality_rules(docs: DataFrame, keys: list[str], text_col: str = "text", lang
     below 200 bytes, by words below 100 words. A text labelled with a language that has no reference is not compared: its
     distances and ``language`` are null and only the base rules decide; a text of a null label is compared. With no reference at all (an empty corpus, only null languages, or too
     few words) distances and ``language`` are null and only the base rules decide. A null text has no words and
-    fails. Repeated rows are judged one by one. ``keys`` may be any columns but those this adds.
+    fails. Repeated rows are judged one by one. A key that bears the name of an added column comes back with a ``_`` behind it.
     """
     if ref is None:
         ref = references(docs, text_col, lang_col)
     alone = fresh(docs, "no_reference")
     labelled = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     docs = docs.withColumn(alone, labelled.isNotNull() & ~F.coalesce(labelled.isin(list(ref.languages)), F.lit(False)))
-    held, kinds, place = with_text(docs, [*keys, alone], text_col)
+    names = [*COUNTS, "base_failed", "class_distance", "word_distance", "language", "kept"]
+    held, kinds, place = with_text(docs, [*keys, alone], text_col, added=names)
     added = ", ".join([f"{c} long" for c in COUNTS] + ["base_failed boolean", "class_distance double",
                                                        "word_distance double", "language string", "kept boolean"])
     return held.mapInArrow(_verdicts(ref, len(keys) + 1, place), kinds + added).drop(alone)

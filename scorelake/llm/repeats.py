@@ -7,9 +7,10 @@ place in every copy, whatever stands around it; about 2 in RUN + 1 suffixes stay
 Kept suffixes are ordered and neighbours compared by their first ``PREFIX`` words; a suffix without an equal
 neighbour is in no repeat. The others are extended left and right as far as the windows that own them reach,
 their span. Suffixes of equal spans agree in all their windows. Where one prefix has unlike spans, a passage begins
-or ends there, and the spans are compared window by window. Ordering and comparing is sort-and-group on 64-bit
-hashes of the words compared, and equal ones are folded before the shuffle, so a passage that many texts share
-is no hot key and no two texts are ever paired.
+or ends there, and the spans are compared window by window. Ordering and comparing is sort-and-group on hashes of the
+words compared, and equal ones are folded before the shuffle, so a passage that many texts share is no hot key and
+no two texts are ever paired. Spans and windows, whose equality is taken for that of their words, have 128 bits of two
+unrelated bases; prefixes only bring candidates together and have 64.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from scorelake.llm.storage import fresh, removed, settled, stored
 LENGTH = 50
 PREFIX = 16
 
+SPAN, WINDOW = ["span", "span2"], ["window", "window2"]
+
 
 def owners(h: np.ndarray, run: int) -> np.ndarray:
     """For every run of neighbours, the place of its least hash, the first of equals."""
@@ -47,8 +50,8 @@ def _lesser(v, p, w, q):
 
 
 def _suffixes(length: int):
-    """(prefix, span, row, start, before, windows) of every kept suffix: ``start`` is its first window's first
-    word, ``before`` how far the suffix lies behind it."""
+    """(prefix, span in two numbers, row, start, windows) of every kept suffix: ``start`` is its first window's first word.
+    How far the suffix lies behind it is hashed into the span."""
     def run(batches):
         for batch in batches:
             row = batch.column(0).to_numpy()
@@ -67,35 +70,39 @@ def _suffixes(length: int):
                 start, place = inside[cut], owner[cut]
                 windows = np.diff(np.append(cut, len(inside)))
                 before = place - start
-                span = A.joined(A.run_hashes(total, start, start + windows - 1 + length), before.astype(np.uint64))
+                stop = start + windows - 1 + length
+                span = A.joined(A.run_hashes(total, start, stop), before.astype(np.uint64))
+                total2 = A.byte_sums(words.hashes(base=1), 1)
+                span2 = A.joined(A.run_hashes(total2, start, stop, 1), before.astype(np.uint64))
                 text = np.searchsorted(words.bounds, start, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(A.signed(first[place])), pa.array(A.signed(span)), pa.array(row[low + text]),
+                    [pa.array(A.signed(first[place])), pa.array(A.signed(span)), pa.array(A.signed(span2)), pa.array(row[low + text]),
                      pa.array((start - words.bounds[text]).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    ["prefix", "span", "row", "start", "windows"])
+                    ["prefix", *SPAN, "row", "start", "windows"])
     return run
 
 
 def _windows(length: int):
-    """(prefix, span, offset, window): hash of every window of the spans asked for."""
+    """(prefix, span, offset, window): hashes of every window of the spans asked for."""
     def work(batch, entries):
         asked = entries.column("asked").combine_chunks()
         size = asked.value_lengths().to_numpy()
         cell = asked.flatten()
-        prefix, span, start, windows = (cell.field(i).to_numpy() for i in range(4))
+        prefix, span, span2, start, windows = (cell.field(i).to_numpy() for i in range(5))
         edge = np.concatenate(([0], np.cumsum(size)))
         for low, high, data, offsets in A.slices(batch.column(1)):
             words = A.Words(data, offsets)
-            total = A.byte_sums(words.hashes())
+            total, total2 = A.byte_sums(words.hashes()), A.byte_sums(words.hashes(base=1), 1)
             own = slice(edge[low], edge[high])
             n = windows[own]
             base = np.repeat(words.bounds[:-1], size[low:high]) + start[own]
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(base, n) + offset
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(prefix[own], n)), pa.array(np.repeat(span[own], n)),
-                 pa.array(offset.astype(np.int32)), pa.array(A.signed(A.run_hashes(total, at, at + length)))],
-                ["prefix", "span", "offset", "window"])
+                [pa.array(np.repeat(prefix[own], n)), pa.array(np.repeat(span[own], n)), pa.array(np.repeat(span2[own], n)),
+                 pa.array(offset.astype(np.int32)), pa.array(A.signed(A.run_hashes(total, at, at + length))),
+                 pa.array(A.signed(A.run_hashes(total2, at, at + length, 1)))],
+                ["prefix", *SPAN, "offset", *WINDOW])
     return work
 
 
@@ -116,32 +123,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = _rows(docs, id_col, text_col)
     suffixes = stored(rows.where("text is not null").select("row", "text").mapInArrow(
-        _suffixes(length), "prefix long, span long, row long, start int, windows int"), "suffixes")
+        _suffixes(length), "prefix long, span long, span2 long, row long, start int, windows int"), "suffixes")
     twice = suffixes.groupBy("prefix").agg(F.count("*").alias("members")).where("members > 1").select("prefix")
     shared = stored(suffixes.join(twice, "prefix", "left_semi"), "shared-suffixes")
     removed(suffixes)
 
     first = F.min(F.struct("row", "start")).alias("first")
-    spans = shared.groupBy("prefix", "span").agg(F.count("*").alias("members"), first, F.first("windows").alias("windows"))
+    spans = shared.groupBy("prefix", *SPAN).agg(F.count("*").alias("members"), first, F.first("windows").alias("windows"))
     spans = stored(spans, "spans")
     unlike = spans.groupBy("prefix").agg(F.count("*").alias("spans")).where("spans > 1").select("prefix")
-    plain = spans.join(unlike, "prefix", "left_anti").select("prefix", "span", "first")
+    plain = spans.join(unlike, "prefix", "left_anti").select("prefix", *SPAN, "first")
     # (row, low, high): first words of the windows that repeat, with the place of the first one's copy.
-    whole = shared.join(plain, ["prefix", "span"]).select(
+    whole = shared.join(plain, ["prefix", *SPAN]).select(
         "row", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("windows") - 1).cast("long").alias("high"),
         F.col("first.row").alias("first_row"), F.col("first.start").cast("long").alias("first_low"))
 
     edges = stored(spans.join(unlike, "prefix", "left_semi"), "edge-spans")
     asked = edges.groupBy(F.col("first.row").alias("row")).agg(
-        F.collect_list(F.struct("prefix", "span", F.col("first.start").alias("start"), "windows")).alias("asked"))
-    windows = Beside(asked, "asked").mapped(rows.select("row", "text"), _windows(length), "prefix long, span long, offset int, window long")
-    windows = windows.join(edges.select("prefix", "span", "members", "first"), ["prefix", "span"])
-    windows = stored(windows.select("prefix", "span", "offset", "window", "members", F.col("first.row").alias("row"),
+        F.collect_list(F.struct("prefix", *SPAN, F.col("first.start").alias("start"), "windows")).alias("asked"))
+    windows = Beside(asked, "asked").mapped(rows.select("row", "text"), _windows(length), "prefix long, span long, span2 long, offset int, window long, window2 long")
+    windows = windows.join(edges.select("prefix", *SPAN, "members", "first"), ["prefix", *SPAN])
+    windows = stored(windows.select("prefix", *SPAN, "offset", *WINDOW, "members", F.col("first.row").alias("row"),
                                     (F.col("first.start") + F.col("offset")).alias("start")), "windows")
-    again = windows.groupBy("window").agg(F.sum("members").alias("members"), first).where("members > 1")
-    marks = windows.select("prefix", "span", "offset", "window").join(again, "window")
-    marks = marks.groupBy("prefix", "span").agg(F.collect_list(F.struct("offset", "first")).alias("marks"))
-    single = shared.join(marks, ["prefix", "span"]).select("row", "start", F.explode("marks").alias("m")).select(
+    again = windows.groupBy(*WINDOW).agg(F.sum("members").alias("members"), first).where("members > 1")
+    marks = windows.select("prefix", *SPAN, "offset", *WINDOW).join(again, WINDOW)
+    marks = marks.groupBy("prefix", *SPAN).agg(F.collect_list(F.struct("offset", "first")).alias("marks"))
+    single = shared.join(marks, ["prefix", *SPAN]).select("row", "start", F.explode("marks").alias("m")).select(
         "row", (F.col("start") + F.col("m.offset")).cast("long").alias("low"),
         (F.col("start") + F.col("m.offset")).cast("long").alias("high"),
         F.col("m.first.row").alias("first_row"), F.col("m.first.start").cast("long").alias("first_low"))

@@ -56,12 +56,16 @@ def _number(column: Column) -> Column:
 
 
 def _quantiles(key: np.ndarray, tie: np.ndarray, weight: np.ndarray, n: int) -> set[tuple[int, int]]:
-    """Splitters that cut a weighted sample into ``n`` parts."""
+    """Splitters that cut a weighted sample into ``n`` parts. A record of more than a share takes a part, and the others share
+    the rest."""
     if not len(key) or n < 2:
         return set()
     order = np.lexsort((tie, key))
-    total = np.cumsum(weight[order])
-    at = order[np.searchsorted(total, total[-1] * np.arange(1, n) / n)]
+    weight = weight[order].astype(float)
+    for _ in range(8):
+        weight = np.minimum(weight, weight.sum() / n)
+    total = np.cumsum(weight)
+    at = order[np.minimum(np.searchsorted(total, total[-1] * np.arange(1, n) / n), len(order) - 1)]
     return set(zip(key[at].tolist(), tie[at].tolist()))
 
 
@@ -117,9 +121,13 @@ def sharded(rows: DataFrame, key: str, tie: str, size: str, shards: int) -> Data
     Shards are runs of the order by (key, tie) whose sums of ``size`` differ by no more than about a record. A record
     belongs to the shard in which the middle of its bytes falls, so equal keys stay in one shard, or in
     neighbours where a border cuts them. Nulls stand below all numbers; rows alike in key and tie take slots in
-    any order. An empty table gives an empty result. No task sorts more than one range. Both new names must be
-    free. ``rows`` is read several times: give a stored table.
+    any order. An empty table gives an empty result. No task sorts more than one range. A column named like one of the
+    two new ones comes back with a ``_`` behind its name. ``rows`` is read several times: give a stored table.
     """
+    for name in [c for c in rows.columns if c.lower() in ("shard", "slot")]:
+        other = fresh(rows, name)
+        rows = rows.withColumnRenamed(name, other)
+        key, tie, size = (other if c == name else c for c in (key, tie, size))
     splitters, total = splitters_of(rows, key, tie, size)
     part, before, above, bytes_, place, start = (fresh(rows, n) for n in ("range_no", "bytes_before", "rows_above", "size_of", "place_no", "shard_start"))
     placed = rows.withColumn(part, range_of(splitters)(F.col(key), F.col(tie)))

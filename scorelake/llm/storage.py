@@ -58,18 +58,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string") -> tuple[DataFrame, str, int]:
+def with_text(df: DataFrame, keys: list[str], column: str, kind: str = "string", added: list[str] = ()) -> tuple[DataFrame, str, int]:
     """The columns ``keys`` and one more to work on; the schema of the keys, with a comma; the work column's place.
 
-    A text among the keys is not sent twice.
+    A text among the keys is not sent twice. A key that bears the name of a column to be ``added``, in any case of letters, gets
+    a ``_`` behind it.
     """
     small_batches(df)
-    chosen = df.select(*[F.col(f"`{k}`") for k in keys])
+    names, taken = [], {n.lower() for n in (*added, *(k for k in keys if k.lower() not in {a.lower() for a in added}))}
+    for key in keys:
+        name = key
+        if key.lower() in {a.lower() for a in added}:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        names.append(name)
+    held = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    chosen = df.select(*held)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields)
-    if kind == "string" and column in keys and dict(chosen.dtypes)[column] == "string":
+    if kind == "string" and column in keys and df.select(F.col(f"`{column}`")).dtypes[0][1] == "string":
         return chosen, kinds, keys.index(column)
-    work = F.col(f"`{column}`").cast(kind).alias(fresh(chosen, "work_on"))
-    return df.select(*[F.col(f"`{k}`") for k in keys], work), kinds, len(keys)
+    return df.select(*held, F.col(f"`{column}`").cast(kind).alias(fresh(chosen, "work_on"))), kinds, len(keys)
 
 
 def pin_splits(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.sharding import range_of, splitters_of
@@ -133,6 +133,12 @@ def _written(folder: str, roll: int):
     return run
 
 
+def _tie() -> Column:
+    """The digest's leading 60 bits: rows of one id are ranged by their payloads, so an id that a third of all rows share is cut
+    like any other stretch, and the order of ranges is that of (id, digest)."""
+    return F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+
+
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, least: int = MIN_SHARDS) -> DataFrame:
     """Write a record for every row (page_id, url, html) below ``folder``; the manifest of the files.
 
@@ -140,6 +146,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, least: int
     and the others revisit it; shorter ones are all responses. Where the largest id repeats, the first of its rows by
     url is the response. A null html is an empty payload, a null url leaves out its header. A null page id stands
     below all others. Only ids and digests are grouped to find equal payloads; each page is moved once.
+    Rows alike in both id and payload stay together: the second and later ones are revisits of a few hundred bytes, or short records.
     Other columns are not written. An empty table writes nothing. ``folder`` must be a URI or an absolute path that
     all executors reach.
     """
@@ -149,7 +156,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, least: int
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     keys = stored(rows.select("page_id", "digest", F.octet_length("html").alias("bytes")), "page-keys")
-    splitters, _ = splitters_of(keys.withColumn("tie", F.lit(0)), "page_id", "tie", "bytes", least)
+    splitters, _ = splitters_of(keys.withColumn("tie", _tie()), "page_id", "tie", "bytes", least)
     shards = len(splitters[0]) + 1
     leads = keys.where(F.col("bytes") >= MIN_SHARED).groupBy("digest").agg(
         F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
@@ -157,7 +164,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, least: int
     place = range_of(splitters)
     both = rows.select("page_id", "digest", F.lit(1).alias("order"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(
         marks.select("page_id", "digest", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "refers_to"))
-    both = both.select(place(F.col("page_id"), F.lit(0)).cast("int").alias("shard"), *both.columns)
+    both = both.select(place(F.col("page_id"), _tie()).cast("int").alias("shard"), *both.columns)
     both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "order", "url")
     _make_folder(spark, folder)
     return stored(both.mapInArrow(_written(folder, roll), MANIFEST), "warc-manifest")
