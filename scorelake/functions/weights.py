@@ -31,10 +31,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def draws(state: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Draws of the streams ``first`` to ``last`` - 1 (down) of rows with these states (across)."""
+    streams = ((np.arange(first, last, dtype=np.uint64) * np.uint64(STREAM_STEP)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _mixed(streams[:, None] + state.astype(np.uint32)[None, :])
+
+
 def weights(state: np.ndarray, first: int, last: int) -> np.ndarray:
     """Weights in rounds ``first`` to ``last`` - 1 (down) of rows with these states (across)."""
-    streams = ((np.arange(first, last, dtype=np.uint64) * np.uint64(STREAM_STEP)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    drawn = _mixed(streams[:, None] + state.astype(np.uint32)[None, :])
+    drawn = draws(state, first, last)
     out = (drawn >= LIMITS[0]).view(np.uint8)
     for limit in LIMITS[1:COMMON]:
         out += (drawn >= limit).view(np.uint8)

@@ -83,18 +83,74 @@ def _chrf_value(counts: Sequence[float]) -> float:
     return (1 + CHRF_BETA**2) * precision * recall / (CHRF_BETA**2 * precision + recall)
 
 
-def _edit_table(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
-    """Edit distances between all prefixes, one vector step per word of ``a``."""
-    a_arr, b_arr = np.asarray(a), np.asarray(b)
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    table[0] = np.arange(len(b) + 1)
-    columns = np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        row = np.empty(len(b) + 1, dtype=np.int32)
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (b_arr != a_arr[i - 1]))
-        table[i] = np.minimum.accumulate(row - columns) + columns
-    return table
+#: Cells of edit tables worked on side by side.
+CELLS = 1 << 20
+#: Above every distance.
+FAR = 1 << 28
+
+Pair = tuple[list[int], list[int]]
+
+
+def _stacked(sequences: Sequence[Sequence[int]], fill: int) -> np.ndarray:
+    out = np.full((len(sequences), max(map(len, sequences), default=0)), fill, np.int32)
+    for row, held in zip(out, sequences):
+        row[:len(held)] = held
+    return out
+
+
+def _steps(row: np.ndarray, words: np.ndarray, sizes: np.ndarray, refs: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of edit tables, all side by side, after each word of ``words``. Longest sequences come first; those that have ended
+    keep their last row. ``row`` is changed in place."""
+    columns = np.arange(row.shape[1], dtype=np.int32)
+    for step in range(words.shape[1]):
+        n = int(np.searchsorted(-sizes, -step, side="left"))
+        part = row[:n]
+        new = np.empty_like(part)
+        new[:, 0] = part[:, 0] + 1
+        new[:, 1:] = np.minimum(part[:, 1:] + 1, part[:, :-1] + (refs[:n] != words[:n, step, None]))
+        row[:n] = np.minimum.accumulate(new - columns, axis=1) + columns
+        yield row
+
+
+def _tables(pairs: Sequence[Pair]) -> list[np.ndarray]:
+    """Edit distances between all prefixes of each pair."""
+    out: list[np.ndarray] = [np.empty(0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (-len(pairs[i][0]), len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        widest, n = 0, 0
+        while at + n < len(order):
+            widest = max(widest, len(pairs[order[at + n]][1]))
+            if n and (n + 1) * (widest + 1) * (len(pairs[order[at]][0]) + 1) > CELLS:
+                break
+            n += 1
+        own = order[at:at + n]
+        words, refs = _stacked([pairs[i][0] for i in own], -1), _stacked([pairs[i][1] for i in own], -2)
+        whole = np.empty((words.shape[1] + 1, len(own), refs.shape[1] + 1), np.int32)
+        whole[0] = np.arange(refs.shape[1] + 1)
+        for step, after in enumerate(_steps(whole[0].copy(), words, np.array([len(pairs[i][0]) for i in own]), refs), 1):
+            whole[step] = after
+        for k, i in enumerate(own):
+            out[i] = whole[:len(pairs[i][0]) + 1, k, :len(pairs[i][1]) + 1]
+        at += n
+    return out
+
+
+def _spliced(starts: list[np.ndarray], words: list[list[int]], refs: list[list[int]], ends: list[np.ndarray]) -> np.ndarray:
+    """Edit distances of sequences that differ from known ones in a stretch only: ``starts`` are the rows before it, ``words`` the
+    stretch, ``ends`` the distances from every column to the end after it."""
+    out = np.empty(len(words), np.int64)
+    order = sorted(range(len(words)), key=lambda i: (-len(words[i]), len(refs[i])))
+    widest = max(map(len, refs)) + 1
+    step = max(1, CELLS // widest)
+    for at in range(0, len(order), step):
+        own = order[at:at + step]
+        held, goal = _stacked([words[i] for i in own], -1), _stacked([refs[i] for i in own], -2)
+        row, end = _stacked([starts[i] for i in own], FAR), _stacked([ends[i] for i in own], FAR)
+        for _ in _steps(row, held, np.array([len(words[i]) for i in own]), goal):
+            pass
+        out[own] = (row.astype(np.int64) + end).min(axis=1)
+    return out
 
 
 # Limits of the shift search in the published TER procedure.
@@ -121,68 +177,113 @@ def _alignment(table: np.ndarray, hyp: Sequence[int], ref: Sequence[int]) -> tup
     return hyp_wrong, ref_wrong, at
 
 
-def _best_shift(hyp: list[int], ref: list[int], table: np.ndarray) -> tuple[int, list[int]]:
-    """The phrase move that saves most edits: a wrong hypothesis phrase that stands wrong in the reference too."""
-    base = int(table[-1, -1])
+def _shifts(hyp: list[int], ref: list[int], table: np.ndarray) -> list[tuple[int, int, int]]:
+    """(length, start, where it goes) of every phrase that may move: one that stands wrong both here and in the reference."""
     hyp_wrong, ref_wrong, at = _alignment(table, hyp, ref)
     places: dict[int, list[int]] = {}
     for j, word in enumerate(ref):
         places.setdefault(word, []).append(j)
-    best = (0, 0, 0, 0, hyp)
+    out = []
     for start in range(len(hyp)):
         for j in places.get(hyp[start], ()):
             if abs(j - start) > MAX_SHIFT_DISTANCE:
                 continue
-            length = 0
-            while (
-                length < MAX_SHIFT_SIZE and start + length < len(hyp) and j + length < len(ref)
-                and hyp[start + length] == ref[j + length]
-            ):
+            length, wrong_here, wrong_there = 0, False, False
+            while length < MAX_SHIFT_SIZE and start + length < len(hyp) and j + length < len(ref) and hyp[start + length] == ref[j + length]:
+                wrong_here |= hyp_wrong[start + length]
+                wrong_there |= ref_wrong[j + length]
                 length += 1
-                span = range(length)
-                if not any(hyp_wrong[start + s] for s in span) or not any(ref_wrong[j + s] for s in span):
-                    continue
-                target = at[j]
-                if start <= target < start + length:
-                    continue
-                phrase = hyp[start : start + length]
-                rest = hyp[:start] + hyp[start + length :]
-                goes = (target + 1) if target < start else (target + 1 - length)
-                moved = rest[:goes] + phrase + rest[goes:]
-                if moved == hyp:
-                    continue
-                saved = base - int(_edit_table(moved, ref)[-1, -1])
-                rank = (saved, length, -start, -goes, moved)
-                if rank[:4] > best[:4]:
-                    best = rank
-    return best[0], best[4]
+                if wrong_here and wrong_there and not start <= at[j] < start + length:
+                    out.append((length, start, (at[j] + 1) if at[j] < start else (at[j] + 1 - length)))
+    return out
+
+
+def _moved(hyp: list[int], length: int, start: int, goes: int) -> list[int]:
+    rest = hyp[:start] + hyp[start + length:]
+    return rest[:goes] + hyp[start:start + length] + rest[goes:]
+
+
+def _best_shifts(pairs: Sequence[Pair], tables: Sequence[np.ndarray]) -> list[tuple[int, list[int]]]:
+    """For each pair the phrase move that saves most edits. What stands before and after the words that a move changes is not
+    worked out again: the table of the pair gives the distances up to there, that of the pair read backwards those from there."""
+    back = _tables([(hyp[::-1], ref[::-1]) for hyp, ref in pairs])
+    known: dict[tuple, int] = {}
+    starts, words, refs, ends, moves = [], [], [], [], []
+    for k, ((hyp, ref), table) in enumerate(zip(pairs, tables)):
+        for length, start, goes in _shifts(hyp, ref, table):
+            moved = _moved(hyp, length, start, goes)
+            if moved == hyp:
+                continue
+            # A place behind the last word, or before the first, counts as there.
+            place = min(max(goes if goes >= 0 else len(hyp) - length + goes, 0), len(hyp) - length)
+            low, high = min(start, place), max(start, place) + length
+            key = (k, low, high, tuple(moved[low:high]))
+            if key not in known:
+                known[key] = len(words)
+                starts.append(table[low])
+                words.append(moved[low:high])
+                refs.append(ref)
+                ends.append(back[k][len(hyp) - high][::-1])
+            moves.append((k, length, start, goes, known[key]))
+    best = [(0, 0, 0, 0)] * len(pairs)
+    if moves:
+        distance = _spliced(starts, words, refs, ends)
+        for k, length, start, goes, at in moves:
+            best[k] = max(best[k], (int(tables[k][-1, -1]) - int(distance[at]), length, -start, -goes))
+    return [(saved, _moved(hyp, length, -start, -goes) if saved > 0 else hyp)
+            for (saved, length, start, goes), (hyp, _) in zip(best, pairs)]
+
+
+def _ter_edits_of(texts: Sequence[tuple[Sequence[str], Sequence[str]]]) -> list[int]:
+    """Shifts plus edits of many (hypothesis, reference) pairs by the greedy search, side by side. Meant for sentences: the cost
+    grows with the square of the length."""
+    pairs: list[Pair] = []
+    for pred, ref in texts:
+        ids: dict[str, int] = {}
+        pairs.append(([ids.setdefault(w, len(ids)) for w in pred], [ids.setdefault(w, len(ids)) for w in ref]))
+    shifts, edits = [0] * len(pairs), [len(hyp) for hyp, _ in pairs]
+    active = [i for i, (_, ref) in enumerate(pairs) if ref]
+    while active:
+        tables = _tables([pairs[i] for i in active])
+        held = []
+        for i, table in zip(active, tables):
+            edits[i] = int(table[-1, -1])
+            if edits[i]:
+                held.append((i, table))
+        active = []
+        for (i, _), (saved, moved) in zip(held, _best_shifts([pairs[i] for i, _ in held], [t for _, t in held])):
+            if saved > 0:
+                shifts[i] += 1
+                pairs[i] = moved, pairs[i][1]
+                active.append(i)
+    return [a + b for a, b in zip(shifts, edits)]
 
 
 def _ter_edits(pred: Sequence[str], ref: Sequence[str]) -> int:
-    """Shifts plus edits by the greedy search. Meant for sentences: cost grows with the square of the length."""
-    ids: dict[str, int] = {}
-    hyp = [ids.setdefault(w, len(ids)) for w in pred]
-    goal = [ids.setdefault(w, len(ids)) for w in ref]
-    if not goal:
-        return len(hyp)
-    shifts = 0
-    table = _edit_table(hyp, goal)
-    while table[-1, -1]:
-        saved, moved = _best_shift(hyp, goal, table)
-        if saved <= 0:
-            break
-        shifts, hyp = shifts + 1, moved
-        table = _edit_table(hyp, goal)
-    return shifts + int(table[-1, -1])
-
-
-def _ter_counts(pred: str, refs: Sequence[str]) -> list[float]:
-    words = pred.lower().split()
-    ref_words = [r.lower().split() for r in refs]
-    return [min(_ter_edits(words, r) for r in ref_words), sum(len(r) for r in ref_words) / len(ref_words)]
-
-
-COUNTERS = {"bleu": _bleu_counts, "chrf": _chrf_counts, "ter": _ter_counts}
+    return _ter_edits_of([(pred, ref)])[0]
+
+
+#: Texts whose shifts are searched side by side.
+TEXTS = 256
+
+
+def _ter_counts(preds: Sequence[str], refs: Sequence[Sequence[str]]) -> list[list[float]]:
+    """Fewest edits against any reference, and the references' mean length, of each row."""
+    out: list[list[float]] = []
+    for low in range(0, len(preds), TEXTS):
+        words = [p.lower().split() for p in preds[low:low + TEXTS]]
+        goals = [[r.lower().split() for r in own] for own in refs[low:low + TEXTS]]
+        edits = iter(_ter_edits_of([(w, g) for w, own in zip(words, goals) for g in own]))
+        out += [[float(min(next(edits) for _ in own)), sum(map(len, own)) / len(own)] for own in goals]
+    return out
+
+
+def _each(counter):
+    """A counter of one row for many."""
+    return lambda preds, refs: [counter(p, r) for p, r in zip(preds, refs)]
+
+
+COUNTERS = {"bleu": _each(_bleu_counts), "chrf": _each(_chrf_counts), "ter": _ter_counts}
 WIDTHS = {"bleu": 2 + 2 * BLEU_ORDER, "chrf": 3 * CHRF_ORDER, "ter": 2}
 
 
@@ -199,7 +300,7 @@ def row_counts(df: DataFrame, metric: str, pred: Column, refs: Column, keep: Seq
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [counter(p, list(r)) for p, r in zip(batch["_pred"], batch["_refs"])]
+            counts = counter(batch["_pred"].tolist(), [list(r) for r in batch["_refs"]])
             table = pd.DataFrame(counts, columns=names, index=batch.index).astype("float64")
             yield pd.concat([batch[list(keep)], table], axis=1)
 

@@ -338,5 +338,29 @@ def corpus_chrf(spark, sf_dir):
 # Shift search has no SQL form; tests check it against brute force.
 @query("corpus_ter")
 def corpus_ter(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_type", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("pred"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("ref"))
-    return rounded(translation.corpus_score(rows, "ter", F.col("pred"), F.array("ref"), ["p_type"]))
+    rows = derived(spark, sf_dir, TURNS, heavy=True)
+    return rounded(translation.corpus_score(rows, "ter", F.col("pred"), F.array("ref")))
+
+
+@query("corpus_ter_by_bounds", f"""
+WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(pred), '\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(ref), '\s+'), lambda x: x <> '') AS r FROM ({TURNS_SQL})),
+k AS (SELECT *, conv_id % 5 AS part FROM w),
+a AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS x FROM k) GROUP BY ALL), b AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(r) AS x FROM k) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (conv_id, turn, x) GROUP BY ALL)
+SELECT part, sum(greatest(len(p), len(r)) - coalesce(shared, 0))::BIGINT AS least_edits, sum(greatest(len(p), len(r)))::BIGINT AS most_edits, sum(len(r))::BIGINT AS ref_words, true AS inside
+FROM k LEFT JOIN c USING (conv_id, turn) GROUP BY 1""")
+def corpus_ter_by_bounds(spark, sf_dir):
+    """TER between what no order of words can go below, the words not shared, and what replacing every word costs."""
+    rows = derived(spark, sf_dir, TURNS, heavy=True).withColumn("part", F.col("conv_id") % 5)
+    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    worded = rows.select("part", split(F.col("pred")).alias("p"), split(F.col("ref")).alias("r"))
+    at = lambda left, x: F.array_position(left, x).cast("int")
+    without = lambda left, x: F.concat(F.slice(left, F.lit(1), at(left, x) - 1), F.slice(left, at(left, x) + 1, F.size(left)))
+    # Every word of p takes its like out of r; what is gone is shared.
+    shared = F.size("r") - F.size(F.aggregate("p", F.col("r"), lambda left, x: F.when(at(left, x) > 0, without(left, x)).otherwise(left)))
+    longer = F.greatest(F.size("p"), F.size("r"))
+    bounds = worded.groupBy("part").agg(F.sum(longer - shared).alias("least_edits"), F.sum(longer).alias("most_edits"), F.sum(F.size("r")).alias("ref_words"))
+    score = translation.corpus_score(rows, "ter", F.col("pred"), F.array("ref"), ["part"])
+    edits = F.col("ter") * F.col("ref_words") / 100
+    return joined_null_safe(bounds, score, ["part"]).select(
+        "part", "least_edits", "most_edits", "ref_words", ((edits >= F.col("least_edits") - 1e-6) & (edits <= F.col("most_edits") + 1e-6)).alias("inside"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import weights as W
 from scorelake.functions.draws import SEED, key_state, poisson_one, uniform_from
-from scorelake.operators import stats
+from scorelake.functions.scoring import METRICS, with_scores
+from scorelake.operators import baseline, stats
 
 
 def test_weights_are_those_of_the_draws(spark):
@@ -81,3 +82,30 @@ def test_middle_needs_no_sort_of_all_rows(spark):
     plan = stats.middle_in_order(df, "v", ["id"])._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan.lower()
     assert stats.middle_in_order(df.limit(0), "v", ["id"]).collect() == []
+
+
+def test_random_scores_are_those_of_the_drawn_boxes(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        x, y = sorted((rng.random(), rng.random())), sorted((rng.random(), rng.random()))
+        rows.append((i, "k", [x[0], y[0], x[1], y[1]], [rng.randint(1, 40), rng.randint(1, 40)]))
+    rows += [(60, "k", [0.5, 0.5, 0.5, 0.5], [9, 9]), (61, None, None, [9, 9]), (62, "k", [0.1], [9, 9]), (63, "k", [0.0, 0.0, 1.0, 1.0], [None, 9]),
+             (64, "k", [0.0, None, 1.0, 1.0], [9, 9]), (65, "k", [0.0, 0.0, 1.0, 1.0], None), (None, "k", [0.0, 0.0, 1.0, 1.0], [5, 5])]
+    df = spark.createDataFrame(rows, "id bigint, g string, target array<double>, image_size_2d array<int>").repartition(3)
+    got = {r.id: r for r in baseline.random_scores(df, "id", ["g"], 30).collect()}
+    drawn = df.select("id", "target", F.get("image_size_2d", F.lit(0)).alias("_ih"), F.get("image_size_2d", F.lit(1)).alias("_iw"), key_state(F.col("id"), SEED).alias("_state"))
+    placed = baseline.with_random_box(drawn.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(29)))))
+    scored = with_scores(placed, F.col("_box"), F.col("target"), "Detection").groupBy("id").agg(*[F.avg(m).alias(m) for m in METRICS["Detection"]])
+    want = {r.id: r for r in scored.collect()}
+    assert set(got) == set(want)
+    for i, r in want.items():
+        if i in (63, 64, 65):  # an image or a target of unknown size
+            assert [got[i][m] for m in METRICS["Detection"]] == [None, 0.0, 0.0, 0.0, 0.0]
+            continue
+        for m in METRICS["Detection"]:
+            assert got[i][m] == (None if r[m] is None else pytest.approx(r[m], abs=1e-9)), (i, m)
+    assert got[61].g is None and got[61].success is True
+    assert "Exchange" not in baseline.random_scores(df.coalesce(1), "id")._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
+    with pytest.raises(Exception, match="no pixels"):
+        baseline.random_scores(df.withColumn("image_size_2d", F.array(F.lit(0), F.lit(3))), "id").collect()
