@@ -206,7 +206,6 @@ def answered_from_cache(
     met = requests.withColumn("_key", F.when(reusable, F.col(key))).join(
         known.withColumnRenamed(key, "_known"), F.col("_key") == F.col("_known"), "left"
     ).drop("_key", "_known")
-    met = durable(met)
     return met.filter("_hit").drop("_hit"), met.filter("_hit is null").drop("_hit", "response")
 
 

@@ -89,7 +89,7 @@ def middle_in_order(df: DataFrame, value: str, order: Sequence[str], by: Sequenc
 
 
 #: Rows of a group that are ranked at once; larger groups are narrowed down first.
-RANKED_ROWS = 10_000
+RANKED_ROWS = 200_000
 #: Keys of a group that its bounds are taken from, and how far on either side of the place sought, in deviations.
 SAMPLED_KEYS, BOUND_DEVIATIONS = 4096, 4.0
 

@@ -194,10 +194,10 @@ SELECT turn, count(*) FILTER (WHERE NOT sampled AND first_turn < turn) AS hits,
 def response_store(spark, sf_dir):
     """Requests in four turns: what earlier turns answered is found in the store, what is new is run and added to it."""
     number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    requests = table(spark, sf_dir, "lineitem").select(
+    requests = durable(table(spark, sf_dir, "lineitem").select(
         number.alias("request_id"), (F.col("l_quantity") > 45).alias("sampled"), (F.col("l_orderkey") % 4).alias("turn"),
         assembly.request_hash(F.lit("generate"), F.col("l_partkey"), F.col("l_suppkey")).alias("request_hash"),
-    )
+    ))
     store = keyed.KeyedStore(spark, scratch_path(spark, "responses"), "request_hash string, response string", digits=1)
     counts = None
     for turn in range(4):

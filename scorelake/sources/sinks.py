@@ -42,9 +42,17 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").option("nullValue", "NaN").csv(path)
 
 
+#: Lines up to which a report is one file, written by one task.
+REPORT_LINES = 100_000
+
+
 def write_report(lines: DataFrame, path: str, order: Sequence[Column], line: str = "line") -> None:
-    """Report lines as one text file in order: a line per group of a summary."""
-    lines.orderBy(*order).select(line).coalesce(1).write.mode("overwrite").text(path)
+    """Report lines in order, a line per group of a summary: one text file up to ``REPORT_LINES``, beyond that part files which
+    are in order by name and are sorted and written side by side."""
+    ordered = lines.orderBy(*order).select(line)
+    if lines.limit(REPORT_LINES + 1).count() <= REPORT_LINES:
+        ordered = ordered.coalesce(1)
+    ordered.write.mode("overwrite").text(path)
 
 
 def sample_lines(samples: DataFrame) -> DataFrame:

@@ -194,3 +194,13 @@ def test_running_summary(spark, task_dir):
         incremental.running_summary(scored, ["model"], totals, out, check)
         r = incremental.current_summary(spark, out, ["model"]).first()
         assert (r["n"], r["ok"]) == want
+
+
+def test_long_reports_are_parts_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "REPORT_LINES", 50)
+    for n in (50, 51):
+        lines = spark.range(n).select("id", F.format_string("line %03d", "id").alias("line")).repartition(4)
+        sinks.write_report(lines, f"{tmp_path}/r{n}", [F.col("id")])
+        parts = sorted((tmp_path / f"r{n}").glob("part-*"))
+        assert len(parts) == 1 or n == 51  # small parts may be merged
+        assert "".join(p.read_text() for p in parts).split("\n")[:-1] == [f"line {i:03d}" for i in range(n)]
