@@ -113,12 +113,15 @@ def aggregated_by_task(rows: DataFrame, task: str, columns: Sequence[str], name:
     return _together(found) if found else rows.limit(0).select(*group, F.lit(None).cast(kind).alias(name))
 
 
-def with_own_functions(rows: DataFrame, task: str, target_of: Sequence[str], score_of: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def with_own_functions(rows: DataFrame, task: str, target_of: Sequence[str], score_of: Sequence[str], by: Sequence[str] = (),
+                       tasks: Sequence[str] | None = None) -> DataFrame:
     """Target, score and aggregate of every row's own task: (by, task, value, rows). ``target_of`` names the columns a target
-    comes from, ``score_of`` those a score compares with it; a task without an aggregation takes the mean. Rows are dealt once."""
+    comes from, ``score_of`` those a score compares with it; a task without an aggregation takes the mean. Rows are dealt once.
+    ``tasks`` are those whose functions read such columns, all that are registered unless told; others have none."""
     group, parts = list(dict.fromkeys([*by, task])), []
     narrow = rows.select(*dict.fromkeys([*group, *target_of, *score_of]))
-    for own, part in dealt(narrow, task, tasks_of("target", "score", "aggregation")):
+    known = tasks_of("target", "score", "aggregation") if tasks is None else sorted(tasks)
+    for own, part in dealt(narrow, task, known):
         scored = part.withColumn("_target", _column("target", task, own, [F.col(c) for c in target_of], "double", None))
         scored = scored.withColumn("_score", _column("score", task, own, [F.col("_target"), *[F.col(c) for c in score_of]], "double", None))
         parts.append(_aggregate(scored, task, own, ["_score"], "value", group, "double", F.avg, {"rows": F.count("*")}))

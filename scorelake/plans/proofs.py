@@ -43,7 +43,7 @@ def functions_of_many_tasks(spark, sf_dir):
     name = F.concat(F.lit("unit_"), F.lpad((F.col("l_partkey") % (TASKS + 20)).cast("string"), 3, "0"))
     rows = table(spark, sf_dir, "lineitem").select(
         name.alias("task"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice").cast("double") / 1000).alias("b"))
-    return rounded(dispatch.with_own_functions(rows, "task", ["a"], ["b"]))
+    return rounded(dispatch.with_own_functions(rows, "task", ["a"], ["b"], tasks=[f"unit_{k:03d}" for k in range(TASKS)]))
 
 
 # ---- metrics and settings of tasks ----

@@ -343,7 +343,7 @@ def corpus_ter(spark, sf_dir):
 
 
 @query("corpus_ter_by_bounds", f"""
-WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(pred), '\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(ref), '\s+'), lambda x: x <> '') AS r FROM ({TURNS_SQL})),
+WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(pred), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(ref), '\\s+'), lambda x: x <> '') AS r FROM ({TURNS_SQL})),
 k AS (SELECT *, conv_id % 5 AS part FROM w),
 a AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS x FROM k) GROUP BY ALL), b AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(r) AS x FROM k) GROUP BY ALL),
 c AS (SELECT conv_id, turn, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (conv_id, turn, x) GROUP BY ALL)
