@@ -33,14 +33,19 @@ def draws(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) * _A) ^ mix(first))
 
 
+#: Numbers of a seed kept for the next call, 4 MB; those for a longer text are let go with it.
+KEPT_NUMBERS = 1 << 19
 _TABLES: dict[int, np.ndarray] = {}
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:
-    """At least ``n`` of a seed's numbers, kept for the next call."""
-    if seed not in _TABLES or len(_TABLES[seed]) < n:
-        _TABLES[seed] = draws(max(4096, 2 * n), seed)
-    return _TABLES[seed]
+    """At least ``n`` of a seed's numbers."""
+    held = _TABLES.get(seed)
+    if held is None or len(held) < n:
+        held = draws(max(4096, 2 * n if 2 * n <= KEPT_NUMBERS else n), seed)
+        if len(held) <= KEPT_NUMBERS:
+            _TABLES[seed] = held
+    return held
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,33 +102,40 @@ def gaps(data: np.ndarray) -> np.ndarray:
 
 
 _BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
-_POWERS: dict[int, list[np.ndarray]] = {}
+#: Powers kept for the next call, 8 MB of each kind; those for a longer text are let go with it.
+KEPT_POWERS = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int, base: int = 0) -> list[np.ndarray]:
-    """Powers of one of two odd bases and of its inverse, modulo 2^64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
+def _powers(n: int, factor: int) -> np.ndarray:
+    """At least ``n`` powers of an odd number, modulo 2^64."""
+    held = _POWERS.get(factor)
+    if held is None or len(held) < n:
         size = max(SLICE_BYTES, n)
-        held = []
-        for factor in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
-            out = np.ones(1, np.uint64)
-            while len(out) < size:
-                out = np.concatenate((out, out * np.array([pow(factor, len(out), 1 << 64)], np.uint64)))
-            held.append(out)
-        _POWERS[base] = held
-    return _POWERS[base]
+        held = np.ones(1 << (size - 1).bit_length(), np.uint64)
+        done = 1
+        while done < len(held):
+            held[done:2 * done] = held[:done] * np.array([pow(factor, done, 1 << 64)], np.uint64)
+            done *= 2
+        if len(held) <= KEPT_POWERS:
+            _POWERS[factor] = held
+    return held
+
+
+def _inverse(base: int) -> int:
+    return pow(_BASES[base], -1, 1 << 64)
 
 
 def byte_sums(data: np.ndarray, base: int = 0) -> np.ndarray:
     """Running sums of bytes times powers, from which the hash of any run of bytes follows."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * _powers(len(data), base)[0][:len(data)], dtype=np.uint64, out=total[1:])
+    np.cumsum(data * _powers(len(data), _BASES[base])[:len(data)], dtype=np.uint64, out=total[1:])
     return total
 
 
 def run_hashes(total: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int = 0) -> np.ndarray:
     """Hash of the bytes of each run, wherever it stands."""
-    inverse = _powers(len(total), base)[1]
+    inverse = _powers(len(total), _inverse(base))
     return mix((total[stop] - total[start]) * inverse[start] ^ ((stop - start).astype(np.uint64) * _A))
 
 
