@@ -33,8 +33,8 @@ def draws(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) * _A) ^ mix(first))
 
 
-#: Numbers of a seed kept for the next call, 4 MB; those for a longer text are let go with it.
-KEPT_NUMBERS = 1 << 19
+#: Numbers of a seed kept for the next call, 1 MB; those for a longer text are let go with it.
+KEPT_NUMBERS = 1 << 17
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -102,8 +102,8 @@ def gaps(data: np.ndarray) -> np.ndarray:
 
 
 _BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
-#: Powers kept for the next call, 8 MB of each kind; those for a longer text are let go with it.
-KEPT_POWERS = 1 << 20
+#: Powers kept for the next call, 2 MB of each kind; those for a longer text are let go with it.
+KEPT_POWERS = SLICE_BYTES
 _POWERS: dict[int, np.ndarray] = {}
 
 
