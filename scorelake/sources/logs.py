@@ -44,11 +44,16 @@ def logical_path(path: Column) -> Column:
 
 
 def file_attributes(path: Column) -> dict[str, Column]:
-    """Model and file name of a logical path."""
-    return {
-        "model": F.regexp_extract(path, r"([^/]+)/(?:parsed/)?[^/]+$", 1),
-        "file_name": F.element_at(F.split(path, "/"), -1),
-    }
+    """Model and file name of a logical path: the model is the folder of the file, or the one above if that is ``parsed``. By the
+    parts of the path, as a search in the whole path tries every pair of places in it, for every line."""
+    parts = F.split(path, "/")
+    size = F.size(parts)
+
+    def part(back: int) -> Column:
+        return F.coalesce(F.get(parts, size - back), F.lit(""))
+
+    model = F.when(part(1) == "", "").when((part(2) == "parsed") & (part(3) != ""), part(3)).otherwise(part(2))
+    return {"model": F.when(path.isNotNull(), model), "file_name": F.element_at(parts, -1)}
 
 
 def read_lines(spark: SparkSession, pattern: str | list[str]) -> DataFrame:

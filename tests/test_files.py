@@ -204,3 +204,29 @@ def test_long_reports_are_parts_in_order(spark, tmp_path, monkeypatch):
         parts = sorted((tmp_path / f"r{n}").glob("part-*"))
         assert len(parts) == 1 or n == 51  # small parts may be merged
         assert "".join(p.read_text() for p in parts).split("\n")[:-1] == [f"line {i:03d}" for i in range(n)]
+
+
+def test_attributes_of_every_shape_of_path(spark):
+    paths = ["/a/b/m/x.jsonl", "m/x", "x", "", "/", "/x", "a/", "a//x", "m/parsed/x", "parsed/x", "/parsed/x", "a/parsed/parsed/x", "m/parsed/", "//parsed/x", "m/x y.jsonl", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    found = df.select("p", F.regexp_extract("p", r"([^/]+)/(?:parsed/)?[^/]+$", 1).alias("want"), *[c.alias(n) for n, c in logs.file_attributes(F.col("p")).items()])
+    for r in found.collect():
+        assert r.model == r.want and r.file_name == (None if r.p is None else r.p.split("/")[-1]), r.p
+    # A search for the model from every place of the path took most of the time of reading a log.
+    assert "regexp_extract" not in df.select(logs.file_attributes(F.col("p"))["model"])._jdf.queryExecution().toString()
+
+
+def test_batches_of_logs_are_written_by_many_tasks(spark, monkeypatch):
+    from scorelake.plans import files
+
+    class Seen(Exception):
+        pass
+
+    def write_logs(lines, *_):
+        raise Seen(lines.rdd.getNumPartitions())
+
+    monkeypatch.setattr(files.sinks, "write_logs", write_logs)
+    monkeypatch.setattr(files, "log_lines", lambda *_: spark.range(100, numPartitions=4).withColumnRenamed("id", "doc_id"))
+    with pytest.raises(Seen) as seen:
+        files.summary_of_compacted_batches(spark, "")
+    assert seen.value.args == (4,)
