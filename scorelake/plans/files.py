@@ -164,7 +164,7 @@ def summary_of_compacted_batches(spark, sf_dir):
     lines = log_lines(spark, sf_dir)
     totals = {"num_samples": F.count("*"), "sum_mae": F.sum("mae"), "valid": F.count("mae")}
     for turn in range(8):
-        sinks.write_logs(lines.filter(F.col("doc_id") % 8 == turn).coalesce(1), root)
+        sinks.write_logs(lines.filter(F.col("doc_id") % 8 == turn), root)
         scored = incremental.scored_lines(incremental.stream_lines(spark, f"{root}/*/*.jsonl"), "Detection")
         incremental.running_summary(scored, ["model"], totals, out, checkpoint, compact_every=3)
     current = incremental.current_summary(spark, out, ["model"])
