@@ -57,3 +57,12 @@ def add_resampled(sums: np.ndarray, state: np.ndarray, values: np.ndarray) -> No
         for first in range(0, rounds, step):
             last = min(first + step, rounds)
             sums[first:last] += weights(own, first, last).astype(np.float64) @ held
+
+
+def add_picked(sums: np.ndarray, pool: np.ndarray, state: int) -> None:
+    """Add to every round of ``sums`` the row of ``pool`` that a draw of this state and round picks."""
+    rounds = len(sums)
+    for first in range(0, rounds, BLOCK):
+        last = min(first + BLOCK, rounds)
+        drawn = draws(np.array([state], np.uint32), first, last)[:, 0].astype(np.uint64)
+        sums[first:last] += pool[((drawn * np.uint64(len(pool))) >> np.uint64(32)).astype(np.intp)]

@@ -191,7 +191,7 @@ SELECT event_type, count(*) AS n, round(exp(avg(value) / 1000) * stddev_pop(valu
 def bootstrap_of_perplexity(spark, sf_dir):
     """All events resampled in every round, against the delta method's error, which so many rows come close to."""
     rows = table(spark, sf_dir, "events", heavy=True).select("event_id", "event_type", "value")
-    errors = stats.bootstrap_stderr(rows, {"total": F.col("value")}, F.exp(F.col("total") / F.col("resampled") / 1000), "event_id", ITERATIONS, by=["event_type"])
+    errors = stats.bootstrap_stderr(rows, {"total": F.col("value")}, F.exp(F.col("total") / F.col("resampled") / 1000), "event_id", ITERATIONS, by=["event_type"], pooled=True)
     mean = F.exp(F.avg("value") / 1000)
     closed = rows.groupBy("event_type").agg(F.count("*").alias("n"), (mean * F.stddev_pop("value") / 1000 / F.sqrt(F.count("*"))).alias("closed_stderr"))
     return rounded(joined_null_safe(errors, closed, ["event_type"]).select(

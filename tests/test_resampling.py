@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -53,6 +54,47 @@ def test_resampled_sums_of_hot_null_and_tiny_groups(spark, monkeypatch, held):
         assert got[key][0] == n and got[key][2] == u and (got[key][1] == pytest.approx(t or 0, abs=1e-9) if known else got[key][1] is None)
 
 
+def test_pooled_rounds_resample_every_row(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SHARES", 5)
+    monkeypatch.setattr(stats, "POOL", 64)
+    monkeypatch.setattr(stats, "ROUNDS_OUT", 100)
+    rng = random.Random(5)
+    rows = [(i % 290 if i % 50 else None, rng.choice(["a", "b", None]), rng.gauss(0, 1) if i % 3 else None) for i in range(300)] + [(7, "unknown", None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v double").repartition(3)
+    got = {(r.g, r.iteration): (r.resampled, r.t) for r in stats.pooled_totals(df, {"t": F.col("v")}, "id", 250, ["g"]).collect()}
+    state = {r.id: r.s for r in df.select("id", key_state(F.col("id"), SEED).alias("s")).collect()}
+    picks = {}
+    for share in range(5):
+        sums = np.zeros((250, 1))
+        W.add_picked(sums, np.arange(64.0)[:, None], zlib.crc32(f"{SEED} {share}".encode()))
+        picks[share] = sums[:, 0].astype(int)
+    want = {}
+    for i, g, v in rows:
+        drawn = W.weights(np.array([state[i]], np.uint32), 0, 64)[:, 0]
+        for it in range(250):
+            n, t = want.get((g, it), (0, 0.0))
+            w = int(drawn[picks[state[i] % 5][it]])
+            want[g, it] = n + w, t + w * (v or 0)
+    want = {k: x for k, x in want.items() if x[0]}
+    assert set(got) == set(want)
+    for (g, it), (n, t) in want.items():
+        assert got[g, it][0] == n and got[g, it][1] == (None if g == "unknown" else pytest.approx(t, abs=1e-9))
+
+
+def test_pooled_error_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(stats, "POOLED_ROWS", 4000)
+    df = spark.range(9000).selectExpr("id", "if(id < 8000, if(id % 2 = 0, 'large', null), 'small') as g", "cast(id * id % 1009 as double) as v")
+    drawn = []
+    monkeypatch.setattr(stats, "bootstrap_totals", lambda d, *a, kept=stats.bootstrap_totals: (drawn.append(d.count()), kept(d, *a))[1])
+    errors = {r.g: r.stderr for r in stats.bootstrap_stderr(df, {"t": F.col("v")}, F.col("t") / F.col("resampled"), "id", 4000, ["g"], pooled=True).collect()}
+    closed = {r.g: r.e for r in df.groupBy("g").agg((F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("e")).collect()}
+    assert set(errors) == {"large", None, "small"} and drawn == [1000]
+    for g, e in closed.items():
+        assert errors[g] == pytest.approx(e, rel=0.06)
+    whole = stats.bootstrap_stderr(df, {"t": F.col("v")}, F.col("t") / F.col("resampled"), "id", 2000, pooled=True).first()["stderr"]
+    assert whole == pytest.approx(df.agg(F.stddev_pop("v") / F.sqrt(F.count("*"))).first()[0], rel=0.08)
+
+
 def test_too_many_cells_stop_the_job(spark):
     df = spark.range(stats.MAX_CELLS + 1).withColumn("v", F.col("id").cast("double"))
     with pytest.raises(ValueError, match="bootstrap_stderr"):
