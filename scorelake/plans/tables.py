@@ -8,7 +8,7 @@ from scorelake.functions.draws import SEED, draw
 from scorelake.operators import assembly, comparison, lookups, ranking, results, summaries
 from scorelake.plans.carriers import BOXES, JUDGED, PLAN_LABEL, PLAN_TASK
 from scorelake.plans.catalogue import derived, plain, query, r6, rounded, table
-from scorelake.session import durable, scratch_path
+from scorelake.session import durable, release, scratch_path
 from scorelake.sources import keyed
 
 
@@ -194,18 +194,20 @@ SELECT turn, count(*) FILTER (WHERE NOT sampled AND first_turn < turn) AS hits,
 def response_store(spark, sf_dir):
     """Requests in four turns: what earlier turns answered is found in the store, what is new is run and added to it."""
     number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    requests = durable(table(spark, sf_dir, "lineitem").select(
+    requests = table(spark, sf_dir, "lineitem").select(
         number.alias("request_id"), (F.col("l_quantity") > 45).alias("sampled"), (F.col("l_orderkey") % 4).alias("turn"),
         assembly.request_hash(F.lit("generate"), F.col("l_partkey"), F.col("l_suppkey")).alias("request_hash"),
-    ))
+    )
     store = keyed.KeyedStore(spark, scratch_path(spark, "responses"), "request_hash string, response string", digits=1)
     counts = None
     for turn in range(4):
         hits, to_run = keyed.answered_from_store(requests.where(F.col("turn") == turn), store, F.col("sampled"))
-        found = durable(hits.select("turn", F.lit(True).alias("hit")).unionByName(to_run.select("turn", F.lit(False).alias("hit"))).groupBy("turn").agg(
-            F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("to_run")))
+        # Kept, as the store they were looked up in is about to grow.
+        met = durable(hits.drop("response").withColumn("hit", F.lit(True)).unionByName(to_run.withColumn("hit", F.lit(False))), "zstd")
+        found = durable(met.groupBy("turn").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("to_run")))
         counts = found if counts is None else counts.unionByName(found)
-        keyed.record_answers(store, to_run.where("not sampled").withColumn("response", F.col("request_id").cast("string")))
+        keyed.record_answers(store, met.where("not hit and not sampled").withColumn("response", F.col("request_id").cast("string")))
+        release(met)
     whole = store.rows().agg(F.count("*").alias("stored"), F.sum(F.col("response").cast("long") % 1009).alias("response_sum"))
     return counts.crossJoin(F.broadcast(whole))  # one row
 

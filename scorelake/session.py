@@ -46,11 +46,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut lineage with a table written to the shared folder, so the loss of an executor never redoes earlier
-    rounds. Its folder is in ``stored_path``, for :func:`release` once no later step reads it."""
+    rounds. Its folder is in ``stored_path``, for :func:`release` once no later step reads it.
+    ``compression`` is the session's unless told; hashes in hexadecimal digits take half with ``zstd``."""
     path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

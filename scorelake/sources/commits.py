@@ -24,6 +24,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(place))
 
 
+def size(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder."""
+    place, store = _path(spark, folder)
+    return store.getContentSummary(place).getLength()
+
+
 def numbered(spark: SparkSession, folder: str, key: str) -> list[int]:
     """The numbers of the folders ``key=number``, in order."""
     start = f"{key}="

@@ -64,6 +64,35 @@ def test_a_batch_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     assert sorted(contents(store).values()) == ["1", "2", "4"]
 
 
+def test_a_large_folder_gets_layers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "SMALL_BYTES", 0)
+    monkeypatch.setattr(keyed, "LAYERS", 3)
+    store = keyed.KeyedStore(spark, f"file://{tmp_path}/s", SCHEMA, digits=1)
+    want = {}
+    for number in range(5):
+        before = files(tmp_path)
+        rows = hashed(spark, {f"q{i}": f"a{number}-{i}" for i in range(number * 100, number * 100 + 200)})
+        assert store.upsert(rows, dealt=number > 2) == number
+        want |= {r.request_hash: r.response for r in rows.collect()}
+        assert store.rows().count() == len(want) and contents(store) == want
+        if number in (1, 2):
+            # Nothing that was there is written again.
+            assert before.items() <= files(tmp_path).items() and len(files(tmp_path)) == 16 * (number + 1)
+    assert max(len(g) for g in store._generations(4).values()) <= 3
+    keys = hashed(spark, {"q150": "", "none": ""}).selectExpr("1 as request_id", "request_hash", "false as s")
+    hits, to_run = keyed.answered_from_store(keys, store, F.col("s"))
+    assert [r.response for r in hits.collect()] == ["a1-150"] and to_run.count() == 1
+
+
+def test_packed_keys_differ_where_keys_do(spark):
+    digits = "0123456789abcdef" * 4
+    keys = [digits, digits.upper(), digits[:-1], bytes.fromhex(digits[:2] * 32).decode("latin1"), "", "aa", "0aa", "\x00", "x" * 32, "78" * 32, None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", keyed.packed(F.col("k")).alias("p")).withColumn("back", keyed.unpacked(F.col("p")))
+    found = rows.collect()
+    assert all(r.k == r.back for r in found) and len({None if r.p is None else bytes(r.p) for r in found}) == len(keys)
+    assert len(found[0].p) == 32
+
+
 def test_answers_from_the_store(spark, tmp_path):
     store = keyed.KeyedStore(spark, f"file://{tmp_path}/s", SCHEMA, digits=1)
     requests = spark.createDataFrame([(1, "aa", False), (2, "aa", True), (3, "bb", False), (4, "bb", False), (5, None, False), (6, "cc", None)],
